@@ -84,12 +84,11 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     newline = np.flatnonzero(data == 0x0A)
     line_starts = np.union1d(newline + 1, offsets[:-1])
     line_starts = line_starts[line_starts < len(data)]
-    edge = np.union1d(newline, offsets[1:])
-    line_ends = edge[np.searchsorted(edge, line_starts)] if len(line_starts) else line_starts
+    owner = np.searchsorted(offsets, line_starts, "right") - 1
+    line_ends = np.minimum(np.append(newline, len(data))[np.searchsorted(newline, line_starts)], offsets[owner + 1])
     first, last = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
     real = last > first  # a line with a word
-    line_starts, line_ends, first, last = line_starts[real], line_ends[real], first[real], last[real]
-    owner = np.searchsorted(offsets, line_starts, "right") - 1
+    line_starts, line_ends, first, last, owner = line_starts[real], line_ends[real], first[real], last[real], owner[real]
     again = later(span_hashes(prefix, line_starts, line_ends) ^ seed[owner]) if len(owner) else np.zeros(0, bool)
     upto = np.concatenate([[0], np.cumsum(lengths)])
     out["n_dup_lines"] = np.bincount(owner[again], minlength=n)
