@@ -24,7 +24,7 @@ def cut_end_matter(text: Column) -> Column:
 
 def headings_spoken(text: Column) -> Column:
     """A heading line becomes a sentence: its marks go, one full stop ends it."""
-    text = apply(text, [(r"^#{1,6}\s+(.*?)[\s]*$", "m", "\x03$1\x04")])
+    text = apply(text, [(r"^#{1,6}\s+(.*?)[^\S\n]*$", "m", "\x03$1\x04")])
     return apply(text, [(r"[.:]+\x04", "", "\x04"), (r"\x03", "", ""), (r"\x04", "", ".")])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import folds, rules, text as t
-from pagemill.functions.rx import strip
+from pagemill.functions.rx import let, strip
 from pagemill.operators.lines import prepared
 
 
@@ -18,9 +18,13 @@ def chapter_title(heading: Column) -> Column:
     bare = F.regexp_replace(heading, r"(?U)\s?[¯˙˘´`\^¨˜]\s?|\.(?=[a-z])", "")
     label = F.regexp_replace(strip(F.regexp_replace(t.clean_body(bare), r"\.+$", "")), r"^[™©®†‡*# ]+", "")
     label = F.coalesce(F.nullif(label, F.lit("")), strip(heading))
-    head = F.substring(label, 1, rules.CHAPTER_TITLE_CHARS)
-    cut = F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head)
-    return F.when(F.length(label) <= rules.CHAPTER_TITLE_CHARS, label).otherwise(F.concat(cut, F.lit("...")))
+
+    def shortened(label: Column) -> Column:
+        head = F.substring(label, 1, rules.CHAPTER_TITLE_CHARS)
+        cut = F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head)
+        return F.when(F.length(label) <= rules.CHAPTER_TITLE_CHARS, label).otherwise(F.concat(cut, F.lit("...")))
+
+    return let(label, shortened)
 
 
 def scripts(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:

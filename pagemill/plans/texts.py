@@ -25,7 +25,7 @@ def _emphasis(x: str) -> str:
 
 def _clean_sql(x: str) -> str:
     x = sql_apply(x, rules.CLEAN_BEFORE_HEADINGS)
-    x = sql_apply(x, [(r"^#{1,6}\s+(.*?)[\s]*$", "m", "\x03$1\x04"), (r"[.:]+\x04", "", "\x04"), (r"\x03", "", ""), (r"\x04", "", ".")])
+    x = sql_apply(x, [(r"^#{1,6}\s+(.*?)[^\S\n]*$", "m", "\x03$1\x04"), (r"[.:]+\x04", "", "\x04"), (r"\x03", "", ""), (r"\x04", "", ".")])
     x = _emphasis(_emphasis(sql_apply(x, [rules.INLINE_CODE])))
     return sql_strip(sql_apply(x, rules.CLEAN_AFTER_EMPHASIS))
 
