@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pagemill.llm.common import blocks, doc_of, mixed, prefix_sums, runs, span_hashes, tuned, utf8
 
 #: Share of a text's word characters that may lie inside repeated n-grams of n words.
-LIMITS = {5: 0.20, 6: 0.18, 8: 0.16, 10: 0.14}
+LIMITS = {5: 0.25, 6: 0.24, 8: 0.22, 10: 0.20}
 #: Share that may lie in lines equal to an earlier line.
 LINE_LIMIT = 0.30
 
