@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -123,7 +124,8 @@ def event_sessions(spark, sf_dir):
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'")
 def stream_queue(spark, sf_dir):
     """Jobs through a durable queue: written by one query with a checkpoint, read back as a table."""
-    folder = tempfile.mkdtemp(prefix="pagemill-queue-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/queue-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{shared}/queue-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="pagemill-queue-")
     rows = spark.readStream.schema(streams.EVENTS).parquet(f"{sf_dir}/events.parquet*").where("event_type <> 'error'")
     streams.spooled(rows, f"{folder}/jobs", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/jobs").select("event_id", "user_id", "event_type")

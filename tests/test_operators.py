@@ -139,3 +139,16 @@ def test_catalog():
     from pagemill import catalog
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 55
+
+
+def test_engine(spark):
+    from pagemill import engine
+
+    docs = spark.createDataFrame([(1, "http://x.y/a", "link", "A page", "# Head\nOne sentence here. Another one there.\n## Part\nText."), (2, "/in/scan_3.pdf", "pdf", None, "Plain text of a file. It ends.")], "doc_id int, source string, kind string, title string, text string")
+    found = {r.doc_id: r for r in engine.notes(docs, "2024-05-06").collect()}
+    assert found[1].title == "A page" and "## TL;DR" in found[1].markdown and found[2].title == "Plain text of a file."
+    spoken = engine.script(docs.withColumns({"tldr": F.lit("short"), "summary": F.lit("long")}), 500).collect()
+    assert {r.title for r in spoken} >= {"Summary", "Full article"}
+    assert {r.pattern: r.hits for r in engine.lint(spark.createDataFrame(spoken)).collect()}["url"] == 0
+    pages = spark.createDataFrame([(1, 1, "x" * 40), (1, 2, "")], "doc int, number int, text string")
+    assert engine.extract(pages, "doc").first().text == "x" * 40 and engine.probe(pages, "doc").first().has_text
