@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
