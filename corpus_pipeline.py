@@ -12,14 +12,17 @@ from pagemill.llm.queries import PII_KEY, tokenizer_path, with_length
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification doesn't reject; lang stays as it came."""
-    columns = docs.columns
-    return langid.identify(docs.withColumn("kept_text", F.col("text")), langid.learn(docs), [*columns[: columns.index("text")], "kept_text", *columns[columns.index("text") + 1 :]]).where("not rejected").withColumnRenamed("kept_text", "text").select(*columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)], "doc_id", "text")
+    found = langid.identify(rows, langid.learn(docs.select("doc_id", "text", "lang")), own)
+    return found.where("not rejected").select(*own).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
+    """One document of each group of near copies, the one with the smallest doc_id; rows that share a doc_id stay or go together."""
     groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import blocks, mixed, prefix_sums, span_hashes, stored, tuned, utf8
+from pagemill.llm.common import blocks, free_name, mixed, prefix_sums, span_hashes, stored, tuned, utf8
 
 #: Bytes between chunk ends on average; ends nearer than NEAR to the one before are left out; longest chunk.
 MEAN, NEAR, LONGEST = 32, 8, 1024
@@ -116,7 +116,7 @@ def passages(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[tuple[i
 
 
 def dedup_substrings(documents: DataFrame) -> DataFrame:
-    """documents with text less its repeated passages, and the columns n_passages and removed_bytes."""
+    """documents with text less its repeated passages, and the columns n_passages and removed_bytes (with an underscore where a column has that name)."""
     tuned(documents.sparkSession)
     spans = repeated_spans(documents)
     columns = documents.columns
@@ -152,4 +152,4 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
     keyed_rows = plain.mapInArrow(keyed, f"{schema}, tid long").withColumn("doc", F.coalesce(F.col(names[columns.index("doc_id")]).cast("long"), F.lit(-(1 << 63))))
     met = keyed_rows.join(spans, ["doc", "tid"], "left").select(*names, "spans")
-    return met.mapInArrow(cut, f"{schema}, n_passages long, removed_bytes long").toDF(*columns, "n_passages", "removed_bytes")
+    return met.mapInArrow(cut, f"{schema}, n_passages long, removed_bytes long").toDF(*columns, free_name("n_passages", columns), free_name("removed_bytes", columns))

@@ -45,6 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores added while a column has it already."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import free_name, stored
 
 #: Given names by gender and script from which surrogates are made (fixed values of this operator).
 NAMES = {
@@ -154,20 +154,21 @@ def entity_numbers(documents: DataFrame, key: str) -> DataFrame:
 
 
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:
-    """documents with surrogates for the entities in text, and the column n_entities."""
-    if "n_entities" in documents.columns:
-        raise ValueError("n_entities is this operator's own column")
-    text, columns = F.col("text"), documents.columns
+    """documents with surrogates for the entities in text, and the column n_entities (with an underscore where a column has that name)."""
+    columns = documents.columns
+    own = [f"c{i}" for i in range(len(columns))]
+    text = F.col(own[columns.index("text")])
     numbers = entity_numbers(documents.select("text"), key)
+    rows = documents.toDF(*own)
     if numbers.isEmpty():
         made = F.transform("found", lambda e: surrogate(e, F.lit(0), key))
-        rows = documents
     else:
-        held = documents.where(suspect(text)).select("text", F.explode(F.array_distinct(entities(text))).alias("entity")).join(numbers, "entity")
+        held = rows.where(suspect(text)).select(text.alias("text"), F.explode(F.array_distinct(entities(text))).alias("entity")).join(numbers, "entity")
         per_text = held.select(F.sha2(F.col("text").cast("binary"), 256).alias("of"), "entity", "number").distinct().groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("entity", "number"))).alias("numbers"))
-        rows = documents.withColumn("of", F.sha2(text.cast("binary"), 256)).join(per_text, "of", "left")
+        rows = rows.withColumn("of", F.sha2(text.cast("binary"), 256)).join(per_text, "of", "left")
         made = F.transform("found", lambda e: surrogate(e, F.coalesce(F.try_element_at(F.col("numbers"), e), F.lit(0)), key))
     found = rows.withColumn("found", entities(text))
     gaps = F.split(text, PATTERN, -1)
     put = F.when(F.size("found") > 0, F.array_join(F.zip_with(gaps, F.concat(made, F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")).otherwise(text)
-    return found.select(*[put.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.size("found").alias("n_entities"))
+    out = found.select(*[put.alias(n) if c == "text" else F.col(n) for c, n in zip(columns, own, strict=True)], F.size("found").alias("n"))
+    return out.toDF(*columns, free_name("n_entities", columns))

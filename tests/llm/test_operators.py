@@ -327,3 +327,17 @@ def test_pipeline_keeps_columns(spark):
     texts = {r.doc_id for r in docs.collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == texts
+
+
+def test_clashing_columns_and_null_ids(spark):
+    import corpus_pipeline
+
+    rows = [(1, "alpha beta gamma write to a.b@example.com", "en", "s", 40, "x", "y", 1, True), (None, "one more text without an id at all", "en", "s", 35, "x", "y", 1, False), (2, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, found string, rejected string, n_passages int, held_out boolean")
+    got = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stored(stage(spark, got, SF), "stage")
+        assert got.columns == docs.columns
+    assert {r.doc_id for r in got.collect()} == {1, None}
+    assert {r.found for r in got.collect()} == {"x"} and "a.b@" not in got.where("doc_id = 1").first().text
+    assert pii.replace_pii(docs.withColumnRenamed("found", "n_entities"), PII_KEY).columns[-1] == "n_entities_"
