@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import tuned
+from pagemill.llm.common import stored, tuned
 
 #: Most frequent parts of the corpus whose words are compiled.
 MOST_WORDS = 50_000
-#: Parts whose results a worker keeps, and distinct parts that one counter holds before it passes them on.
-MOST_PARTS, MOST_COUNTED = 250_000, 200_000
+#: Parts and words whose results a worker keeps, and distinct parts that one counter holds before it passes them on.
+MOST_PARTS, MOST_KEPT_WORDS, MOST_COUNTED = 500_000, 350_000, 200_000
 END = "</w>"
+ID_BITS = 20
+_NONE = 1 << 62
 _ODD = ["<|", *map(chr, range(0x1C, 0x20))]
 
 
@@ -54,7 +56,8 @@ class Merges:
         self.vocab = model["model"]["vocab"]
         self.names = {i: t for t, i in self.vocab.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
-        self.rank = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        #: Of a pair of ids: the merge's rank and, in the low bits, the id it makes.
+        self.rank = {(self.vocab[a], self.vocab[b]): i << ID_BITS | self.vocab[a + b] for i, (a, b) in enumerate(pairs)}
         signs = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in signs]
         char_of = {b: chr(b) for b in signs} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -68,35 +71,41 @@ class Merges:
                 return "".join([c.lower() for c in part])
         return part.lower()
 
+    def split(self, part: str) -> list[str]:
+        """The words of a part without white space."""
+        text = self.normal(part)
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.words(text)
+
     def ids(self, word: bytes) -> list[int]:
-        """The word's ids, merged exactly."""
-        s = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
+        """The word's ids, merged exactly: the pair of the lowest rank, leftmost first, until none is left."""
+        s = [self.inner[b] for b in word[:-1]]
+        s.append(self.last[word[-1]])
         if len(s) > 64:
             return self._long(s)
-        rank = self.rank
-        while len(s) > 1:
-            best = min([rank[p] for p in zip(s, s[1:]) if p in rank], default=None)  # noqa: B905
-            if best is None:
-                break
-            out, i, n = [], 0, len(s)
-            while i < n:
-                if i + 1 < n and rank.get((s[i], s[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            s = out
+        get = self.rank.get
+        ranks = [get(p, _NONE) for p in zip(s, s[1:], strict=False)]
+        while ranks and (best := min(ranks)) != _NONE:
+            i = ranks.index(best)
+            s[i : i + 2] = [best & ((1 << ID_BITS) - 1)]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((s[i - 1], s[i]), _NONE)
+            if i < len(ranks):
+                ranks[i] = get((s[i], s[i + 1]), _NONE)
         return s
 
     def _long(self, s: list[int]) -> list[int]:
         """The same with a heap, for long words."""
         before, after = list(range(-1, len(s) - 1)), [*range(1, len(s)), -1]
-        heap = [(*self.rank[p], i, p) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in self.rank]
+        heap = [(self.rank[p], i, p) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in self.rank]
         heapq.heapify(heap)
         while heap:
-            _, new, i, (a, b) = heapq.heappop(heap)
-            j = after[i]
+            rank, i, (a, b) = heapq.heappop(heap)
+            new, j = rank & ((1 << ID_BITS) - 1), after[i]
             if s[i] != a or j < 0 or s[j] != b:
                 continue
             s[i], s[j] = new, -1
@@ -105,7 +114,7 @@ class Merges:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right >= 0 and (p := (s[left], s[right])) in self.rank:
-                    heapq.heappush(heap, (*self.rank[p], left, p))
+                    heapq.heappush(heap, (self.rank[p], left, p))
         return [x for x in s if x >= 0]
 
 
@@ -226,49 +235,73 @@ def part_counts(documents: DataFrame) -> DataFrame:
 def build_lexicon(documents: DataFrame, tokenizer: str, most: int = MOST_WORDS) -> bytes:
     """The compiled lexicon of the most frequent parts' words."""
     merges = Merges(tokenizer)
-    frequent = part_counts(documents).where(F.length("part") <= 48).orderBy(F.desc("n"), "part").limit(most).collect()  # `most` short strings
-    words = {w.encode() for r in frequent for w in merges.words(merges.normal(r["part"]))}
+    counts = stored(part_counts(documents).where((F.col("n") > 1) & (F.length("part") <= 48)), "counts")
+    # the least count that leaves `most` parts at most; the numbers of parts by count are few, as counts repeat
+    cut, total = None, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["n"]
+    frequent = counts.where(F.col("n") >= cut).collect() if cut else []
+    words = {w.encode() for r in frequent for w in merges.split(r["part"])}
     return compiled({w: merges.ids(w) for w in words if len(w) <= 64})
 
 
 class Encoder:
-    """Ids and token strings of texts, by the lexicon first; results of parts are kept up to a bound."""
+    """Ids and token strings of texts, by the lexicon first; results of parts and words are kept up to a bound."""
+
+    _made: dict[tuple[str, str], Encoder] = {}
 
     def __init__(self, tokenizer: str, block: bytes) -> None:
         self.merges, self.lexicon = Merges(tokenizer), Lexicon.placed(block)
-        self.ids_of: dict[str, str] = {}
-        self.tokens_of: dict[str, str] = {}
+        #: Decimal ids and token strings, each joined by spaces.
+        self.parts: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
+
+    @classmethod
+    def of(cls, tokenizer: str, block: bytes) -> Encoder:
+        """One encoder to a worker, for all its tasks."""
+        key = tokenizer, hashlib.sha256(block).hexdigest()
+        if key not in cls._made:
+            cls._made.clear()
+            cls._made[key] = cls(tokenizer, block)
+        return cls._made[key]
 
     def learn(self, parts: list[str]) -> None:
-        if len(self.ids_of) > MOST_PARTS:
-            self.ids_of.clear()
-            self.tokens_of.clear()
-        merges = self.merges
-        split = [[w.encode("utf-8", "surrogatepass") for w in merges.words(merges.normal(p))] for p in parts]
-        words = list(dict.fromkeys(w for x in split for w in x))
-        ids = {w: merges.ids(w) if got is None else got for w, got in zip(words, self.lexicon.find(words), strict=True)}
+        merges, known = self.merges, self.words
+        split = [merges.split(p) for p in parts]
+        new = list({w for x in split for w in x if w not in known})
+        if len(known) + len(new) > MOST_KEPT_WORDS:
+            known.clear()
+            new = list({w for x in split for w in x})
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        for w, r, got in zip(new, raw, self.lexicon.find(raw), strict=True):
+            own = merges.ids(r) if got is None else got
+            known[w] = " ".join(map(str, own)), " ".join([merges.names[i] for i in own])
         for part, x in zip(parts, split, strict=True):
-            own = [i for w in x for i in ids[w]]
-            self.ids_of[part] = " ".join(map(str, own))
-            self.tokens_of[part] = " ".join([merges.names[i] for i in own])
+            if len(x) == 1:
+                self.parts[part] = known[x[0]]
+            else:
+                of = [known[w] for w in x]
+                self.parts[part] = " ".join([i for i, _ in of]), " ".join([t for _, t in of])
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """Per text its decimal ids joined by spaces and its decoded text."""
-        split = [t.split() for t in texts]
-        new = {p for x in split for p in x if p not in self.ids_of}
-        if len(self.ids_of) + len(new) > MOST_PARTS:
-            self.ids_of.clear()
-            self.tokens_of.clear()
+        split, kept = [t.split() for t in texts], self.parts
+        new = {p for x in split for p in x if p not in kept}
+        if len(kept) + len(new) > MOST_PARTS:
+            kept.clear()
             new = {p for x in split for p in x}
-        if new:
-            self.learn(list(new))
+        self.learn(list(new))
         out = []
         for text, parts in zip(texts, split, strict=True):
             if any(x in text for x in _ODD):
                 ids = self.merges.library.encode(text, add_special_tokens=False).ids
                 out.append((" ".join(map(str, ids)), self.merges.library.decode(ids, skip_special_tokens=False)))
             else:
-                out.append((" ".join([self.ids_of[p] for p in parts]), " ".join([self.tokens_of[p] for p in parts])))
+                found = [kept[p] for p in parts]
+                out.append((" ".join([i for i, _ in found]), " ".join([t for _, t in found])))
         return out
 
 
@@ -281,11 +314,9 @@ def encode_documents(documents: DataFrame, tokenizer: str, block: bytes, with_id
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (decimal, joined by spaces) and decoded."""
     spark = tuned(documents.sparkSession)
     sent = spark.sparkContext.broadcast(block)
-    made: list[Encoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = made[0] if made else Encoder(tokenizer, sent.value)
-        made[:] = [encoder]
+        encoder = Encoder.of(tokenizer, sent.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             got, lo = [], 0
