@@ -22,6 +22,10 @@ def sql_pattern(pattern: str, flags: str = "") -> str:
     return (f"(?{flags})" if flags else "") + pattern
 
 
+#: White space, as Unicode-aware `\\s` has it.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def apply(text: Column, rules: Iterable[Rule]) -> Column:
     """Every rule in turn."""
     for pattern, flags, new in rules:
@@ -29,6 +33,19 @@ def apply(text: Column, rules: Iterable[Rule]) -> Column:
     return text
 
 
+def apply_where(text: Column, signs: str, rules: Iterable[Rule]) -> Column:
+    """The rules, for texts that hold one of the signs; the others aren't searched."""
+    rules = list(rules)
+
+    def gated(x: Column) -> Column:
+        held = x.contains(signs[0])
+        for sign in signs[1:]:
+            held = held | x.contains(sign)
+        return F.when(held, apply(x, rules)).otherwise(x)
+
+    return let(text, gated)
+
+
 def quoted(text: str) -> str:
     """A string literal of standard SQL."""
     return "'" + text.replace("'", "''") + "'"
@@ -62,7 +79,7 @@ def literal(text: str) -> str:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def sql_strip(text: str) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules
-from pagemill.functions.rx import apply, spark_pattern, strip
+from pagemill.functions.rx import apply, apply_where, let, spark_pattern, strip
 
 Text = Column
 
@@ -30,15 +32,20 @@ def headings_spoken(text: Column) -> Column:
 
 def clean_body(text: Column) -> Column:
     """Without what is painful to hear; every sentence of the author stays."""
-    text = headings_spoken(apply(text, rules.CLEAN_BEFORE_HEADINGS))
-    text = apply(text, [rules.INLINE_CODE, rules.EMPHASIS, rules.EMPHASIS, *rules.CLEAN_AFTER_EMPHASIS])
-    return strip(text)
+    before = rules.CLEAN_BEFORE_HEADINGS
+    brackets = [r for r in before if r[0].startswith((r"\[", "!")) or r[0].startswith(r"\\(")]
+    text = apply(text, before[:1])
+    for in_brackets, group in groupby(before[1:], lambda r: r in brackets):
+        text = apply_where(text, "[]", group) if in_brackets else apply(text, group)
+    text = apply_where(headings_spoken(text), "`", [rules.INLINE_CODE])
+    text = apply_where(text, "*_", [rules.EMPHASIS, rules.EMPHASIS])
+    return strip(apply(text, rules.CLEAN_AFTER_EMPHASIS))
 
 
 def lint_counts(text: Column) -> Column:
     """An array of (pattern, hits): what is left that a voice would read out."""
-    bare = apply(text, [rules.AUTHOR_BRACKET])
-    return F.array(*[F.struct(F.lit(name).alias("pattern"), F.regexp_count(bare, F.lit(spark_pattern(p, f))).cast("long").alias("hits")) for name, p, f in rules.LINT])
+    count = lambda bare, p, f: F.regexp_count(bare, F.lit(spark_pattern(p, f))).cast("long")
+    return let(apply_where(text, "[", [rules.AUTHOR_BRACKET]), lambda bare: F.array(*[F.struct(F.lit(name).alias("pattern"), count(bare, p, f).alias("hits")) for name, p, f in rules.LINT]))
 
 
 def lint_context(text: Column, pattern: str, flags: str) -> Column:
