@@ -95,6 +95,39 @@ def test_near_duplicates_at_point_eight(spark):
     assert got == {5: 3, 3: 3, 7: 3, 9: 9, 8: 2, 2: 2}
 
 
+def test_near_duplicates_are_verified(spark):
+    """Beginnings of a text: of its 1,000 shingles they have 780, 800 or 820."""
+    rows, want = [], {}
+    for i in range(60):
+        words, share = [f"w{i}x{j}" for j in range(1004)], (780, 800, 820)[i % 3]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: share + 4]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (share < 800)}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == want[d] for d in want if d % 6 < 2)  # none below
+    assert sum(got[d] != want[d] for d in want) <= 1  # a pair in 400 shares no band
+
+
+def test_near_duplicates_in_families(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{j}" for j in range(300)]
+        for _ in range(25):
+            at = set(rng.sample(range(300), rng.choice((1, 2, 4, 6, 8))))
+            rows.append((len(rows), " ".join(f"new{len(rows)}x{j}" if j in at else w for j, w in enumerate(base))))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(296)} for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    root = {d: d for d in sets}
+    for _ in sets:  # the smallest reachable document
+        for a, b in links:
+            root[a] = min(root[a], root[b])
+    assert 4 < len(set(root.values())) < 100
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+
+
 def brute_rules(text):
     w = WORD.findall(text or "")
     windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
