@@ -302,6 +302,37 @@ def test_language_held_out(spark):
     assert right >= 0.97 * len(got) and sum(r.rejected for r in got) <= 0.01 * len(got)
 
 
+def test_left_out_languages_are_rejected(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for left in ("en", "de"):
+        model = langid.learn(docs.where(F.col("lang") != left))
+        got = langid.identify(docs, model, ["doc_id", "lang"]).where("held_out").collect()
+        other = [r.rejected for r in got if r.lang == left]
+        assert sum(other) >= 0.85 * len(other)
+        assert sum(r.rejected for r in got if r.lang != left) <= 0.02 * len(got)
+
+
+def test_language_counts_over_all_rows(spark):
+    """Counted in Spark over every row or in one place, the model is the same."""
+    from unittest import mock
+
+    import numpy as np
+
+    rows = [(i, "xx" if i % 2 else "yy", ("aba bab abba caab " if i % 2 else "zyz yzy zyyz bzzy ") * 3 + "abz"[i % 3]) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    with mock.patch.object(langid, "LEAST", 1):
+        got = langid.learn(docs)
+    held = {r.doc_id for r in docs.selectExpr("doc_id", "pmod(xxhash64('lang', doc_id), 10) = 0 as back").where("back").collect()}
+    counted = [(lang, t) for d, lang, t in rows if zlib.crc32(str(d).encode()) % 4 != 2 and d not in held]
+    want = langid.fit({x: [t for k, t in counted if k == x] for x in ("xx", "yy")})
+    assert list(got.alphabet) == list(want.alphabet)
+    for (a, _), (b, _) in zip(got.tables, want.tables, strict=True):
+        assert np.array_equal(a, b)
+    assert sum(len(k) for k, _ in got.tables) > 40 and np.isfinite(got.limit).all()
+
+
 def test_language_of_odd_texts(docs, empty):
     model = langid.fit({"xx": ["aba bab abba"] * 5, "yy": ["zyz yzy zyyz"] * 5})
     got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
