@@ -3,7 +3,10 @@
 A gear rolling hash over the last 16 bytes sets chunk ends wherever it falls below a bound (32 bytes apart on
 average), so an insertion moves only the ends near it. Chunks are known by 64-bit digests. The first place of a
 digest (smallest doc_id, then text digest, then position) keeps its chunk; later places are repeats. Repeats
-that follow one another for `MIN_RUN` bytes make a repeated passage, and its whole words go.
+that follow one another for `MIN_RUN` bytes make a repeated passage. A passage that begins or ends inside a word is
+cut to the word's edge where white space lies within `EDGE` bytes, else (text without spaces) to a whole code point.
+The runs end at chunk ends: they aren't extended to the byte where two texts stop agreeing, so about two chunks of a
+passage stay, and some repeats of under 300 bytes aren't found.
 
 First places come from an aggregation with map-side combine; the join of chunks to the digests that occur twice is
 between two plain exchanges, which adaptive execution can split where one passage is everywhere.
@@ -28,6 +31,8 @@ from pagemill.llm.common import blocks, free_name, mixed, prefix_sums, span_hash
 MEAN, NEAR, LONGEST = 32, 8, 1024
 #: Bytes of consecutive repeated chunks that make a repeated passage.
 MIN_RUN = 120
+#: Bytes at either end of a passage in which a word's edge is looked for.
+EDGE = 32
 
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _BOUND = np.uint32((1 << 32) // MEAN)
@@ -96,7 +101,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 
 
 def passages(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of whole words inside runs of repeated chunks of MIN_RUN bytes or more."""
+    """Byte ranges, of whole words where there are spaces, inside runs of repeated chunks of MIN_RUN bytes or more."""
     order = np.argsort(at)
     at, end = at[order], (at + size)[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != end[:-1]]))
@@ -105,11 +110,16 @@ def passages(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[tuple[i
         if z - a < MIN_RUN:
             continue
         if a > 0 and not _SPACE[data[a - 1]]:  # the word before goes on into the run
-            gap = np.flatnonzero(_SPACE[data[a:z]])
-            a = a + gap[0] + 1 if len(gap) else z
+            gap = np.flatnonzero(_SPACE[data[a : min(z, a + EDGE)]])
+            a = a + gap[0] + 1 if len(gap) else a
+            while a < z and data[a] & 0xC0 == 0x80:
+                a += 1
         if z < len(data) and not _SPACE[data[z - 1]] and not _SPACE[data[z]]:
-            gap = np.flatnonzero(_SPACE[data[a:z]])
-            z = a + gap[-1] + 1 if len(gap) else a
+            low = max(a, z - EDGE)
+            gap = np.flatnonzero(_SPACE[data[low:z]])
+            z = low + gap[-1] + 1 if len(gap) else z
+            while z > a and data[z] & 0xC0 == 0x80:
+                z -= 1
         if z > a:
             out.append((int(a), int(z)))
     return out

@@ -252,6 +252,23 @@ def test_substrings_of_passages(spark):
         assert set(source[i].split()) - set(got[i].text.split()) <= set(passages[i % 30].split())
 
 
+def test_substrings_of_text_without_spaces(spark):
+    import random
+
+    rng = random.Random(7)
+    signs = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(n))
+    passages = [signs(200) for _ in range(20)]
+    rows = [(i, signs(150) + passages[i % 20] + signs(120)) for i in range(40)]
+    rows += [(100, signs(100) + passages[0][:100] + " " + passages[0][100:] + signs(90))]  # one space is not where the passage ends
+    got = {r.doc_id: r for r in chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    source = dict(rows)
+    assert all(got[i].text == source[i] for i in range(20))
+    assert all(got[i].n_passages > 0 and 300 <= got[i].removed_bytes <= 600 for i in range(20, 40))
+    assert got[100].removed_bytes >= 300
+    for i in range(20, 40):  # only signs of the passage go
+        assert got[i].text.startswith(source[i][:150]) and got[i].text.endswith(source[i][-120:])
+
+
 def test_chunk_ends_resist_insertion():
     import numpy as np
 
