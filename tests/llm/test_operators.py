@@ -150,6 +150,14 @@ def test_quality_rules_against_brute_force(docs):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_coverage_decides_where_base_passes(spark):
+    words = [f"word{i:03}" for i in range(200)]
+    texts = {1: words, 2: [*words[:172], *words[:14], *words[186:]], 3: [*words[:190], *words[:6], *words[196:]]}  # 0, 14 and 6 % of the words repeated
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept, round(r.share_10, 2)) for r in quality_rules.apply_rules(docs).collect()}
+    assert got == {1: (False, True, 0.0), 2: (False, False, 0.14), 3: (False, True, 0.0)}
+
+
 def test_packing_against_the_library(docs):
     from tokenizers import Tokenizer
 
