@@ -4,7 +4,9 @@ Entities (`KINDS`) are found by one pattern that starts at a word's edge. A surr
 stream of the entity and keeps its type and form: digits stay digits, capitals capitals, small letters small letters,
 signs stay; a card keeps its issuer digits and its check sum, an address of four octets stays one, a mail address
 keeps its top-level domain and its domain is replaced alike wherever it occurs; a name keeps its title, and so its
-gender, and its script. The same entity gets the same surrogate everywhere (coreference).
+gender, and its script. The same entity gets the same surrogate everywhere (coreference);
+the same means equal strings: 'Mr. John Smith' and 'Mr. Smith', or one card in two spacings, get unrelated ones.
+A secret goes to its end, parts after dots included.
 
 Two entities must not share a surrogate, and none may equal an entity of the corpus: distinct entities are
 gathered and grouped by surrogate, and those that clash get a stream with the next number until none is
@@ -36,7 +38,7 @@ _TITLE = "|".join([*MALE_TITLES, *FEMALE_TITLES])
 
 #: Patterns by kind, in the order in which they are tried.
 KINDS = {
-    "secret": r"(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,128}",
+    "secret": r"(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?\"?(?=(?:\.?[A-Za-z0-9+/_-]){8})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
@@ -48,7 +50,7 @@ KINDS = {
 }
 PATTERN = r"(?<![\p{L}\p{N}_.%+@-])(?:" + "|".join(KINDS.values()) + ")"
 #: A text without any of these holds no entity.
-_HINT = ["@", *[t + " " for t in (*MALE_TITLES, *FEMALE_TITLES)], *[t + ". " for t in (*MALE_TITLES, *FEMALE_TITLES)]]
+_HINT = ["@", "AKIA", "ASIA", *[t + " " for t in (*MALE_TITLES, *FEMALE_TITLES)], *[t + ". " for t in (*MALE_TITLES, *FEMALE_TITLES)]]
 MOST_ROUNDS = 8
 
 
