@@ -1,4 +1,10 @@
-"""Five operators one after the other over documents: each stage works on all that the one before kept."""
+"""Five operators one after the other over documents: each stage works on all that the one before kept.
+
+Defined cases, of all stages: null and empty texts have no language and go in the first stage; texts of any length are
+worked on whole; rows equal in every column are near copies, and those that share a kept doc_id stay together; rows
+without a doc_id pass through, a group of near copies that all lack one keeps them all; of copies the smallest doc_id
+stays; an empty table gives no rows; extra columns, whatever their names, come out of all stages but the last.
+"""
 
 from __future__ import annotations
 
