@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that Python workers get at once; a worker holds one batch.
-ROWS_PER_BATCH = 512
+from pagemill.storage import stored  # noqa: F401  for the operators
+
+#: Rows and bytes of a table that Python workers get at once, at most; a worker holds one batch (a longer row is one by itself).
+ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 64 << 20
 #: Bytes of text that the numpy code works on at once.
 BLOCK = 1 << 20
 
@@ -21,30 +20,12 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small, for texts may be long."""
+    """The session with small Arrow batches, for texts may be long. The settings stay, and hold for later queries too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pagemill-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(name: str, taken: list[str]) -> str:
     """The name, with underscores added while a column has it already."""
     low = {c.lower() for c in taken}
