@@ -1,12 +1,14 @@
 """Hashed sparse logistic regression on text: trained by FTRL-proximal, scored as sparse dot products.
 
-Training looks at a bounded sample of labelled rows (`Spec.most_rows`) in one task; the model that comes
+Training looks at a bounded sample of labelled rows (`Spec.most_rows`) in one task, whose features lie in a file of the
+task; the bound holds for rows, so a label whose doc_id stands on many rows doesn't add to it. The model that comes
 back holds non-zero weights only, at most 2^bits of them, so its size doesn't grow with the corpus.
 Scoring is one pass over all whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -54,11 +56,20 @@ def _columns(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def labelled(documents: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
+    """doc_id, text, label of the rows to learn from, about `spec.most_rows` at most. labels: doc_id (each once), label."""
+    some = bounded_sample(labels.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id", spec.most_rows)
+    found = documents.select("doc_id").join(F.broadcast(some), "doc_id").count()
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    if found > 2 * spec.most_rows:  # ids that stand on many rows
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("row"), "doc_id", "text"), F.lit(1 << 32)) < int(spec.most_rows / found * (1 << 32)))
+    return rows
+
+
 def train(documents: DataFrame, labels: DataFrame, spec: Spec) -> Model:
     """labels: doc_id and label (0 or 1), each doc_id once. With no labelled document the model is all zero."""
     tuned(documents.sparkSession)
-    some = bounded_sample(labels.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id", spec.most_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("turn", F.xxhash64(F.lit("turn"), "doc_id"))
+    rows = labelled(documents, labels, spec).withColumn("turn", F.xxhash64(F.lit("turn"), "doc_id"))
     bits, shares, features = spec.bits, spec.shares, spec.features
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +87,24 @@ def train(documents: DataFrame, labels: DataFrame, spec: Spec) -> Model:
             yield pa.RecordBatch.from_arrays([_columns(b, "turn"), _columns(b, "label"), flat(lists, np.int32), flat(values, np.float32)], ["turn", "label", "ids", "x"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            held += list(zip(_columns(b, "label").to_pylist(), _arrays(_columns(b, "ids")), _arrays(_columns(b, "x")), strict=True))
-        model = Ftrl(bits, spec.alpha, spec.beta, spec.l1, spec.l2)
-        for _ in range(spec.epochs):
-            for y, ids, x in held:
-                model.learn(np.append(ids, 1 << bits), np.append(x, np.float32(1)), y, spec.weights[0] if y else spec.weights[1])
+        labels, sizes = [], []
+        with tempfile.TemporaryFile() as ids_file, tempfile.TemporaryFile() as x_file:
+            for b in batches:
+                labels += _columns(b, "label").to_pylist()
+                for ids, x in zip(_arrays(_columns(b, "ids")), _arrays(_columns(b, "x")), strict=True):
+                    sizes.append(len(ids))
+                    ids_file.write(ids.tobytes())
+                    x_file.write(x.tobytes())
+            model = Ftrl(bits, spec.alpha, spec.beta, spec.l1, spec.l2)
+            if sum(sizes):
+                ids_file.flush(), x_file.flush()
+                all_ids, all_x = np.memmap(ids_file, np.int32, "r"), np.memmap(x_file, np.float32, "r")
+            else:
+                all_ids, all_x = np.zeros(0, np.int32), np.zeros(0, np.float32)
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            for _ in range(spec.epochs):
+                for y, a, z in zip(labels, cuts[:-1], cuts[1:], strict=True):
+                    model.learn(np.append(all_ids[a:z], 1 << bits), np.append(all_x[a:z], np.float32(1)), y, spec.weights[0] if y else spec.weights[1])
         w = model.weights()
         at = np.flatnonzero(w[:-1]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w[at].astype(np.float32).tobytes()]), pa.array([float(w[-1])])], ["at", "w", "bias"])

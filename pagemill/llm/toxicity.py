@@ -4,8 +4,10 @@ A feature is a hash of one word, of two neighbours, or of two words with one or
 (a skip-gram); its value is 1 where it occurs. Per-coordinate rates let rare words learn fast and the L1
 term leaves few weights, so the model is small enough to broadcast.
 
-Defined cases: a null or empty text scores as the bias; repeated rows get equal scores; without labels every
-score is 0.5; columns other than doc_id and text are ignored; a null doc_id is never held out nor learned from.
+Defined cases: a null or empty text scores as the bias; texts of any length are read whole; repeated rows get equal
+scores; of labels that disagree the larger counts; a score of just 0.7 is predicted 1; without labels every score is
+0.5; an empty table gives no rows; columns other than doc_id and text, whatever their names, are ignored; a null doc_id is
+never held out nor learned from.
 """
 
 from __future__ import annotations
