@@ -19,7 +19,10 @@ candidates; within a cluster the texts are walked again, and a link there is a J
 the two sets of shingle hashes. A pair at 0.8 shares a band with a chance of 0.998 and passes the tally with 0.999.
 
 Defined cases: null texts, empty texts and texts without words have fingerprint zero and link like others; fewer
-words than a shingle make one shingle; equal rows get equal results; extra columns are ignored.
+words than a shingle make one shingle; texts of any length count whole; a bit that is set in exactly half of the
+hashes is 0; equal rows get equal results; rows may lack a doc_id, a component has the smallest one
+in it that isn't null, or null where all lack it; an empty table gives no rows; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -148,11 +151,18 @@ def _links(postings: DataFrame, width: int) -> DataFrame:
     near_of = near_bits if width == 8 else near_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint8)
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in chain(batches, [None]):
+            if b is not None and not b.num_rows:
+                continue
             if b is not None:
                 flat = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, width)
-                key, ids, sig = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()]), np.concatenate([sig, flat])
+                waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy(), flat))
+                if waiting[0][0][0] == waiting[-1][0][-1]:  # one list goes on
+                    continue
+            if not waiting:
+                continue
+            key, ids, sig = (np.concatenate(x) for x in zip(*waiting, strict=True))
             starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
             bounds = np.append(starts, len(key))
             if b is not None:  # the last list may go on in the next batch
@@ -168,32 +178,38 @@ def _links(postings: DataFrame, width: int) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
             at = bounds[-1] if len(bounds) else 0
-            key, ids, sig = key[at:], ids[at:], sig[at:]
+            waiting = [(key[at:], ids[at:], sig[at:])] if at < len(key) else []
 
     dealt = postings.repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node and root (the smallest node reachable) for every node of links (u, v); alternating star contraction."""
+def components(links: DataFrame) -> DataFrame:
+    """node and root (the smallest node reachable) for every node of links (u, v); alternating star contraction.
+
+    Minima are combined before they are shuffled and stored, so that each join is between two plain exchanges, whose
+    large partitions adaptive execution splits: a node with very many neighbours isn't one task's. Each round at least
+    halves the nodes that aren't settled, and rounds go on until all are.
+    """
     links = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    marks = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    state = links.agg(*marks).first()
-    for _ in range(most_rounds):
-        both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = stored(small.where("u <> v").distinct(), "links")
-        before, state = state, links.agg(*marks).first()
-        if before == state:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    least = stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    while not _stars(links, least):
+        # large star: the smaller end of a link moves to the smallest of its own neighbours
+        met = links.join(least.select(F.col("u").alias("v"), "m"), "v", "left")
+        links = stored(met.select("u", F.coalesce("m", "v").alias("v")).distinct(), "links")
+        least = stored(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # small star: a node's smaller neighbours, and itself, move to the smallest of them
+        rest = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = stored(rest.union(least.select("u", "m")).distinct(), "links")
+        least = stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _stars(links: DataFrame, least: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none to a smaller one."""
+    return least.where("n > 1").isEmpty() and links.join(least.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def _byte(fp: str, i: int):
     return F.shiftrightunsigned(F.col(fp), 8 * i).bitwiseAND(F.lit(255))
 
