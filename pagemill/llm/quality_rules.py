@@ -4,7 +4,9 @@ Words are hashed once per text; the hash of an n-gram rolls over the word hashes
 inside n-grams that occur twice or more are measured (overlaps once), and so are those of lines that repeat an
 earlier line. A text is kept if the base rules pass and each share stays below its limit (`LIMITS`).
 
-Defined cases: a null or empty text has no words and fails the base rules; columns but doc_id and text are ignored.
+Defined cases: a null or empty text has no words and fails the base rules; texts of any length are measured whole; a share
+that is just its limit passes; repeated rows get equal results, rows may lack a doc_id; an empty table gives no rows;
+columns but doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -70,9 +70,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+def _quality_rules_sql() -> str:
+    """The rules from their definition: windows as strings, counted within each document."""
+    lengths = sorted(quality_rules.LIMITS)
+    grams = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, i, array_to_string(words[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - {n - 2})) AS i FROM d WHERE len(words) >= {n})" for n in lengths)
+    shares = ", ".join(f"coalesce(max(chars) FILTER (n = {n}), 0) AS chars_{n}" for n in lengths)
+    ratio = ", ".join(f"coalesce(chars_{n}, 0) / greatest(word_chars, 1) AS share_{n}" for n in lengths)
+    verdict = " AND ".join([f"line_share <= {quality_rules.LINE_LIMIT}::DOUBLE", *[f"share_{n} <= {x}::DOUBLE" for n, x in quality_rules.LIMITS.items()]])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+g AS ({grams}),
+h AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, gram) AS times FROM g) WHERE times > 1),
+c AS (SELECT doc_id, n, sum(length(word)) AS chars, count(*) AS words FROM h JOIN w USING (doc_id, i) GROUP BY doc_id, n),
+s AS (SELECT doc_id, {shares}, coalesce(max(words) FILTER (n = 5), 0) AS n_repeat_words FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_dup_lines, sum(chars) AS line_chars FROM (
+  SELECT doc_id, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE nth > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, {ratio}, coalesce(line_chars, 0) / greatest(word_chars, 1) AS line_share FROM d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND {verdict} AS kept, {", ".join(f"share_{n}" for n in quality_rules.LIMITS)}, line_share FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL is too slow or can't express these on whole tables; tests/llm holds them against brute force."""
-    return {}
+    """Of the others SQL is too slow or can't express them on whole tables; tests/llm holds them against brute force."""
+    return {"op3_quality_rules": _quality_rules_sql()}
 
 
 def with_length(documents: DataFrame) -> DataFrame:
