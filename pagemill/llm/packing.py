@@ -5,10 +5,12 @@ the remainder. The plan is made from counts per length (at most `size` of them),
 taken from the longest down, and all pieces of a length go at once into the open sequences with the least room
 that suffices. Its rows say "the pieces of this length with ranks a to b lie in sequences c onwards at this
 offset". Documents take their slots by joining on their rank within the length; ranks are counted per length and
-hash bucket and then shifted, so one very common length is spread over all tasks.
+hash bucket and then shifted, so one very common length is spread over all tasks; there are as many buckets as make
+about `PER_BUCKET` pieces each if all had one length.
 
-Defined cases: a null text is empty (one piece: the end id); repeated rows get slots of their own; without
-rows there are no pieces; extra columns are ignored.
+Defined cases: a null text is empty (one piece: the end id); texts of any length are packed whole; pieces of one length
+take their ranks in the order of bucket, doc_id, piece and start, and ties (repeated rows) get slots of their own in any
+order; without rows there are no pieces; rows may lack a doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pagemill.llm.tokens import ByteBpe
 
 SIZE = 2048
 END_ID = 0
-#: Hash buckets that share out the ranks of one length.
-BUCKETS = 256
+#: Hash buckets that share out the ranks of one length, at least, and pieces to a bucket.
+BUCKETS, PER_BUCKET = 256, 20_000
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -99,7 +101,9 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, with_ids: boo
 def pack(documents: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset: sequences of `size` tokens at most, gapless from 0."""
     spark = documents.sparkSession
-    rows = stored(pieces(documents, tokenizer, size, with_ids).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")), "pieces")
+    rows = stored(pieces(documents, tokenizer, size, with_ids), "pieces")
+    buckets = max(BUCKETS, rows.count() // PER_BUCKET)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     per_bucket = stored(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in per_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = spark.createDataFrame(plan(counts, size) or [(0, 0, 0, 0, 0)], "length long, first long, n long, sequence long, offset long")

@@ -1,8 +1,9 @@
 """Token ids of a byte-level BPE file, with the parts of a text kept for the next one.
 
 A part starts at a space or newline after a sign that isn't white space. Byte-level pre-tokens hold no such place
-inside, so the ids of a text are those of its parts; texts with other or doubled white space, and texts that
-hold a special token's string, go to the library whole.
+inside, so the ids of a text are those of its parts. Texts with other or doubled white space are split whole, by the
+pattern that byte-level files have (fixed value). Texts that hold a special token's string go to the library whole, and
+so does every text where the file isn't of that kind: another pre-tokenizer, a normalizer or merges that skip.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ class ByteBpe:
         byte_of = {chr(b): b for b in signs} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in signs)}
         self.special = [t["content"] for t in file["added_tokens"]]
         ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
+        #: Whether the parts' way is right: byte-level pre-tokens by the usual pattern, no normalizer, nothing put before.
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        self.plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file.get("normalizer") and model.get("type", "BPE") == "BPE" and not model.get("ignore_merges") and not model.get("dropout") and not model.get("end_of_word_suffix")
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.merge = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kept: dict[str, bytes] = {}
@@ -44,7 +48,7 @@ class ByteBpe:
 
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if any(s in text for s in self.special):
+        if not self.plain or any(s in text for s in self.special):
             return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if any(x in text for x in _ODD):
             return array.array("I", self.merge(text)).tobytes()
