@@ -1,11 +1,15 @@
 """Media columns: interleaved document sequences.
 
 HTML is parsed into an ordered array of structs, text or media reference, each with its position, and media with
-the digest named in its source and its caption. Payloads are stored once per digest in a lossless form (8-bit grey
-PNG, rows of 576 samples) and resolved by joins on the digest; rows keep document, position and caption.
+the digest named in its source and its caption. Payloads are written once per digest in a lossless form (8-bit grey
+PNG, rows of 576 samples) to a table, read back from it, and resolved by joins on the digest; rows keep document,
+position and caption. `page_sequences` gives the sequences of web pages, `media_documents` shows each text as a page:
+a heading, the figure of its payload with the text's first line as caption, and a line after it.
 
 Defined cases: a null or empty page has no elements; a reference whose digest isn't stored resolves to nulls; equal
-payloads are stored once; extra columns are ignored; a null or empty text's payload is 576 bytes of 255.
+payloads are stored once; extra columns, whatever their names, are ignored; a null or empty text's payload is 576 bytes of 255;
+texts of any length are stored whole; repeated rows and rows without a doc_id give a row each; no rows give no rows; media that stand
+side by side keep the page's order.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,6 +30,10 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import stored, tuned
 
 UNIT = 576
+#: Effort of the lossless form, 1 to 9: stored bytes are shuffled once and written once.
+LEVEL = 9
+#: Signs of a text's first line that its figure has as a caption (the payload is the whole text).
+CAPTION = 80
 ELEMENT = "struct<position int, kind string, text string, digest string, caption string>"
 _SOURCE = re.compile(r"media:([0-9a-f]{64})")
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -111,7 +120,7 @@ def to_png(payload: bytes) -> bytes:
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", UNIT, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 3)) + chunk(b"IEND", b"")
+    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", UNIT, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
 
 def from_png(media: bytes) -> bytes:
@@ -145,7 +154,7 @@ def feature(samples: bytes) -> str:
 
 
 def text_pages(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and a page that shows the text's payload as one captioned figure."""
+    """doc_id, n_bytes and a page that shows the text: heading, figure with the payload's digest and a caption, size."""
     tuned(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +163,8 @@ def text_pages(documents: DataFrame) -> DataFrame:
             for text in b.column(1).to_pylist():
                 size, payload = padded(text)
                 n.append(size)
-                html.append(f'<figure><img src="media:{hashlib.sha256(payload).hexdigest()}"><figcaption>{size} bytes</figcaption></figure>')
+                first = escape((text or "").split("\n", 1)[0][:CAPTION])
+                html.append(f'<h1>Document</h1><figure><img src="media:{hashlib.sha256(payload).hexdigest()}"><figcaption>{first}</figcaption></figure><p>{size} bytes</p>')
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(html, pa.string())], ["doc_id", "n_bytes", "html"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, html string")
@@ -195,10 +205,14 @@ def resolved(sequences: DataFrame, key: str, media: DataFrame) -> DataFrame:
     return flat.join(media, "digest", "left")
 
 
+def page_sequences(pages: DataFrame, media: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, position, kind, text, digest, caption of every element of web pages, with the columns of `media` by digest."""
+    return resolved(interleaved(pages, key, html), key, media)
+
+
 def media_documents(documents: DataFrame) -> DataFrame:
-    """Each text as a page with one figure: parsed, its payload resolved by digest and described."""
+    """Each text as a page with one figure: parsed, its payload resolved by digest and described, its place and neighbours kept."""
     pages = text_pages(documents)
-    # digests are spread by hash and equal ones may be many: what they resolve to is small and joined as a stored table
-    described = stored(media_features(text_media(documents)), "media")
-    found = resolved(interleaved(pages.select(F.struct("doc_id", "n_bytes").alias("page"), "html"), "page", "html"), "page", described)
+    payloads = stored(text_media(documents), "payloads")  # the media table; what follows reads its bytes
+    found = page_sequences(pages.select(F.struct("doc_id", "n_bytes").alias("page"), "html"), media_features(payloads), "page")
     return found.where("kind = 'media'").select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
