@@ -9,10 +9,13 @@ The runs end at chunk ends: they aren't extended to the byte where two texts sto
 passage stay, and some repeats of under 300 bytes aren't found.
 
 First places come from an aggregation with map-side combine; the join of chunks to the digests that occur twice is
-between two plain exchanges, which adaptive execution can split where one passage is everywhere.
+between two plain exchanges, which adaptive execution can split where one passage is everywhere. Texts are cut into
+chunks twice, for both sides: that costs less than a table of all chunks, which would be larger than the texts.
 
-Defined cases: null and empty texts have no chunks and stay; rows equal in doc_id and text count as one document
-(each gets its result); no rows give no rows; extra columns pass through `dedup_substrings` untouched.
+Defined cases: null and empty texts have no chunks and stay; texts of any length are cut whole, a stretch without a
+chunk end every `LONGEST` bytes; doc_ids that aren't integers are compared as strings; rows without a doc_id come before
+all others; rows equal in doc_id and text count as one document (each gets its result), so places don't tie otherwise;
+no rows give no rows; extra columns, whatever their names, pass through `dedup_substrings` untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import blocks, free_name, mixed, prefix_sums, span_hashes, stored, tuned, utf8
@@ -64,13 +67,12 @@ def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """digest, doc (doc_id as long), tid (text digest), at, size of every chunk."""
+    """digest, doc (`_doc_key`), tid (text digest), at, size of every chunk."""
     tuned(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(1))
-            doc = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in blocks(offsets):
                 part, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 tids, prefix = _text_ids(part, cuts), prefix_sums(part)
@@ -81,14 +83,18 @@ def chunks(documents: DataFrame) -> DataFrame:
                 at = np.concatenate([np.concatenate([[0], e[:-1]]) if len(e) else e for e in ends])
                 ends, base = np.concatenate(ends), np.repeat(cuts[:-1], n)
                 digest = span_hashes(prefix, at + base, ends + base).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest, np.repeat(doc[lo:hi], n), np.repeat(tids, n), at.astype(np.int32), (ends - at).astype(np.int32))], ["digest", "doc", "tid", "at", "size"])
+                doc = b.column(0).take(pa.array(np.repeat(np.arange(lo, hi), n)))
+                yield pa.RecordBatch.from_arrays([pa.array(digest), doc, *[pa.array(x) for x in (np.repeat(tids, n), at.astype(np.int32), (ends - at).astype(np.int32))]], ["digest", "doc", "tid", "at", "size"])
 
-    rows = documents.select(_doc_key().alias("doc"), "text")
-    return rows.mapInArrow(run, "digest long, doc long, tid long, at int, size int")
+    key, kind = _doc_key(documents)
+    return documents.select(key.alias("doc"), "text").mapInArrow(run, f"digest long, doc {kind}, tid long, at int, size int")
 
 
-def _doc_key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+def _doc_key(documents: DataFrame, name: str = "doc_id") -> tuple[Column, str]:
+    """A document's key that is never null, and its type."""
+    if dict(documents.dtypes)[name] in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 63))), "long"
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")), "string"
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
@@ -160,6 +166,6 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     types = [t for _, t in documents.dtypes]
     plain = documents.toDF(*names)
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
-    keyed_rows = plain.mapInArrow(keyed, f"{schema}, tid long").withColumn("doc", F.coalesce(F.col(names[columns.index("doc_id")]).cast("long"), F.lit(-(1 << 63))))
+    keyed_rows = plain.mapInArrow(keyed, f"{schema}, tid long").withColumn("doc", _doc_key(plain, names[columns.index("doc_id")])[0])
     met = keyed_rows.join(spans, ["doc", "tid"], "left").select(*names, "spans")
     return met.mapInArrow(cut, f"{schema}, n_passages long, removed_bytes long").toDF(*columns, free_name("n_passages", columns), free_name("removed_bytes", columns))
