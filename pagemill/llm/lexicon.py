@@ -6,11 +6,13 @@ ends in a word's number, and that in its ids. The automaton is flat arrays in on
 Words that it doesn't know are merged exactly.
 
 Encoding is that of a BPE file with word ends: NFC, white space to one space, small letters, words by the file's split
-pattern, byte-level signs. Decoding joins the token strings by a space, as the library does for a file without
-a decoder. Texts with special tokens' strings or control characters that only some libraries take for white space go
-through the library whole.
+pattern, byte-level signs. Decoding goes from ids to token strings, joined by a space, as the library does for a file
+without a decoder. Texts with special tokens' strings, with control characters that only some libraries take for white
+space, or with a code point that Python's tables don't know (the library's are newer) go through the library whole.
 
-Defined cases: a null text is empty and has no ids; equal texts get equal results; extra columns are ignored.
+Defined cases: a null text is empty and has no ids, as has one of white space alone; texts of any length are encoded
+whole; equal texts get equal results; an empty table gives no rows and an automaton without words; parts that tie at the
+last count that would still fit `MOST_WORDS` are all left out; rows may lack a doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -41,6 +44,13 @@ _NONE = 1 << 62
 _ODD = ["<|", *map(chr, range(0x1C, 0x20))]
 
 
+def _unknown() -> re.Pattern:
+    """Code points beyond Python's tables, in whose place the library's may hold letters, marks or small forms."""
+    unknown = [unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)]
+    edges = [i for i in range(0x110000) if unknown[i] != (i > 0 and unknown[i - 1])] + [0x110000]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z - 1))}" for a, z in zip(edges[::2], edges[1::2], strict=False)) + "]")
+
+
 class Merges:
     """The merges of a BPE file with word ends."""
 
@@ -55,6 +65,9 @@ class Merges:
         self.words = regex.compile(next(x for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]).findall
         self.vocab = model["model"]["vocab"]
         self.names = {i: t for t, i in self.vocab.items()}
+        #: Of a decimal id, as texts' ids are kept.
+        self.named = {str(i): t for i, t in self.names.items()}
+        self.strange = _unknown()
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
         #: Of a pair of ids: the merge's rank and, in the low bits, the id it makes.
         self.rank = {(self.vocab[a], self.vocab[b]): i << ID_BITS | self.vocab[a + b] for i, (a, b) in enumerate(pairs)}
@@ -170,7 +183,7 @@ class Lexicon:
 
     KINDS = (np.int64, np.int32, np.int32, np.int8, np.int32, np.int32)
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path) -> None:
         data = np.memmap(path, np.uint8, "r")
         head = data[: 8 * (len(self.KINDS) + 1)].view(np.int64)
         self.root, at, parts = int(head[0]), head.nbytes, []
@@ -182,13 +195,11 @@ class Lexicon:
 
     @classmethod
     def placed(cls, block: bytes) -> Lexicon:
-        """Mapped from a file in this machine's temporary folder, written there once."""
-        path = os.path.join(tempfile.gettempdir(), f"pagemill-{hashlib.sha256(block).hexdigest()[:24]}.lexicon")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(block)
-            os.replace(f.name, path)
-        return cls(path)
+        """Mapped from a file without a name in this worker's temporary folder, which goes when the worker does."""
+        with tempfile.TemporaryFile() as f:
+            f.write(block)
+            f.flush()
+            return cls(f)
 
     def find(self, words: list[bytes]) -> list[list[int] | None]:
         """The ids of each word, None for those that aren't here; all words walk at once."""
@@ -237,27 +248,28 @@ def build_lexicon(documents: DataFrame, tokenizer: str, most: int = MOST_WORDS)
     merges = Merges(tokenizer)
     counts = stored(part_counts(documents).where((F.col("n") > 1) & (F.length("part") <= 48)), "counts")
     # the least count that leaves `most` parts at most; the numbers of parts by count are few, as counts repeat
+    # and `most` of them, from the highest, hold `most` parts at least
     cut, total = None, 0
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).limit(most + 1).collect():
         total += r["count"]
         if total > most:
             break
         cut = r["n"]
     frequent = counts.where(F.col("n") >= cut).collect() if cut else []
-    words = {w.encode() for r in frequent for w in merges.split(r["part"])}
+    words = {w.encode() for r in frequent if not merges.strange.search(r["part"]) for w in merges.split(r["part"])}
     return compiled({w: merges.ids(w) for w in words if len(w) <= 64})
 
 
 class Encoder:
-    """Ids and token strings of texts, by the lexicon first; results of parts and words are kept up to a bound."""
+    """Ids of texts, by the lexicon first; results of parts and words are kept up to a bound."""
 
     _made: dict[tuple[str, str], Encoder] = {}
 
     def __init__(self, tokenizer: str, block: bytes) -> None:
         self.merges, self.lexicon = Merges(tokenizer), Lexicon.placed(block)
-        #: Decimal ids and token strings, each joined by spaces.
-        self.parts: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        #: Decimal ids, joined by spaces; None for a part that only the library can encode.
+        self.parts: dict[str, str | None] = {}
+        self.words: dict[str, str] = {}
 
     @classmethod
     def of(cls, tokenizer: str, block: bytes) -> Encoder:
@@ -270,6 +282,10 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> None:
         merges, known = self.merges, self.words
+        strange = [p for p in parts if not p.isascii() and merges.strange.search(p)]
+        if strange:
+            self.parts.update(dict.fromkeys(strange))
+            parts = list(set(parts) - set(strange))
         split = [merges.split(p) for p in parts]
         new = list({w for x in split for w in x if w not in known})
         if len(known) + len(new) > MOST_KEPT_WORDS:
@@ -277,17 +293,12 @@ class Encoder:
             new = list({w for x in split for w in x})
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         for w, r, got in zip(new, raw, self.lexicon.find(raw), strict=True):
-            own = merges.ids(r) if got is None else got
-            known[w] = " ".join(map(str, own)), " ".join([merges.names[i] for i in own])
+            known[w] = " ".join(map(str, merges.ids(r) if got is None else got))
         for part, x in zip(parts, split, strict=True):
-            if len(x) == 1:
-                self.parts[part] = known[x[0]]
-            else:
-                of = [known[w] for w in x]
-                self.parts[part] = " ".join([i for i, _ in of]), " ".join([t for _, t in of])
+            self.parts[part] = known[x[0]] if len(x) == 1 else " ".join([known[w] for w in x])
 
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """Per text its decimal ids joined by spaces and its decoded text."""
+    def encode(self, texts: list[str]) -> list[str]:
+        """Per text its decimal ids joined by spaces."""
         split, kept = [t.split() for t in texts], self.parts
         new = {p for x in split for p in x if p not in kept}
         if len(kept) + len(new) > MOST_PARTS:
@@ -296,18 +307,22 @@ class Encoder:
         self.learn(list(new))
         out = []
         for text, parts in zip(texts, split, strict=True):
-            if any(x in text for x in _ODD):
-                ids = self.merges.library.encode(text, add_special_tokens=False).ids
-                out.append((" ".join(map(str, ids)), self.merges.library.decode(ids, skip_special_tokens=False)))
+            found = [kept[p] for p in parts]
+            if None in found or any(x in text for x in _ODD):
+                out.append(" ".join(map(str, self.merges.library.encode(text, add_special_tokens=False).ids)))
             else:
-                found = [kept[p] for p in parts]
-                out.append((" ".join([i for i, _ in found]), " ".join([t for _, t in found])))
+                out.append(" ".join(found))
         return out
 
 
-def decode(ids: list[int], merges: Merges) -> str:
-    """The text of ids: token strings joined by a space."""
-    return " ".join([merges.names[i] for i in ids if i in merges.names])
+def decode(ids: str, merges: Merges) -> str:
+    """The text of decimal ids joined by spaces: token strings joined by a space; an id without a string is left out."""
+    if not ids:
+        return ""
+    try:
+        return " ".join(map(merges.named.__getitem__, ids.split(" ")))
+    except KeyError:
+        return " ".join([merges.named[i] for i in ids.split(" ") if i in merges.named])
 
 
 def encode_documents(documents: DataFrame, tokenizer: str, block: bytes, with_ids: bool = False) -> DataFrame:
@@ -328,10 +343,11 @@ def encode_documents(documents: DataFrame, tokenizer: str, block: bytes, with_id
                 got += encoder.encode(texts[lo:hi])
                 lo = hi
             sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-            out = [b.column(0), pa.array([i.count(" ") + 1 if i else 0 for i, _ in got], pa.int64()), pa.array([sha(i) for i, _ in got], pa.string()), pa.array([sha(d) for _, d in got], pa.string())]
+            read = [decode(i, encoder.merges) for i in got]
+            out = [b.column(0), pa.array([i.count(" ") + 1 if i else 0 for i in got], pa.int64()), pa.array([sha(i) for i in got], pa.string()), pa.array([sha(d) for d in read], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                out, names = [*out, pa.array([i for i, _ in got], pa.string()), pa.array([d for _, d in got], pa.string())], [*names, "ids", "decoded"]
+                out, names = [*out, pa.array(got, pa.string()), pa.array(read, pa.string())], [*names, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = dict(documents.dtypes)["doc_id"]
