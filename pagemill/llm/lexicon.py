@@ -66,7 +66,7 @@ class Merges:
         self.vocab = model["model"]["vocab"]
         self.names = {i: t for t, i in self.vocab.items()}
         #: Of a decimal id, as texts' ids are kept.
-        self.named = {str(i): t for i, t in self.names.items()}
+        self.named = {str(i): t for i, t in self.names.items()} | {str(t["id"]): t["content"] for t in model["added_tokens"]}
         self.strange = _unknown()
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
         #: Of a pair of ids: the merge's rank and, in the low bits, the id it makes.
