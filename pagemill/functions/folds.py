@@ -41,10 +41,10 @@ def greedy(parts: Iterable[str], fits: Callable[[list[str], str], bool]) -> Iter
         yield group
 
 
-def sentences(paragraph: str) -> list[str]:
+def sentences(paragraph: str | None) -> list[str]:
     """Sentences, with abbreviations, initials and bare list numbers kept inside."""
     out: list[str] = []
-    for piece in _SENTENCE_GAP.split(paragraph):
+    for piece in _SENTENCE_GAP.split(paragraph or ""):
         open_end = out and (_ABBREVIATION.search(out[-1]) or re.fullmatch(r"\d{1,3}\.", out[-1].strip()))
         out[-1:] = [f"{out[-1]} {piece}"] if open_end else [*out[-1:], piece]
     return out
@@ -323,15 +323,39 @@ reflow_column = _mapped(reflow, "string")
 sentences_column = _mapped(sentences, "array<string>")
 
 
-def repair_glyphs_column(text: Column, lexicon: list[str]) -> Column:
-    """Only texts with such a glyph go through Python."""
-    known = frozenset(lexicon)
+def repair_glyphs_column(text: Column, words: Column | None = None) -> Column:
+    """words: the known words of each text (array, null for none). Only texts with such a glyph have a text in Python."""
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else repair_glyphs(t, known) for t in texts], dtype=object)
+    def run(texts: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else repair_glyphs(t, frozenset(() if w is None else w)) for t, w in zip(texts, words, strict=True)], dtype=object)
+
+    holed = text.rlike(f"[{_GLYPH}]")
+    known = F.lit(None).cast("array<string>") if words is None else words
+    return F.when(holed, run(F.when(holed, text), F.when(holed, known))).otherwise(text)
+
+
+def candidate_words(text: Column) -> Column:
+    """The words, in small letters, that the holes inside or before words of a text would make with each ligature."""
+    inside = F.regexp_extract_all(text, F.lit(rf"(?<=[a-z])[{_GLYPH}]+(?=[a-z])|(?<![A-Za-z])[{_GLYPH}]+(?=[a-z]{{2}})"), F.lit(0))
+    # each run of letters and holes, split at its holes: what stands before and after every one
+    runs = F.regexp_extract_all(text, F.lit(rf"[\p{{L}}{_GLYPH}]*[{_GLYPH}][\p{{L}}{_GLYPH}]*"), F.lit(0))
+    pieces = F.transform(runs, lambda r: F.split(F.lower(r), f"[{_GLYPH}]+"))
+    pairs = F.flatten(F.transform(pieces, lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda after, i: F.struct(F.get(p, i).alias("before"), after.alias("after")))))
+    made = F.flatten(F.transform(pairs, lambda x: F.array(*[F.concat(x["before"], F.lit(lig), x["after"]) for lig in rules.LIGATURES])))
+    return F.when(F.size(inside) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+class Segments:
+    """A table function for SQL: segments(text, most) gives number and segment."""
+
+    def eval(self, text: str, most: int):
+        yield from enumerate(segments(text, most))
+
 
-    return F.when(text.rlike(f"[{_GLYPH}]"), run(F.when(text.rlike(f"[{_GLYPH}]"), text))).otherwise(text)
+def register(spark) -> None:
+    """Make `segments` known to SQL: SELECT * FROM docs, LATERAL segments(text, 3000)."""
+    spark.udtf.register("segments", F.udtf(Segments, returnType="number int, segment string"))
 
 
 def collapse_column(text: Column) -> Column:

@@ -43,11 +43,11 @@ END_MATTER = (r"^\s*#{0,6}\s*(?:references|external links|see also|further readi
 
 # --- Cleaning of a body, in order ---
 CLEAN_BEFORE_HEADINGS = [
-    (r"```(?:.|\n)*?```", "", " Code example omitted. "),
+    (r"```.*?```", "s", " Code example omitted. "),
     (r"\[?\s*\[edit\]\s*\([^)]*\)\s*\]?", "i", ""),
     (r"\[edit\]", "i", ""),
     (r"\(#[^)\s]*\)", "", ""),
-    (r"<sup\b[^>]*>(?:.|\n)*?</sup>", "i", ""),
+    (r"<sup\b[^>]*>.*?</sup>", "si", ""),
     (r"</?(?:sub|span|em|strong|i|b|u|small|br|a)\b[^>]*/?>", "i", ""),
     (r"\\([\[\]])", "", "$1"),
     (r"<https?://[^>]+>", "", ""),
@@ -58,7 +58,6 @@ CLEAN_BEFORE_HEADINGS = [
     (r"^\s*\|.*\|\s*$", "m", ""),
     (r"^(?:figure|fig\.|photo|image|photograph|illustration|source|credit|caption)\b[^\n]{0,200}$", "mi", ""),
 ]
-HEADING = r"^#{1,6}\s+(.*)$"
 INLINE_CODE = (r"`([^`]*)`", "", "$1")
 EMPHASIS = (r"(\*{1,3}|_{1,3})(\S(?:.*?\S)?)\1", "", "$2")
 EMPHASIS_MARKS = ["***", "**", "*", "___", "__", "_"]
@@ -75,6 +74,39 @@ CLEAN_AFTER_EMPHASIS = [
     (r"\n{3,}", "", "\n\n"),
 ]
 
+# --- Signs without case of which a text has to hold one for a rule to match ---
+SIGNS = {
+    HYGIENE_LINES[0][0]: ["/"],
+    HYGIENE_LINES[2][0]: ["-"],
+    HYGIENE_LINES[4][0]: ["/"],
+    HYGIENE_LINES[12][0]: ["@"],
+    HYGIENE_INLINE[0][0]: ["(cid:"],
+    HYGIENE_INLINE[3][0]: ["/"],
+    CLEAN_BEFORE_HEADINGS[0][0]: ["```"],
+    CLEAN_BEFORE_HEADINGS[1][0]: ["["],
+    CLEAN_BEFORE_HEADINGS[2][0]: ["["],
+    CLEAN_BEFORE_HEADINGS[3][0]: ["(#"],
+    CLEAN_BEFORE_HEADINGS[4][0]: ["<"],
+    CLEAN_BEFORE_HEADINGS[5][0]: ["<"],
+    CLEAN_BEFORE_HEADINGS[6][0]: ["\\[", "\\]"],
+    CLEAN_BEFORE_HEADINGS[7][0]: ["<http"],
+    CLEAN_BEFORE_HEADINGS[8][0]: ["!["],
+    CLEAN_BEFORE_HEADINGS[9][0]: ["["],
+    CLEAN_BEFORE_HEADINGS[10][0]: ["]("],
+    CLEAN_BEFORE_HEADINGS[11][0]: ["http"],
+    CLEAN_BEFORE_HEADINGS[12][0]: ["|"],
+    INLINE_CODE[0]: ["`"],
+    CLEAN_AFTER_EMPHASIS[0][0]: ["**"],
+    CLEAN_AFTER_EMPHASIS[1][0]: [">"],
+    CLEAN_AFTER_EMPHASIS[3][0]: ["["],
+    CLEAN_AFTER_EMPHASIS[4][0]: ["["],
+    CLEAN_AFTER_EMPHASIS[5][0]: ["[", "]"],
+    CLEAN_AFTER_EMPHASIS[6][0]: ["\x02"],
+    CLEAN_AFTER_EMPHASIS[7][0]: ["\x01"],
+    CLEAN_AFTER_EMPHASIS[8][0]: ["  ", "\t"],
+    CLEAN_AFTER_EMPHASIS[9][0]: ["\n\n\n"],
+}
+
 # --- What a cleaned text should not hold (name, pattern, flags) ---
 LINT = [
     ("html tag", r"</?[a-z][a-z0-9]*\b[^>]*>", "i"),
@@ -87,6 +119,7 @@ LINT = [
     ("code fence", r"```", ""),
     ("citation marker", r"\bcite[_-]?(?:note|ref)", "i"),
 ]
+LINT_SIGNS = {"html tag": ["<"], "bracket residue": ["[", "]"], "backslash escape": ["\\"], "anchor husk": ["(#"], "markdown emphasis": ["*", "__"], "markdown heading": ["#"], "code fence": ["```"]}
 AUTHOR_BRACKET = (r"\[(\w{1,12})\]", "", "$1")
 REPEATED_PARAGRAPH_CHARS = 200
 
@@ -143,8 +176,23 @@ ALPHA, MOST_LOG_RATIO, FACTOR_MIN, FACTOR_MAX, SPREAD_K = 0.1, 2.5, 0.25, 8.0, 1
 SINGLE_BASE_S, SINGLE_S_PER_CHAR, CHUNK_S, OCR_PAGE_S, AUDIO_S_PER_CHAR = 60.0, 0.02, 480.0, 190.0, 1 / 30
 
 # --- Settings that chat may change ---
+FROZEN_KEYS = ["tts_voice", "tts_enabled", "cover_style"]
 ALLOWED_KEYS = ["tts_voice", "tts_enabled", "note_format", "cover_style"]
 
+# --- Commands and the settings they set ---
+COMMANDS = {"voice": "tts_voice", "format": "note_format", "cover": "cover_style", "tts": "tts_enabled"}
+NOTE_FORMATS = ["pdf", "md", "docx", "none"]
+COVER_STYLES = {
+    "flat": "flat minimalist illustration, limited color palette, clean shapes",
+    "storybook": "detailed storybook illustration, ink and color",
+    "painterly": "painterly oil painting, visible brush strokes",
+    "watercolor": "soft watercolor painting, paper texture",
+    "woodcut": "linocut woodcut print, bold lines, two colors",
+    "poster": "vintage travel poster style, bold flat colors",
+}
+FALLBACK_STYLE = "flat"
+COVER_CHOICES = ["auto", "random", *COVER_STYLES, "off"]
+
 # --- Voices ---
 LANGUAGES = {"a": "American English", "b": "British English", "e": "Spanish", "f": "French", "h": "Hindi", "i": "Italian", "j": "Japanese", "p": "Portuguese", "z": "Chinese"}
 GENDERS = {"f": "female", "m": "male"}

@@ -33,17 +33,43 @@ def apply(text: Column, rules: Iterable[Rule]) -> Column:
     return text
 
 
-def apply_where(text: Column, signs: str, rules: Iterable[Rule]) -> Column:
-    """The rules, for texts that hold one of the signs; the others aren't searched."""
+def holds(text: Column, signs: Iterable[str]) -> Column:
+    """Whether a text holds one of the signs: a plain search, many times faster than a pattern."""
+    held = F.lit(False)
+    for sign in signs:
+        held = held | text.contains(sign)
+    return held
+
+
+def any_of(rules: Iterable[Rule]) -> str:
+    """One pattern that a text matches where any of the rules does; what all begin with is tried once."""
     rules = list(rules)
+    begin = r"^\s*" if all(p.startswith(r"^\s*") and "m" in f for p, f, _ in rules) else ""
+    return f"(?Ud{'m' if begin else ''}){begin}(?:" + "|".join(f"(?{f}:{p.removeprefix(begin)})" for p, f, _ in rules) + ")"
+
+
+def apply_gated(text: Column, rules: Iterable[Rule], signs: dict[str, list[str]]) -> Column:
+    """Every rule in turn, each only for texts that hold one of its signs (by its pattern); without signs for all.
+
+    The rules are a constant array that one fold runs over, so the expression is no deeper for many rules than for one,
+    and what a rule's text holds is looked up in the text as the rules before left it.
+    """
 
-    def gated(x: Column) -> Column:
-        held = x.contains(signs[0])
-        for sign in signs[1:]:
-            held = held | x.contains(sign)
-        return F.when(held, apply(x, rules)).otherwise(x)
+    def described(rule: Rule) -> Column:
+        pattern, flags, new = rule
+        return F.struct(F.lit(spark_pattern(pattern, flags)).alias("pattern"), F.lit(new).alias("new"), F.array(*map(F.lit, signs.get(pattern, []))).cast("array<string>").alias("signs"))
 
-    return let(text, gated)
+    def step(x: Column, rule: Column) -> Column:
+        held = (F.size(rule["signs"]) == 0) | F.exists(rule["signs"], lambda s: F.contains(x, s))
+        return F.when(held, F.regexp_replace(x, rule["pattern"], rule["new"])).otherwise(x)
+
+    return F.aggregate(F.array(*map(described, rules)), text, step)
+
+
+def apply_probed(text: Column, rules: Iterable[Rule], signs: dict[str, list[str]]) -> Column:
+    """The same, for texts in which any of the rules matches; one pass over a text where none does."""
+    rules = list(rules)
+    return let(text, lambda x: F.when(x.rlike(any_of(rules)), apply_gated(x, rules, signs)).otherwise(x))
 
 
 def quoted(text: str) -> str:

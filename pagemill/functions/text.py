@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules
-from pagemill.functions.rx import apply, apply_where, let, spark_pattern, strip
+from pagemill.functions.rx import apply, apply_gated, apply_probed, holds, let, spark_pattern, strip
 
 Text = Column
 
 
 def hygiene(text: Column) -> Column:
     """Without page furniture and boilerplate, broken words healed. Running headers are a window (`operators.lines`)."""
-    return apply(text, [*rules.HYGIENE_LINES, *rules.HYGIENE_INLINE, rules.HYPHEN_BREAK])
+    return apply_probed(apply_probed(text, rules.HYGIENE_LINES, rules.SIGNS), [*rules.HYGIENE_INLINE, rules.HYPHEN_BREAK], rules.SIGNS)
 
 
 def cut_end_matter(text: Column) -> Column:
@@ -26,26 +24,42 @@ def cut_end_matter(text: Column) -> Column:
 
 def headings_spoken(text: Column) -> Column:
     """A heading line becomes a sentence: its marks go, one full stop ends it."""
-    text = apply(text, [(r"^#{1,6}\s+(.*?)[^\S\n]*$", "m", "\x03$1\x04")])
-    return apply(text, [(r"[.:]+\x04", "", "\x04"), (r"\x03", "", ""), (r"\x04", "", ".")])
+    spoken = [(r"^#{1,6}\s+(.*?)[^\S\n]*$", "m", "\x03$1\x04"), (r"[.:]+\x04", "", "\x04"), (r"\x03", "", ""), (r"\x04", "", ".")]
+    return let(text, lambda x: F.when(holds(x, ["#", "\x03", "\x04"]), apply(x, spoken)).otherwise(x))
 
 
 def clean_body(text: Column) -> Column:
     """Without what is painful to hear; every sentence of the author stays."""
-    before = rules.CLEAN_BEFORE_HEADINGS
-    brackets = [r for r in before if r[0].startswith((r"\[", "!")) or r[0].startswith(r"\\(")]
-    text = apply(text, before[:1])
-    for in_brackets, group in groupby(before[1:], lambda r: r in brackets):
-        text = apply_where(text, "[]", group) if in_brackets else apply(text, group)
-    text = apply_where(headings_spoken(text), "`", [rules.INLINE_CODE])
-    text = apply_where(text, "*_", [rules.EMPHASIS, rules.EMPHASIS])
-    return strip(apply(text, rules.CLEAN_AFTER_EMPHASIS))
+    text = headings_spoken(apply_gated(text, rules.CLEAN_BEFORE_HEADINGS, rules.SIGNS))
+    # a pair ends in a mark after a sign; without one, every mark would be tried against all that follows it
+    paired = lambda x: F.when(x.rlike(r"[^ \t\n\r][*_]"), apply(x, [rules.EMPHASIS, rules.EMPHASIS])).otherwise(x)
+    text = let(apply_gated(text, [rules.INLINE_CODE], rules.SIGNS), paired)
+    return strip(apply_gated(text, rules.CLEAN_AFTER_EMPHASIS, rules.SIGNS))
 
 
 def lint_counts(text: Column) -> Column:
     """An array of (pattern, hits): what is left that a voice would read out."""
-    count = lambda bare, p, f: F.regexp_count(bare, F.lit(spark_pattern(p, f))).cast("long")
-    return let(apply_where(text, "[", [rules.AUTHOR_BRACKET]), lambda bare: F.array(*[F.struct(F.lit(name).alias("pattern"), count(bare, p, f).alias("hits")) for name, p, f in rules.LINT]))
+    return let(without_author_brackets(text), lambda bare: F.array(*[F.struct(F.lit(name).alias("pattern"), _counted(bare, name, p, f).alias("hits")) for name, p, f in rules.LINT]))
+
+
+def _counted(text: Column, name: str, pattern: str, flags: str) -> Column:
+    hits = F.regexp_count(text, F.lit(spark_pattern(pattern, flags))).cast("long")
+    return F.when(holds(text, rules.LINT_SIGNS[name]), hits).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long"))) if name in rules.LINT_SIGNS else hits
+
+
+def without_author_brackets(text: Column) -> Column:
+    """Short words in brackets are the author's own: only the word stays."""
+    return apply_gated(text, [rules.AUTHOR_BRACKET], {rules.AUTHOR_BRACKET[0]: ["["]})
+
+
+def lint_findings(text: Column) -> Column:
+    """An array of (pattern, hits, context) of what a text still holds, the first hit of each with what stands around it."""
+
+    def found(bare: Column) -> Column:
+        each = [F.struct(F.lit(name).alias("pattern"), _counted(bare, name, p, f).alias("hits"), lint_context(bare, p, f).alias("context")) for name, p, f in rules.LINT]
+        return F.filter(F.array(*each), lambda x: x["hits"] > 0)
+
+    return let(without_author_brackets(text), found)
 
 
 def lint_context(text: Column, pattern: str, flags: str) -> Column:
@@ -69,8 +83,29 @@ def raw_sentences(text: Column) -> Column:
     return F.split(text, r'(?U)(?:(?<=[.!?])|(?<=[.!?]["\u201d\u2019)]))\s+(?=[A-Z0-9"\u201c(])')
 
 
+#: Stand where a sentence ends, and where it doesn't though a gap looks like it.
+_END, _ON = "\x1f", "\x1e"
+
+
 def sentences(text: Column) -> Column:
-    """The same, rejoined after abbreviations, initials and bare list numbers."""
+    """The same, rejoined after abbreviations, initials and bare list numbers: passes over the text, no fold.
+
+    A gap after an abbreviation becomes a space, any other a mark; a list number keeps the gap after it unless it was
+    itself joined, so of numbers in a row every other one is. Texts that hold the marks are folded instead.
+    """
+    gap = r'\s+(?=[A-Z0-9"\u201c(])'
+    # white space is looked for first, then the full stop, then the words before it
+    short = rf"(?U)(?=\s)(?<=\.)(?<=(?i:{rules.ABBREVIATION.removesuffix('$')}))"
+
+    def split(x: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(x, short + gap, _ON), r'(?U)(?=\s)(?:(?<=[.!?])|(?<=[.!?]["\u201d\u2019)]))' + gap, _END)
+        numbered = F.regexp_replace(marked, rf"(?U)(^|{_END})(\s*\d{{1,3}}\.){_END}", "$1$2 ")
+        return F.split(F.translate(numbered, _ON, " "), _END)
+
+    return let(text, lambda x: F.when(x.contains(_END) | x.contains(_ON), _folded_sentences(x)).otherwise(split(x)))
+
+
+def _folded_sentences(text: Column) -> Column:
     joined = lambda last, part: F.concat(last, F.lit(" "), part)
     not_end = lambda s: s.rlike(spark_pattern(rules.ABBREVIATION, "i")) | strip(s).rlike(r"^\d{1,3}\.$")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
@@ -193,6 +228,11 @@ def voice_group(voice: Column) -> Column:
     return F.when((F.substring(voice, 3, 1) == "_") & language.isNotNull() & gender.isNotNull(), F.concat(language, F.lit(", "), gender)).otherwise("other")
 
 
+def voice_sample(voice: Column, passage: str) -> Column:
+    """What a voice says of itself."""
+    return F.concat(F.lit("Hello, I'm "), F.replace(voice, F.lit("_"), F.lit(" ")), F.lit(". " + passage))
+
+
 def looks_like_heading(line: Column) -> Column:
     """A strict test for headings in text layers without markup."""
     s = strip(F.regexp_replace(line, rf"(?U)\s?[{rules.DIACRITIC_RESIDUE}]\s?|\.(?=[a-z])".replace("[¯˙˘´`^", "[¯˙˘´`\\^"), ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import rules, text as t
+from pagemill.functions.folds import collapse_column
 from pagemill.functions.rx import strip, unspaced_length
 
 
@@ -45,12 +46,12 @@ def cached(pages: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 
 def ocr_outcome(text: Column, seconds: Column, complete: Column, timed_out: Column, limit_s: float, limit_tokens: int) -> Column:
-    """struct<text, method, seconds, reason> of one page's OCR: a timeout or a run to the cap skips the page, its text discarded."""
+    """struct<text, method, seconds, reason> of one page's OCR: a transcription that starts over is cut there; a timeout or a run to the cap skips the page, its text discarded."""
     empty = F.lit("")
     return (
         F.when(timed_out, F.struct(empty.alias("text"), F.lit("skipped").alias("method"), F.lit(float(limit_s)).alias("seconds"), F.lit(f"OCR timed out after {limit_s:.0f}s").alias("reason")))
         .when(~complete, F.struct(empty.alias("text"), F.lit("skipped").alias("method"), seconds.cast("double").alias("seconds"), F.lit(f"OCR runaway, cut at {limit_tokens} tokens").alias("reason")))
-        .otherwise(F.struct(strip(t.normalize_latex(text)).alias("text"), F.lit("ocr").alias("method"), seconds.cast("double").alias("seconds"), F.lit(None).cast("string").alias("reason")))
+        .otherwise(F.struct(strip(t.normalize_latex(collapse_column(text)["text"])).alias("text"), F.lit("ocr").alias("method"), seconds.cast("double").alias("seconds"), F.lit(None).cast("string").alias("reason")))
     )
 
 
@@ -70,6 +71,13 @@ def dispatched(target: Column, exists: Column) -> tuple[Column, Column]:
     return kind, error.cast("string")
 
 
+def skip_reasons(pages: DataFrame, key: str) -> DataFrame:
+    """skipped_pages and skip_reasons (each once, in the order of pages) of each document. pages: key, number, method, reason."""
+    skipped = F.col("method") == "skipped"
+    told = F.transform(F.array_sort(F.collect_list(F.when(skipped & (F.coalesce("reason", F.lit("")) != ""), F.struct("number", "reason")))), lambda p: p["reason"])
+    return pages.groupBy(key).agg(F.count_if(skipped).alias("skipped_pages"), F.array_distinct(told).alias("skip_reasons"))
+
+
 def provenance(docs: DataFrame, created: str, model: str) -> Column:
     """One line on how a document came about; parts that don't apply are left out."""
     c = F.col

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import rules, text as t
+from pagemill.functions.folds import candidate_words, repair_glyphs_column
 from pagemill.functions.rx import let, strip
 
 
@@ -18,23 +19,50 @@ def lines_of(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Data
 def without_running_headers(text: Column) -> Column:
     """Lines that stand in a document three times or more, and are longer than three characters, go wherever they stand.
 
-    Per row: sorted, a line stands three times where it equals the one two places on; nothing is shuffled.
+    Per row: in sorted lines, one stands three times where it equals those beside it or two places off; what is left is
+    sorted by place again. Nothing is shuffled, and a long document costs two sorts.
     """
     step = rules.REPEATED_LINE_TIMES - 1
 
-    def kept(lines: Column, ordered: Column) -> Column:
-        often = F.array_distinct(F.filter(ordered, lambda s, i: (i + step < F.size(ordered)) & (F.get(ordered, i + step) == s)))
-        return let(often, lambda gone: F.array_join(F.filter(lines, lambda line: ~F.array_contains(gone, strip(line))), "\n"))
+    def rare(ordered: Column) -> Column:
+        def alone(x: Column, i: Column) -> Column:
+            same = lambda k: F.coalesce(F.get(ordered, i + k)["s"] == x["s"], F.lit(False))
+            first = [same(k + step) & (same(k) if k else F.lit(True)) for k in range(-step, 1)]
+            often = first[0]
+            for f in first[1:]:
+                often = often | f
+            return ~(often & (F.length(x["s"]) > rules.REPEATED_LINE_LONGER))
 
-    def ordered_of(lines: Column) -> Column:
-        return F.array_sort(F.filter(F.transform(lines, strip), lambda s: F.length(s) > rules.REPEATED_LINE_LONGER))
+        left = F.sort_array(F.transform(F.filter(ordered, alone), lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"))))
+        return F.array_join(F.transform(left, lambda x: x["line"]), "\n")
 
-    return let(F.split(text, "\n"), lambda lines: let(ordered_of(lines), lambda ordered: kept(lines, ordered)))
+    def dropped(lines: Column) -> Column:
+        ordered = F.sort_array(F.transform(lines, lambda line, i: F.struct(strip(line).alias("s"), i.alias("i"), line.alias("line"))))
+        return let(ordered, rare)
 
+    # a line that stands three times leaves two distinct ones fewer than there are
+    few = lambda lines: F.size(lines) - F.size(F.array_distinct(F.transform(lines, strip))) < step
+    return let(F.split(text, "\n"), lambda lines: F.when(few(lines), F.array_join(lines, "\n")).otherwise(dropped(lines)))
 
-def prepared(text: Column) -> Column:
-    """Document level: running headers, furniture, end matter."""
-    return t.cut_end_matter(t.hygiene(without_running_headers(text)))
+
+def prepared(text: Column, words: Column | None = None) -> Column:
+    """Document level: missing glyphs, running headers, furniture, end matter.
+
+    words: the known words that holes in a text may stand for (`known_words`); without any, ligatures are guessed by place.
+    """
+    return t.cut_end_matter(t.hygiene(without_running_headers(repair_glyphs_column(text, words))))
+
+
+def known_words(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """key and words (array): of all words that a text's holes could make, those in `vocabulary` (word); only texts with holes."""
+    holed = docs.where(F.col(column).rlike(f"[{rules.MISSING_GLYPH}]")).select(key, F.explode(candidate_words(F.col(column))).alias("word"))
+    return holed.distinct().join(vocabulary.select("word").distinct(), "word", "left_semi").groupBy(key).agg(F.collect_list("word").alias("words"))
+
+
+def vocabulary(docs: DataFrame, column: str = "text", least: int = 1) -> DataFrame:
+    """word and n: every word of a corpus with a ligature in it, counted over all texts; pre-aggregated per task."""
+    words = F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}*(?:" + "|".join(rules.LIGATURES) + r")\p{L}*)"), F.lit(1))
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def lint(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -43,6 +71,14 @@ def lint(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFram
     return counts.select(key, "c.pattern", "c.hits")
 
 
+def findings(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """key, pattern, hits and context of the first hit, for what documents still hold; repeated paragraphs among them."""
+    left = docs.select(key, F.explode(t.lint_findings(F.col(column))).alias("c")).select(key, "c.*")
+    again = repeated_paragraphs(docs, key, column).groupBy(key).agg(F.count("*").alias("hits"), F.min_by("paragraph", "rank").alias("first"))
+    shown = strip(F.regexp_replace(F.substring("first", 1, 80), r"(?U)\s+", " "))
+    return left.unionByName(again.select(key, F.lit("repeated paragraph").alias("pattern"), "hits", shown.alias("context")))
+
+
 def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", column: str = "text", separator: str = "\n\n", least: int = rules.REPEATED_PARAGRAPH_CHARS) -> DataFrame:
     """Long paragraphs that come again within a document: their number, the first text, in the order of second places."""
     parts = docs.select(key, F.posexplode(F.split(column, separator)).alias("at", "paragraph")).where(F.length("paragraph") >= least)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zoneinfo
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,22 +13,61 @@ from pyspark.sql.window import Window
 from pagemill.functions import rules
 
 
+#: Seconds of a span within which something runs in one task; a queue with many jobs has many spans.
+SPAN = 86_400
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], total: Callable[[Column], Column], value: Column, name: str, inclusive: bool = True) -> DataFrame:
+    """rows with the running sum or maximum (`total` is F.sum or F.max) of a value, in order within `by`.
+
+    Both are associative, so a hot key isn't one task: they run within spans of the first of `order` (a number), and over
+    the spans' totals, which are few.
+    """
+    span = F.floor(F.col(order[0]) / SPAN)
+    cut = rows.withColumn("_span", span).withColumn("_value", value)
+    end = Window.currentRow if inclusive else -1
+    inner = total(F.col("_value")).over(Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, end))
+    spans = cut.groupBy(*by, "_span").agg(total(F.col("_value")).alias("_total"))
+    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*by, "_span", total(F.col("_total")).over(before).alias("_before"))
+    # totals and rows meet by key and span; null keys are one queue too
+    met = cut.withColumn("_inner", inner).alias("r").join(spans.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "_span"]])
+    own = F.col("_inner"), F.col("s._before")
+    both = F.coalesce(own[0] + own[1], *own) if total is F.sum else F.greatest(*own)
+    return met.select(*[F.col(f"r.{c}") for c in rows.columns], both.alias(name))
+
+
 def replayed(jobs: DataFrame, queue: list[str], arrival: str, service: str, order: list[str], prefix: str = "") -> DataFrame:
     """jobs with start, finish and wait in one-worker FIFO queues, by windows alone.
 
-    With S the running sum of service, a job ends at S_n + max over k <= n of (arrival_k - S_(k-1)).
+    With S the running sum of service, a job ends at S_n + max over k <= n of (arrival_k - S_(k-1)). The first of `order`
+    has to be a number of seconds: both run within spans of `SPAN` of it, and over the totals of the spans.
     """
-    w = Window.partitionBy(*queue).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done = F.sum(service).over(w)
-    rows = jobs.withColumn("_done", done).withColumn("_slack", F.col(arrival) - (F.col("_done") - F.col(service)))
-    finish = F.col("_done") + F.max("_slack").over(w)
-    return rows.withColumn(f"{prefix}finish", finish).withColumn(f"{prefix}start", F.col(f"{prefix}finish") - F.col(service)).withColumn(f"{prefix}wait", F.col(f"{prefix}start") - F.col(arrival)).drop("_done", "_slack")
+    rows = running(jobs, queue, order, F.sum, F.col(service), "_done")
+    rows = rows.withColumn("_slack", F.col(arrival) - (F.col("_done") - F.col(service)))
+    rows = running(rows, queue, order, F.max, F.col("_slack"), "_most")
+    finish = F.col("_done") + F.col("_most")
+    return rows.withColumn(f"{prefix}finish", finish).withColumn(f"{prefix}start", F.col(f"{prefix}finish") - F.col(service)).withColumn(f"{prefix}wait", F.col(f"{prefix}start") - F.col(arrival)).drop("_done", "_slack", "_most")
 
 
 def ahead(jobs: DataFrame, queue: list[str], arrival: str, finish: str, service: str, order: list[str]) -> DataFrame:
     """jobs with seconds_ahead: what is left of the work that arrived before."""
-    before = Window.partitionBy(*queue).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return jobs.withColumn("seconds_ahead", F.greatest(F.lit(0.0), F.coalesce(F.max(finish).over(before), F.col(arrival)) - F.col(arrival)))
+    rows = running(jobs, queue, order, F.max, F.col(finish), "_last", inclusive=False)
+    return rows.withColumn("seconds_ahead", F.greatest(F.lit(0.0), F.coalesce("_last", F.col(arrival)) - F.col(arrival))).drop("_last")
+
+
+def jobs_ahead(jobs: DataFrame, queue: list[str], arrival: str, finish: str, order: list[str], name: str = "jobs_ahead") -> DataFrame:
+    """jobs with the number of those before it that aren't done when it arrives.
+
+    In a queue of one worker finishes come in order, so the jobs done by a time are counted by one running sum over
+    arrivals and finishes together: a finish at the very time of an arrival counts as done.
+    """
+    keep = [*dict.fromkeys([*queue, *order, arrival])]
+    asks = jobs.select(*[F.col(c) for c in keep], F.col(arrival).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_done"), F.lit(1).alias("_come"))
+    ends = jobs.select(*[F.col(c) for c in keep], F.col(finish).cast("double").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_done"), F.lit(0).alias("_come"))
+    both = running(asks.unionByName(ends), queue, ["_at", "_kind", *order], F.sum, F.col("_come") - F.col("_done"), "_open")
+    found = both.where("_kind = 1").select(*keep, (F.col("_open") - 1).cast("long").alias(name))
+    return jobs.join(found, keep)
 
 
 def estimated(kind: Column, text_chars: Column, ocr_pages: Column, budget: int, chunk: int) -> Column:
@@ -39,15 +82,11 @@ def estimated(kind: Column, text_chars: Column, ocr_pages: Column, budget: int,
     )
 
 
-def _step(state: Column, ratio: Column) -> Column:
+def folded(state: tuple[float, float, int], ratio: float) -> tuple[float, float, int]:
     """One observation: the mean moves fast at first, then with a fixed share; spread follows once there is a mean."""
-    alpha = F.greatest(F.lit(rules.ALPHA), F.lit(1.0) / (state["n"] + 1))
-    residual = ratio - state["log_factor"]
-    return F.struct(
-        (state["log_factor"] + alpha * residual).alias("log_factor"),
-        F.when(state["n"] > 0, state["spread"] + alpha * (F.abs(residual) - state["spread"])).otherwise(state["spread"]).alias("spread"),
-        (state["n"] + 1).alias("n"),
-    )
+    mean, spread, n = state
+    share, off = max(rules.ALPHA, 1 / (n + 1)), ratio - mean
+    return mean + share * off, spread + share * (abs(off) - spread) if n else spread, n + 1
 
 
 def log_ratio(predicted: Column, actual: Column) -> Column:
@@ -63,18 +102,52 @@ def clamped(log_factor: Column) -> Column:
 def calibrated(observations: DataFrame, order: list[str]) -> DataFrame:
     """stage, log_factor, spread, n, factor and upper after all observations, in order. observations: stage, predicted, actual.
 
-    The state is a fold, which no partial aggregate can split; a stage's ratios are two numbers each.
+    The state is a fold over all of a stage's observations in order, which no partial aggregate can split: each stage's
+    ratios, sorted, stream through one task, which holds three numbers and spills what it sorts.
     """
     rows = observations.where(F.col("stage").isin(rules.STAGES)).withColumn("r", log_ratio(F.col("predicted"), F.col("actual"))).where("r is not null")
-    start = F.struct(F.lit(0.0).alias("log_factor"), F.lit(0.0).alias("spread"), F.lit(0).alias("n"))
-    ordered = rows.groupBy("stage").agg(F.array_sort(F.collect_list(F.struct(*order, "r"))).alias("seen"))
-    state = ordered.select("stage", F.aggregate(F.transform("seen", lambda x: x["r"]), start, _step).alias("s"))
-    return state.select("stage", "s.log_factor", "s.spread", F.col("s.n").cast("long").alias("n"), clamped(F.col("s.log_factor")).alias("factor"), clamped(F.col("s.log_factor") + rules.SPREAD_K * F.col("s.spread")).alias("upper"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stage, state = None, (0.0, 0.0, 0)
+        for b in batches:
+            for s, r in zip(b["stage"], b["r"], strict=True):
+                if s != stage:
+                    if stage is not None:
+                        yield pd.DataFrame([(stage, *state)], columns=["stage", "log_factor", "spread", "n"])
+                    stage, state = s, (0.0, 0.0, 0)
+                state = folded(state, r)
+        if stage is not None:
+            yield pd.DataFrame([(stage, *state)], columns=["stage", "log_factor", "spread", "n"])
+
+    ordered = rows.repartition("stage").sortWithinPartitions("stage", *order, "r").select("stage", "r")
+    return learned(ordered.mapInPandas(fold, "stage string, log_factor double, spread double, n long"))
+
+
+def learned(state: DataFrame) -> DataFrame:
+    """stage, log_factor, spread, n with the factors of expecting and of quoting."""
+    return state.select("stage", "log_factor", "spread", "n", clamped(F.col("log_factor")).alias("factor"), clamped(F.col("log_factor") + rules.SPREAD_K * F.col("spread")).alias("upper"))
+
+
+def quoted(jobs: DataFrame, factors: DataFrame, audio_on: Column) -> DataFrame:
+    """jobs with summary_at and audio_at, seconds from now: each stage's raw seconds by its quoting factor (1 for a stage that has learnt nothing).
+
+    jobs: branch, ocr_seconds, summarize_seconds, audio_seconds, seconds_ahead, audio_ahead. Audio starts when the summary
+    is done or the audio queue has drained, whichever is later; without audio audio_at is null.
+    """
+    known = factors.where(F.col("stage").isin(rules.STAGES)).agg(F.map_from_entries(F.collect_list(F.struct("stage", "upper"))).alias("m")).scalar()  # four stages
+    upper = lambda stage: F.coalesce(F.try_element_at(F.col("_upper"), stage), F.lit(1.0))
+    rows = jobs.withColumn("_upper", known)
+    summary = F.col("seconds_ahead") + F.col("ocr_seconds") * upper(F.lit("ocr")) + F.col("summarize_seconds") * upper(F.col("branch"))
+    rows = rows.withColumn("summary_at", summary)
+    audio = F.greatest(F.col("summary_at"), F.col("audio_ahead")) + F.col("audio_seconds") * upper(F.lit("audio"))
+    return rows.withColumn("audio_at", F.when(audio_on, audio)).drop("_upper")
 
 
 def clock(now: Column, seconds: Column, zone: Column, default_zone: str = "UTC") -> Column:
     """HH:MM in the reader's zone, with the day when it rolls over. now: timestamp."""
-    known = F.coalesce(zone, F.lit(default_zone))
+    # a zone that isn't one is the default's
+    zones = F.array(*map(F.lit, sorted(zoneinfo.available_timezones())))
+    known = F.when(F.array_contains(zones, zone), zone).otherwise(default_zone)
     here = F.convert_timezone(F.lit("UTC"), known, now.cast("timestamp_ntz"))
     then = F.convert_timezone(F.lit("UTC"), known, (now + F.make_dt_interval(secs=seconds)).cast("timestamp_ntz"))
     return F.concat(F.date_format(then, "HH:mm"), F.when(F.to_date(then) != F.to_date(here), " tomorrow").otherwise(""))
@@ -91,18 +164,65 @@ def resolved_settings(layers: DataFrame, users: DataFrame) -> DataFrame:
     ranked = layers.where(allowed).withColumn("rank", rank)
     common = ranked.where("layer <> 'user'").groupBy("key").agg(F.max(F.struct("rank", "layer", "value")).alias("best"))
     own = ranked.where("layer = 'user'").groupBy("user", "key").agg(F.max(F.struct("rank", "layer", "value")).alias("own"))
-    # every user gets every key: the keys are a handful of settings names, each joined to the users
-    keyed = users.select("user", F.explode(F.array(*[F.lit(k) for k in _keys(layers)])).alias("key"))
-    met = keyed.join(F.broadcast(common), "key", "left").join(own, ["user", "key"], "left")
-    return met.select("user", "key", F.coalesce("own.value", "best.value").alias("value"), F.coalesce("own.layer", "best.layer").alias("layer")).where("layer is not null")
+    # every user has every shared setting, which is one value for all: the settings of an installation as an array
+    shared = common.agg(F.collect_list(F.struct("key", F.col("best.layer").alias("layer"), F.col("best.value").alias("value")))).scalar()
+    every = users.select("user", F.explode(shared).alias("s")).select("user", "s.key", F.lit(0).alias("rank"), "s.layer", "s.value")
+    mine = own.join(users.select("user").distinct(), "user", "left_semi").select("user", "key", F.lit(1).alias("rank"), F.col("own.layer").alias("layer"), F.col("own.value").alias("value"))
+    best = every.unionByName(mine).groupBy("user", "key").agg(F.max(F.struct("rank", "layer", "value")).alias("best"))
+    return best.select("user", "key", "best.value", "best.layer")
 
 
-def _keys(layers: DataFrame) -> list[str]:
-    """The names of settings: those of the defaults and the ones chat may set."""
-    return sorted({r["key"] for r in layers.where("layer in ('default', 'env')").select("key").distinct().limit(1000).collect()} | set(rules.ALLOWED_KEYS))
+def settings_upsert(layers: DataFrame, commands: DataFrame) -> DataFrame:
+    """layers after chat commands: the last one for a user (null: everyone) and a key replaces that layer's row; an empty value removes it.
+
+    commands: ts, user, key, value. Keys that chat may not set are left out.
+    """
+    wanted = commands.where(F.col("key").isin(rules.ALLOWED_KEYS)).groupBy("user", "key").agg(F.max(F.struct("ts", "value")).alias("last"))
+    new = wanted.select(F.when(F.col("user").isNull(), "shared").otherwise("user").alias("layer"), "user", "key", F.col("last.value").alias("value"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("layer", "user", "key")]
+    kept = layers.select("layer", "user", "key", "value").alias("a").join(new.alias("b"), same, "left_anti")
+    return kept.unionByName(new.where(F.col("value") != ""))
+
+
+def handed_off(jobs: DataFrame, settings: DataFrame) -> DataFrame:
+    """Jobs handed from the first stage to the second, each with the settings its sender had then, frozen in `overrides`.
+
+    jobs: job, user, handed (time). settings: user, key, value, since (time from which it holds). An as-of join as one
+    window: of each user's and key's settings the last that isn't later than the hand-off.
+    """
+    keys = jobs.select("job", "user", "handed", F.explode(F.array(*map(F.lit, rules.FROZEN_KEYS))).alias("key"))
+    marks = settings.where(F.col("key").isin(rules.FROZEN_KEYS)).select("user", "key", F.col("since").alias("at"), F.lit(0).alias("kind"), F.col("value").alias("mark"), F.lit(None).cast(dict(jobs.dtypes)["job"]).alias("job"))
+    asks = keys.select("user", "key", F.col("handed").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("mark"), "job")
+    last = F.last("mark", ignorenulls=True).over(Window.partitionBy("user", "key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = marks.unionByName(asks).withColumn("value", last).where("kind = 1 AND value IS NOT NULL")
+    frozen = found.groupBy("job").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("overrides"))
+    return jobs.join(frozen, "job", "left").withColumn("overrides", F.coalesce("overrides", F.create_map().cast("map<string,string>")))
+
+
+def restart_order(summaries: DataFrame, audio: DataFrame) -> DataFrame:
+    """position, stage, id: what a restart takes up again, audio first and each by id (ids sort as jobs came)."""
+    both = audio.select(F.lit(0).alias("first"), F.lit("audio").alias("stage"), "id").union(summaries.select(F.lit(1), F.lit("summarize"), "id"))
+    return both.orderBy("first", "id").select("stage", "id")
+
+
+def canceled(jobs: DataFrame, cancels: DataFrame, thread: list[str]) -> DataFrame:
+    """jobs with canceled: whether a cancel came from its thread while it was waiting or running.
+
+    jobs: thread, job, added, done (null: still open). cancels: thread, ts. A job counts as long as any half of it is open,
+    so its rows (halves) are joined first: open from the first added to the last done.
+    """
+    whole = jobs.groupBy(*thread, "job").agg(F.min("added").alias("added"), F.when(F.count("*") == F.count("done"), F.max("done")).alias("done"))
+    marks = cancels.select(*thread, F.col("ts").alias("at"), F.lit(0).alias("kind"), F.col("ts").alias("mark"), F.lit(None).cast(dict(jobs.dtypes)["job"]).alias("job"), F.lit(None).cast(dict(jobs.dtypes)["done"]).alias("done"))
+    asks = whole.select(*thread, F.col("added").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dict(cancels.dtypes)["ts"]).alias("mark"), "job", "done")
+    after = F.first("mark", ignorenulls=True).over(Window.partitionBy(*thread).orderBy("at", F.desc("kind")).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    found = marks.unionByName(asks).withColumn("next", after).where("kind = 1")
+    return found.select(*thread, "job", F.coalesce(F.col("next").isNotNull() & (F.col("done").isNull() | (F.col("next") < F.col("done"))), F.lit(False)).alias("canceled"))
 
 
 def retried(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """attempts with outcome. attempts: job, attempt (from 0), error (null, transient, input, crash)."""
+    """attempts with outcome. attempts: job, attempt (from 0), error (null, transient, input, crash).
+
+    A transient failure goes to the back of the queue while attempts are left; input errors and crashes end a job.
+    """
     e = F.col("error")
     return attempts.withColumn("outcome", F.when(e.isNull(), "done").when((e == "transient") & (F.col("attempt") + 1 < most), "requeued").when(e == "transient", "gave up").when(e == "input", "rejected").otherwise("crashed"))

@@ -28,8 +28,12 @@ def chapter_title(heading: Column) -> Column:
 
 
 def scripts(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """key, chapter_no, title, segment_no, segment. docs: key, kind, title, tldr, summary, text."""
-    base = docs.select(F.col(key).alias("key"), "kind", "title", "tldr", "summary", prepared(F.col("text")).alias("ready"))
+    """key, chapter_no, title, segment_no, segment. docs: key, kind, title, tldr, summary, text and, if known, words (`lines.known_words`).
+
+    One row a document from beginning to end: sections and segments go through Python once each, nothing is joined.
+    """
+    words = F.col("words") if "words" in docs.columns else None
+    base = docs.select(F.col(key).alias("key"), "kind", "title", "tldr", "summary", prepared(F.col("text"), words).alias("ready"))
 
     def structured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -39,14 +43,18 @@ def scripts(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
 
     schema = f"key {dict(docs.dtypes)[key]}, kind string, title string, tldr string, summary string, ready string, parts array<struct<heading:string,body:string>>"
     base = base.mapInPandas(structured, schema).withColumnRenamed("key", key)
-    opening = F.concat(F.coalesce(F.nullif(strip(F.col("title")), F.lit("")), F.lit("Untitled")), F.lit(".\n\nSummary.\n\n"), F.col("tldr"), F.lit("\n\n"), F.col("summary"))
-    first = base.select(key, F.lit(0).alias("n"), F.lit("Summary").alias("heading"), t.clean_body(prepared(opening)).alias("spoken"))
-
-    split = base.where(F.size("parts") >= 2).select(key, F.posexplode("parts").alias("i", "s"))
-    heading = F.regexp_replace(F.col("s.heading"), r"(?U)\s?[¯˙˘´`\^¨˜]\s?|\.(?=[a-z])", "")
-    chapters = split.select(key, "i", "s.heading", t.clean_body(F.concat(heading, F.lit(".\n\n"), F.col("s.body"))).alias("spoken")).where("spoken <> ''")
-    led = chapters.select(key, (F.col("i") + 1).alias("n"), chapter_title(F.col("heading")).alias("heading"), F.when(F.col("i") == 0, F.concat(F.lit(rules.LEAD + "\n\n"), F.col("spoken"))).otherwise(F.col("spoken")).alias("spoken"))
-    flat = base.join(chapters.select(key).distinct(), key, "left_anti").select(key, F.lit(1).alias("n"), F.lit("Full article").alias("heading"), t.clean_body(F.col("ready")).alias("body")).where("body <> ''")
-    whole = flat.select(key, "n", "heading", F.concat(F.lit(rules.LEAD + "\n\n"), F.col("body")).alias("spoken"))
-    rows = first.unionByName(led).unionByName(whole).select(key, F.col("n").alias("chapter_no"), F.col("heading").alias("title"), F.posexplode(folds.segments_column(F.col("spoken"), most)).alias("segment_no", "segment"))
-    return rows
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    opening = F.concat(F.coalesce(F.nullif(strip(F.col("title")), F.lit("")), F.lit("Untitled")), F.lit(".\n\nSummary.\n\n"), some("tldr"), F.lit("\n\n"), some("summary"))
+    chapter = lambda n, title, spoken: F.struct(n.cast("int").alias("chapter_no"), title.alias("title"), spoken.alias("spoken"))
+    led = lambda first, spoken: F.when(first & (spoken != ""), F.concat(F.lit(rules.LEAD + "\n\n"), spoken)).otherwise(spoken)
+
+    def section(part: Column, i: Column) -> Column:
+        bare = F.regexp_replace(part["heading"], r"(?U)\s?[¯˙˘´`\^¨˜]\s?|\.(?=[a-z])", "")
+        return let(t.clean_body(F.concat(bare, F.lit(".\n\n"), part["body"])), lambda spoken: chapter(i + 1, chapter_title(part["heading"]), led(i == 0, spoken)))
+
+    sections = F.filter(F.transform("parts", section), lambda c: c["spoken"] != "")
+    flat = F.filter(F.array(let(t.clean_body(F.coalesce("ready", F.lit(""))), lambda body: chapter(F.lit(1), F.lit("Full article"), led(F.lit(True), body)))), lambda c: c["spoken"] != "")
+    rest = let(F.when(F.size("parts") >= 2, sections).otherwise(F.array().cast("array<struct<chapter_no:int,title:string,spoken:string>>")), lambda found: F.when(F.size(found) > 0, found).otherwise(flat))
+    chapters = F.concat(F.array(chapter(F.lit(0), F.lit("Summary"), t.clean_body(prepared(opening)))), rest)
+    rows = base.select(key, F.explode(chapters).alias("c")).select(key, "c.*")
+    return rows.select(key, "chapter_no", "title", F.posexplode(folds.segments_column(F.col("spoken"), most)).alias("segment_no", "segment"))

@@ -36,15 +36,18 @@ def cover_gaps(items: DataFrame, force: bool = False) -> DataFrame:
 
 
 def collection_actions(wanted: DataFrame, collections: DataFrame) -> DataFrame:
-    """wanted (item, library, name) with action: create, add, or none where it's already a member. collections: library, name, members."""
-    met = wanted.join(collections, ["library", "name"], "left")
-    return met.withColumn("action", F.when(F.col("members").isNull(), "create").when(F.array_contains("members", F.col("item")), "none").otherwise("add")).drop("members")
+    """wanted (item, library, name) with action: create, add, or none where it's already a member. collections: library, name, item of every member."""
+    members = collections.select("library", "name", "item", F.lit(True).alias("member")).distinct()
+    names = collections.select("library", "name", F.lit(True).alias("there")).distinct()
+    met = wanted.join(members, ["library", "name", "item"], "left").join(names, ["library", "name"], "left")
+    return met.withColumn("action", F.when(F.col("there").isNull(), "create").when(F.col("member"), "none").otherwise("add")).drop("member", "there")
 
 
-def metadata_patch(title: Column, author: Column, narrator: Column, tags: Column) -> Column:
-    """A JSON patch of the fields that aren't empty; null when there is nothing to patch."""
+def metadata_patch(title: Column, author: Column, narrator: Column, tags: Column, clear_series: bool = False) -> Column:
+    """A JSON patch of the fields that aren't empty, with an empty list of series if they are to go; null when there is nothing to patch."""
     some = lambda c: F.nullif(c, F.lit(""))
-    fields = F.struct(some(title).alias("title"), some(author).alias("author"), some(narrator).alias("narrator"), F.when(F.size(tags) > 0, tags).alias("tags"))
+    fields = [some(title).alias("title"), some(author).alias("author"), some(narrator).alias("narrator"), F.when(F.size(tags) > 0, tags).alias("tags")]
+    fields = F.struct(*fields, *([F.array().cast("array<string>").alias("series")] if clear_series else []))
     return F.nullif(F.to_json(fields), F.lit("{}"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.folds import chunks_column
+from pagemill.storage import stored
 
 MOST_ROUNDS = 3
 
@@ -46,7 +47,7 @@ def _asked(rows: DataFrame, schema: str, ask: Callable[[pd.DataFrame], pd.DataFr
 def summarized(docs: DataFrame, model: Model, budget: int, chunk: int, key: str = "doc_id") -> DataFrame:
     """key, title, tldr, summary, tags, truncated_chars, sections.
 
-    A text within `budget` characters takes one call. A longer one is cut into chunks, each condensed to points; while
+    A text within `budget` characters takes one call; a null text is empty. A longer one is cut into chunks, each condensed to points; while
     the points of a document are beyond the budget and shrink, they are condensed again, three times at most.
     """
     kind = dict(docs.dtypes)[key]
@@ -62,12 +63,20 @@ def summarized(docs: DataFrame, model: Model, budget: int, chunk: int, key: str
         kept = F.transform(F.filter(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "points"))), lambda x: x["points"])), lambda p: F.trim(p) != ""), F.trim)
         return points.groupBy(key).agg(F.array_join(F.transform(kept, lambda p: F.concat(F.lit("- "), p)), "\n").alias("text"), F.max("n").alias("sections"))
 
-    now = condensed(long)
+    # each round is stored, so the model sees a chunk once; only what is over the budget goes on to the next
+    now, settled = stored(condensed(long), "points"), []
     for _ in range(MOST_ROUNDS - 1):
-        again = condensed(now.where(F.length("text") > budget).select(key, "text")).select(key, F.col("text").alias("less"))
-        met = now.join(again, key, "left")
+        over = now.where(F.length("text") > budget)
+        settled.append(now.where(F.length("text") <= budget))
+        if over.isEmpty():
+            now = over
+            break
+        again = stored(condensed(over.select(key, "text")), "points").select(key, F.col("text").alias("less"))
+        met = over.join(again, key, "left")
         now = met.select(key, F.when(F.col("less").isNotNull() & (F.col("less") != "") & (F.length("less") < F.length("text")), F.col("less")).otherwise(F.col("text")).alias("text"), "sections")
     ready = short.union(now)
+    for part in settled:
+        ready = ready.union(part)
     fitted = ready.select(key, F.substring("text", 1, budget).alias("text"), F.greatest(F.lit(0), F.length("text") - budget).alias("truncated_chars"), "sections")
 
     def ask(b: pd.DataFrame) -> pd.DataFrame:

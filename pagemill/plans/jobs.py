@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules, text as t
@@ -12,6 +9,7 @@ from pagemill.functions.rx import quoted
 from pagemill.operators import queueing as q
 from pagemill.operators import shelf, summaries, transcripts
 from pagemill.plans.registry import query, table
+from pagemill.storage import own_folder
 from pagemill.streaming import queue as streams
 
 _EVENTS = "SELECT *, epoch(ts)::DOUBLE AS arrival, abs(value) + 1 AS service FROM events"
@@ -124,8 +122,7 @@ def event_sessions(spark, sf_dir):
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'")
 def stream_queue(spark, sf_dir):
     """Jobs through a durable queue: written by one query with a checkpoint, read back as a table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared}/queue-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="pagemill-queue-")
+    folder = own_folder(spark)
     rows = spark.readStream.schema(streams.EVENTS).parquet(f"{sf_dir}/events.parquet*").where("event_type <> 'error'")
     streams.spooled(rows, f"{folder}/jobs", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/jobs").select("event_id", "user_id", "event_type")
@@ -168,12 +165,12 @@ def retry_outcomes(spark, sf_dir):
     return q.retried(rows)
 
 
-_MESSAGE = "CASE turn % 6 WHEN 0 THEN '<@U1> Cancel!' WHEN 1 THEN 'look <https://a.example/' || conv_id || '|label> ok' WHEN 2 THEN 'see http://b.example/' || turn || '> now' WHEN 3 THEN ' /Help' ELSE substring(text, 1, 50) END"
+_MESSAGE = "CASE turn % 6 WHEN 0 THEN '<@U1> Cancel!' WHEN 1 THEN 'look <https://a.example/' || conv_id || '|label> ok' WHEN 2 THEN 'see http://b.example/' || turn || '> now' WHEN 3 THEN ' /Help' ELSE text END"
 
 
 def _messages(spark, sf_dir):
     m = F.col("turn") % 6
-    text = F.when(m == 0, "<@U1> Cancel!").when(m == 1, F.concat(F.lit("look <https://a.example/"), F.col("conv_id").cast("string"), F.lit("|label> ok"))).when(m == 2, F.concat(F.lit("see http://b.example/"), F.col("turn").cast("string"), F.lit("> now"))).when(m == 3, " /Help").otherwise(F.substring("text", 1, 50))
+    text = F.when(m == 0, "<@U1> Cancel!").when(m == 1, F.concat(F.lit("look <https://a.example/"), F.col("conv_id").cast("string"), F.lit("|label> ok"))).when(m == 2, F.concat(F.lit("see http://b.example/"), F.col("turn").cast("string"), F.lit("> now"))).when(m == 3, " /Help").otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("message"))
 
 
@@ -214,7 +211,7 @@ WITH w AS (SELECT id, 'L' || id % 3 AS library, 'C' || id % 5 AS name FROM ({_IT
 SELECT w.id AS item, w.library, w.name, CASE WHEN c.members IS NULL THEN 'create' WHEN list_contains(c.members, w.id) THEN 'none' ELSE 'add' END AS action FROM w LEFT JOIN c USING (library, name)""")
 def collection_upsert(spark, sf_dir):
     wanted = _items(spark, sf_dir).select(F.col("id").alias("item"), F.concat(F.lit("L"), (F.col("id") % 3).cast("string")).alias("library"), F.concat(F.lit("C"), (F.col("id") % 5).cast("string")).alias("name"))
-    have = wanted.where("item % 2 = 0 AND name <> 'C4'").groupBy("library", "name").agg(F.collect_list("item").alias("members"))
+    have = wanted.where("item % 2 = 0 AND name <> 'C4'")
     return shelf.collection_actions(wanted, have)
 
 

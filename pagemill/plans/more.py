@@ -104,7 +104,13 @@ def cover_prompt(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.regexp_replace(subject, r"\.+$", ""), F.lit(", ink drawing")).alias("prompt"))
 
 
-@query()
+@query("""
+WITH f AS (SELECT doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda p: {'done': []::VARCHAR[], 'held': p, 'size': length(p) + 2}),
+    lambda a, x: CASE WHEN a.size > 0 AND a.size + x.size > 600 THEN {'done': list_concat(a.done, [a.held]), 'held': x.held, 'size': x.size}
+      ELSE {'done': a.done, 'held': CASE WHEN a.size = 0 THEN x.held ELSE a.held || chr(10) || chr(10) || x.held END, 'size': a.size + x.size} END,
+    {'done': []::VARCHAR[], 'held': '', 'size': 0::BIGINT}) AS a FROM documents),
+g AS (SELECT doc_id, list_concat(a.done, [a.held]) AS out FROM f)
+SELECT doc_id, (i - 1)::INT AS chunk_no, out[i] AS chunk FROM (SELECT *, unnest(range(1, len(out) + 1)) AS i FROM g)""")
 def paragraph_chunks(spark, sf_dir):
     """A paragraph is a line here."""
     docs = table(spark, sf_dir, "documents")

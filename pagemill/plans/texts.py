@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import folds, rules, text as t
-from pagemill.functions.rx import literal, quoted, sql_apply, sql_pattern, sql_strip
+from pagemill.functions.rx import literal, quoted, sql_apply, sql_pattern, sql_strip, strip
 from pagemill.operators import lines, scripts
 from pagemill.plans.registry import query, table
 
@@ -151,11 +151,15 @@ def _heading_sql(x: str) -> str:
   FROM b"""
 
 
-@query(_heading_sql(f"SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN regexp_extract(line, '^\\S+ ?\\S*', 0) WHEN line_no % 3 = 1 THEN '3.' || line_no || ' ' || substring(line, 1, 40) ELSE line END AS line FROM ({_LINES})"))
+_LINE_KINDS = "CASE line_no % 4 WHEN 0 THEN 'Section ' || line_no || ' Of Many Results' WHEN 1 THEN '3.' || line_no || ' ' || line WHEN 2 THEN line ELSE '4.1 Results Of Line' END"
+
+
+@query(_heading_sql(f"SELECT doc_id, line_no, {_LINE_KINDS} AS line FROM ({_LINES})"))
 def pdf_heading_flags(spark, sf_dir):
-    """Line openings and numbered lines among the corpus's lines, tested for being headings."""
+    """Lines as they are, numbered lines and headings put among them, tested for being headings."""
     rows = lines.lines_of(table(spark, sf_dir, "documents"))
-    line = F.when(F.col("line_no") % 3 == 0, F.regexp_extract("line", r"(?U)^\S+ ?\S*", 0)).when(F.col("line_no") % 3 == 1, F.concat(F.lit("3."), F.col("line_no").cast("string"), F.lit(" "), F.substring("line", 1, 40))).otherwise(F.col("line"))
+    m, no = F.col("line_no") % 4, F.col("line_no").cast("string")
+    line = F.when(m == 0, F.concat(F.lit("Section "), no, F.lit(" Of Many Results"))).when(m == 1, F.concat(F.lit("3."), no, F.lit(" "), "line")).when(m == 2, F.col("line")).otherwise("4.1 Results Of Line")
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), t.looks_like_heading(line).alias("heading"))
 
 
@@ -178,37 +182,89 @@ def section_split(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(folds.sections_column(F.col("text"))).alias("section_no", "s")).select("doc_id", "section_no", "s.heading", "s.body")
 
 
-@query()
+def _let_sql(value: str, name: str, use: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {use})[1]"
+
+
+_SECTIONS_SQL = f"""
+WITH l AS (SELECT doc_id, line_no, line, (line_no % 4 = 1)::INT AS mark FROM ({_LINES})),
+g AS (SELECT *, sum(mark) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, sum(mark) OVER (PARTITION BY doc_id) AS marks FROM l),
+s AS (SELECT doc_id, section, min(line_no) AS first, {sql_strip("string_agg(line, chr(10) ORDER BY line_no)")} AS body FROM g WHERE marks >= 2 GROUP BY doc_id, section),
+k AS (SELECT doc_id, list({{'heading': CASE WHEN section = 0 THEN 'Introduction' ELSE 'Part ' || first END, 'body': body}} ORDER BY section) AS found FROM s WHERE section > 0 OR body <> '' GROUP BY doc_id)"""
+#: What a section adds to the body of the one before it.
+_INTO = sql_strip("{a}.body || chr(10) || chr(10) || {b}.heading || '.' || chr(10) || chr(10) || {b}.body")
+_MERGED = f"list_reduce(list_transform(found, lambda x: [x]), lambda a, x: CASE WHEN length(x[1].body) < {rules.MIN_CHAPTER_CHARS} THEN list_concat(a[:-2], [{{'heading': a[-1].heading, 'body': {_INTO.format(a='a[-1]', b='x[1]')}}}]) ELSE list_concat(a, x) END)"
+_SHORTEST = "list_position(list_transform(a[2:], lambda z: length(z.body)), list_min(list_transform(a[2:], lambda z: length(z.body))))"  # place of the one before it
+_FOLDED = f"list_reduce(list_transform(range(0, greatest(1, len(merged))), lambda i: merged[:0]), lambda a, x: CASE WHEN len(a) <= {rules.MAX_CHAPTERS} THEN a ELSE {_let_sql(_SHORTEST, 'p', 'list_concat(a[:p - 1], [{{heading: a[p].heading, body: ' + _INTO.format(a='a[p]', b='a[p + 1]') + '}}], a[p + 2:])').replace('{{', '{').replace('}}', '}')} END, merged)"
+
+
+@query(f"""{_SECTIONS_SQL}, m AS (SELECT doc_id, {_MERGED} AS merged FROM k), f AS (SELECT doc_id, {_FOLDED} AS chapters FROM m)
+SELECT doc_id, (i - 1)::INT AS chapter_no, chapters[i].heading AS heading, chapters[i].body AS body FROM (SELECT *, unnest(range(1, len(chapters) + 1)) AS i FROM f)""")
 def chapter_consolidate(spark, sf_dir):
     docs = _headed(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.posexplode(folds.sections_column(F.col("text"), merge=True)).alias("chapter_no", "s")).select("doc_id", "chapter_no", "s.heading", "s.body")
 
 
-_PACKED = """
-WITH RECURSIVE p AS (SELECT doc_id, {split} AS parts FROM documents),
-f(doc_id, i, parts, seg, size, seg_no) AS (
-  SELECT doc_id, 1, parts, parts[1], length(parts[1]) + 2, 0 FROM p
-  UNION ALL
-  SELECT doc_id, i + 1, parts, CASE WHEN {full} THEN parts[i + 1] ELSE seg || chr(10) || chr(10) || parts[i + 1] END,
-    CASE WHEN {full} THEN length(parts[i + 1]) + 2 ELSE size + length(parts[i + 1]) + 2 END, CASE WHEN {full} THEN seg_no + 1 ELSE seg_no END
-  FROM f WHERE i < len(parts))
-SELECT doc_id, seg_no::INT AS segment_no, arg_max(seg, i) AS segment FROM f GROUP BY doc_id, seg_no"""
+_RAW = "string_split(regexp_replace({x}, '([.!?][\"”’)]?)\\s+([A-Z0-9\"“(])', '\\1' || chr(31) || '\\2', 'g'), chr(31))"
+
+
+def _sentences_sql(x: str) -> str:
+    """Raw sentences folded: one is joined to those before it where they end in an abbreviation or are a number."""
+    # the other dialect's \\b knows ASCII words only
+    short = rules.ABBREVIATION.replace("\\b", r"(?:^|[^\p{L}\p{N}_])", 1)
+    open_end = f"regexp_matches(a[-1], {quoted(sql_pattern(short, 'i'))}) OR regexp_matches({sql_strip('a[-1]')}, '^\\d{{1,3}}\\.$')"
+    return f"list_reduce(list_transform({_RAW.format(x=x)}, lambda z: [z]), lambda a, s: CASE WHEN {open_end} THEN list_concat(a[:-2], [a[-1] || ' ' || s[1]]) ELSE list_concat(a, s) END)"
+
+
+def _hard_sql(x: str, most: int) -> str:
+    return f"list_transform(range(0, greatest(1, ceil(length({x}) / {most}.0))::BIGINT), lambda k: substring({x}, k * {most} + 1, {most}))"
 
 
-@query(_PACKED.format(split=f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '' AND length(x) <= 3000)", full="size + length(parts[i + 1]) + 2 > 3000").replace("FROM documents)", "FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 3000)) = 0 AND trim(text) <> '')"))
+def _segments_sql(most: int) -> str:
+    """Paragraphs (lines) packed; the sentences of one that is too long packed by themselves, one that is too long cut."""
+    grown = f"CASE WHEN c[-1] <> '' AND length(c[-1]) + length(s[1]) + 1 > {most} THEN list_concat(c, s) ELSE list_concat(c[:-2], [{sql_strip('c[-1] || chr(32) || s[1]')}]) END"
+    cut = f"list_filter(list_reduce(list_transform({_sentences_sql('p')}, lambda z: [z]), lambda c, s: {_let_sql(grown, 'g', f'list_concat(g[:-2], ' + _hard_sql('g[-1]', most) + ')')}, ['']), lambda z: z <> '')"
+    paragraphs = f"list_filter(list_transform(string_split(text, chr(10)), lambda z: {sql_strip('z')}), lambda z: z <> '')"
+    parts = f"list_transform({paragraphs}, lambda p: {{'done': CASE WHEN length(p) > {most} THEN {cut} ELSE []::VARCHAR[] END, 'held': CASE WHEN length(p) > {most} THEN '' ELSE p END, 'size': length(p) + 2}})"
+    flushed = "list_concat(a.done, CASE WHEN a.held <> '' THEN [a.held] ELSE []::VARCHAR[] END)"
+    step = f"""CASE WHEN x.held = '' THEN {{'done': list_concat({flushed}, x.done), 'held': '', 'size': 0::BIGINT}}
+      WHEN a.size > 0 AND a.size + x.size > {most} THEN {{'done': {flushed}, 'held': x.held, 'size': x.size}}
+      ELSE {{'done': a.done, 'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || chr(10) || x.held END, 'size': a.size + x.size}} END"""
+    packed = f"list_reduce({parts}, lambda a, x: {step}, {{'done': []::VARCHAR[], 'held': '', 'size': 0::BIGINT}})"
+    return f"""
+WITH f AS (SELECT doc_id, {packed} AS a FROM documents), g AS (SELECT doc_id, {flushed} AS out FROM f)
+SELECT doc_id, (i - 1)::INT AS segment_no, out[i] AS segment FROM (SELECT *, unnest(range(1, len(out) + 1)) AS i FROM g)"""
+
+
+def _segmented(spark, sf_dir, most):
+    """A paragraph is a line here."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(folds.segments_column(F.replace("text", F.lit("\n"), F.lit("\n\n")), most)).alias("segment_no", "segment"))
+
+
+@query(_segments_sql(3000))
 def segments(spark, sf_dir):
-    """A paragraph is a line here; documents whose lines all fit a segment (longer ones are cut by sentences: `sentence_segments`)."""
-    docs = table(spark, sf_dir, "documents").where(~F.exists(F.split("text", "\n"), lambda x: F.length(x) > 3000))
-    return docs.select("doc_id", F.posexplode(folds.segments_column(F.replace("text", F.lit("\n"), F.lit("\n\n")), 3000)).alias("segment_no", "segment"))
+    return _segmented(spark, sf_dir, 3000)
 
 
-@query()
+@query(_segments_sql(300))
 def sentence_segments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(folds.segments_column(F.replace("text", F.lit("\n"), F.lit("\n\n")), 300)).alias("segment_no", "segment"))
+    return _segmented(spark, sf_dir, 300)
 
 
-@query()
+_BLANK_LINED = "regexp_replace(text, chr(10), chr(10) || chr(10), 'g')"
+_PIECES = f"list_filter(list_transform(string_split(text, chr(10)), lambda z: {sql_strip('z')}), lambda z: z <> '')"
+_CUT_PIECES = f"flatten(list_transform({_PIECES}, lambda p: list_transform({_hard_sql('p', 1000)}, lambda z, i: {{'done': []::VARCHAR[], 'held': z, 'alone': i < ceil(length(p) / 1000.0)}})))"
+_CHUNKED = "list_concat(a.done, CASE WHEN a.held <> '' THEN [a.held] ELSE []::VARCHAR[] END)"
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, text, list_reduce({_CUT_PIECES}, lambda a, x: CASE
+    WHEN x.alone THEN {{'done': list_concat({_CHUNKED}, [x.held]), 'held': '', 'alone': false}}
+    WHEN a.held <> '' AND length(a.held) + 2 + length(x.held) > 1000 THEN {{'done': {_CHUNKED}, 'held': x.held, 'alone': false}}
+    ELSE {{'done': a.done, 'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || chr(10) || x.held END, 'alone': false}} END, {{'done': []::VARCHAR[], 'held': '', 'alone': false}}) AS a FROM documents),
+g AS (SELECT doc_id, CASE WHEN length({_BLANK_LINED}) <= 1000 THEN [{_BLANK_LINED}] ELSE {_CHUNKED} END AS out FROM f)
+SELECT doc_id, (i - 1)::INT AS chunk_no, out[i] AS chunk FROM (SELECT *, unnest(range(1, len(out) + 1)) AS i FROM g)""")
 def chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(folds.chunks_column(F.replace("text", F.lit("\n"), F.lit("\n\n")), 1000)).alias("chunk_no", "chunk"))
@@ -221,9 +277,9 @@ def sentence_ends(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.raw_sentences(F.col("text"))).alias("n", "sentence"))
 
 
-@query()
+@query(f"SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INT AS n, unnest(parts) AS sentence FROM (SELECT doc_id, {_sentences_sql('text')} AS parts FROM documents)")
 def sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(folds.sentences_column(F.col("text"))).alias("n", "sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("n", "sentence"))
 
 
 @query()
@@ -235,12 +291,11 @@ def reflow(spark, sf_dir):
 
 @query()
 def glyph_repair(spark, sf_dir):
-    """The known words are those of the corpus that hold such letters."""
+    """Every ff and fi of the corpus becomes a hole; the known words are all its words with a ligature."""
     docs = table(spark, sf_dir, "documents")
-    words = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: w.rlike("ff|fi|fl"))))
-    known = [r["w"] for r in docs.select(words.alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(200).collect()]
-    holed = F.regexp_replace(F.regexp_replace("text", "ff", "￾"), "fi", "")
-    return docs.select("doc_id", folds.repair_glyphs_column(holed, known).alias("text"))
+    holed = docs.select("doc_id", F.regexp_replace(F.regexp_replace("text", "ff", "\ufffe"), "fi", "\ue000").alias("text"))
+    known = lines.known_words(holed, lines.vocabulary(docs))
+    return holed.join(known, "doc_id", "left").select("doc_id", folds.repair_glyphs_column(F.col("text"), F.col("words")).alias("text"))
 
 
 @query()
@@ -272,7 +327,7 @@ def variant_metrics(spark, sf_dir):
 @query(f"SELECT doc_id, max(n)::BIGINT AS longest FROM (SELECT doc_id, island, count(*) AS n FROM (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM (SELECT * FROM ({_LINES}) WHERE length({sql_strip('line')}) BETWEEN 1 AND 80 AND NOT regexp_matches({sql_strip('line')}, '[.!?\"”’):]$'))) GROUP BY doc_id, island) GROUP BY doc_id")
 def short_line_runs(spark, sf_dir):
     """The longest run of short lines without a sentence's end in each document (80 characters here), as islands."""
-    rows = lines.lines_of(table(spark, sf_dir, "documents")).withColumn("s", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    rows = lines.lines_of(table(spark, sf_dir, "documents")).withColumn("s", strip(F.col("line")))
     rows = rows.where((F.length("s") >= 1) & (F.length("s") <= 80) & ~F.col("s").rlike(f"[{rules.TERMINAL}]$"))
     islands = rows.withColumn("island", F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")))
     return islands.groupBy("doc_id", "island").count().groupBy("doc_id").agg(F.max("count").alias("longest"))

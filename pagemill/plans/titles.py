@@ -33,13 +33,14 @@ def doc_profile(spark, sf_dir):
     return d.profile(_turn_pages(spark, sf_dir), "conv_id")
 
 
-_LINE_PAGES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number, substring(unnest(string_split(text, chr(10))), 1, 5 + doc_id % 40) AS text FROM documents"
+_LINE_PAGES = "SELECT doc_id, number, CASE WHEN (number + doc_id) % 4 = 3 THEN ' Scan ' || number || ' ' ELSE line END AS text FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
 def _line_pages(spark, sf_dir):
-    """The heads of lines as pages, so that some hold too little text."""
+    """Lines as pages; every fourth place is a scan with a few signs of text."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    return rows.select("doc_id", F.col("number").cast("long").alias("number"), F.substring(F.col("line"), F.lit(1), (5 + F.col("doc_id") % 40).cast("int")).alias("text"))
+    scan = F.concat(F.lit(" Scan "), F.col("number").cast("string"), F.lit(" "))
+    return rows.select("doc_id", F.col("number").cast("long").alias("number"), F.when((F.col("number") + F.col("doc_id")) % 4 == 3, scan).otherwise(F.col("line")).alias("text"))
 
 
 @query(f"SELECT doc_id, number, text, CASE WHEN {_NONWS.format(x='text')} < {rules.MIN_PAGE_CHARS} THEN 'ocr' ELSE 'text-layer' END AS method, NULL::VARCHAR AS reason FROM ({_LINE_PAGES})")
@@ -156,12 +157,12 @@ def slugify(spark, sf_dir):
     return docs.union(table(spark, sf_dir, "part").select(-F.col("p_partkey"), t.slug(F.concat("p_name", "p_type"))))
 
 
-_MD = "'# Top' || chr(10) || substring(text, 1, 60) || chr(10) || '### Low' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '###### Six' || chr(10) ELSE '' END || 'tail'"
+_MD = "'# Top' || chr(10) || text || chr(10) || '### Low' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '###### Six' || chr(10) ELSE '' END || 'tail'"
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace({_MD}, '(?m)^(#{{1,6}})(\\s)', '##\\1\\2', 'g'), '(?m)^#{{7,}}(\\s)', '######\\1', 'g') AS text FROM documents")
 def demote_headings(spark, sf_dir):
-    md = F.concat(F.lit("# Top\n"), F.substring("text", 1, 60), F.lit("\n### Low\n"), F.when(F.col("doc_id") % 2 == 0, "###### Six\n").otherwise(""), F.lit("tail"))
+    md = F.concat(F.lit("# Top\n"), "text", F.lit("\n### Low\n"), F.when(F.col("doc_id") % 2 == 0, "###### Six\n").otherwise(""), F.lit("tail"))
     return table(spark, sf_dir, "documents").select("doc_id", t.demote_headings(md).alias("text"))
 
 
@@ -191,9 +192,9 @@ def portable_note(spark, sf_dir):
     return _notes(spark, sf_dir).select("doc_id", t.portable_markdown(F.col("note")).alias("note"))
 
 
-@query("SELECT doc_id, 'obsidian://open?vault=My%20Vault&file=' || url_encode('Notes/' || substring(text, 1, 30) || ' ~*') AS uri FROM documents")
+@query("SELECT doc_id, 'obsidian://open?vault=My%20Vault&file=' || url_encode('Notes/' || text || ' ~*') AS uri FROM documents")
 def note_uri(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", t.note_uri("My Vault", F.concat(F.lit("Notes/"), F.substring("text", 1, 30), F.lit(" ~*.md"))).alias("uri"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.note_uri("My Vault", F.concat(F.lit("Notes/"), "text", F.lit(" ~*.md"))).alias("uri"))
 
 
 _SITE = "^(.{3,})\\s+[|-]\\s+([^|]+)$"
@@ -214,5 +215,5 @@ def cover_seed(spark, sf_dir):
 
 @query()
 def clean_scene(spark, sf_dir):
-    scene = F.concat(F.lit("A figure holding signs labeled 'Vote' and \"Now\", a plaque reading 'Library', a woman reading a book, "), F.substring("text", 1, 40), F.lit(" under a banner titled Peace; the end ,"))
+    scene = F.concat(F.lit("A figure holding signs labeled 'Vote' and \"Now\", a plaque reading 'Library', a woman reading a book, "), "text", F.lit(" under a banner titled Peace; the end ,"))
     return table(spark, sf_dir, "documents").select("doc_id", t.clean_scene(scene).alias("scene"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,13 +18,13 @@ TRANSCRIPT = "start double, end double, text string"
 
 
 def jobs(spark: SparkSession, path: str, pattern: str = "*.json", schema: str = JOB) -> DataFrame:
-    """Records in order of id; one that isn't JSON, lacks a needed field or has an unknown one is dropped."""
+    """Records; one that isn't JSON, lacks a needed field or has an unknown one is dropped. Their ids sort as they came: order where order matters."""
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
     names = [c.split()[0] for c in schema.split(", ")]
     keys = F.json_object_keys("value")
     good = keys.isNotNull() & F.forall(keys, lambda k: k.isin(names)) & (F.size(F.array_except(F.array(*map(F.lit, NEEDED)), keys)) == 0)
     parsed = raw.where(good).select(F.from_json("value", schema).alias("r")).select("r.*")
-    return parsed.withColumn("attempts", F.coalesce("attempts", F.lit(0))).where("id is not null").orderBy("id")
+    return parsed.withColumn("attempts", F.coalesce("attempts", F.lit(0))).where("id is not null")
 
 
 def transcript(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +32,46 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRANSCRIPT).option("mode", "DROPMALFORMED").json(path)
 
 
+def item_detail(body: Column) -> Column:
+    """struct<title, description, cover_path, chapters> of an item's JSON; what is missing is empty."""
+    item = F.from_json(body, "media struct<metadata: struct<title: string, description: string>, coverPath: string, chapters: array<struct<title: string>>>")
+    some = lambda c: F.coalesce(c, F.lit(""))
+    meta = item["media"]["metadata"]
+    chapters = F.coalesce(F.transform(item["media"]["chapters"], lambda c: some(c["title"])), F.array().cast("array<string>"))
+    return F.struct(some(meta["title"]).alias("title"), some(meta["description"]).alias("description"), some(item["media"]["coverPath"]).alias("cover_path"), chapters.alias("chapters"))
+
+
+def write_jobs(jobs: DataFrame, path: str) -> None:
+    """Each job as a record of its own, <id>.json, that is whole or not there: written beside its place, then moved."""
+    write_files(jobs.select(F.concat("id", F.lit(".json")).alias("name"), F.to_json(F.struct(*jobs.columns)).cast("binary").alias("content")), path)
+
+
+def complete(path: str, ids: list[str]) -> int:
+    """Remove the records of jobs that are done; one that is gone already counts as done. The number removed."""
+    store, base = fs.FileSystem.from_uri(path)
+    there = [f for f in (f"{base}/{i}.json" for i in ids) if store.get_file_info(f).type == fs.FileType.File]
+    for f in there:
+        store.delete_file(f)
+    return len(there)
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """name and content (binary) of each row as a file under `path` (any store that pyarrow opens by URI), from the executors; a repeated task overwrites with the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = f"{base}/.{name}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write(content)
+                store.move(part, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def job_id(epoch_ns: Column, suffix: Column) -> Column:
     """Nineteen digits of time and eight signs: ids sort as jobs came."""
     return F.concat(F.lpad(epoch_ns.cast("string"), 19, "0"), F.lit("-"), suffix)

@@ -6,15 +6,17 @@ Every job here runs with the available-now trigger too, which makes a stream's r
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.functions import rules
+from pagemill.operators.queueing import folded
+from pagemill.storage import own_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -39,19 +41,18 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 def observe(state: tuple[float, float, int], predicted: float, actual: float) -> tuple[float, float, int]:
     """One observation folded into (log_factor, spread, n)."""
-    mean, spread, n = state
     if predicted <= 0 or actual <= 0:
         return state
-    r = min(rules.MOST_LOG_RATIO, max(-rules.MOST_LOG_RATIO, math.log(actual / predicted)))
-    share, off = max(rules.ALPHA, 1 / (n + 1)), r - mean
-    return mean + share * off, spread + share * (abs(off) - spread) if n else spread, n + 1
+    return folded(state, min(rules.MOST_LOG_RATIO, max(-rules.MOST_LOG_RATIO, math.log(actual / predicted))))
 
 
 def _calibrate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = tuple(state.get) if state.exists else (0.0, 0.0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for p, a in zip(rows["predicted"], rows["actual"], strict=True):
-        now = observe(now, p, a)
+    # a trigger's observations of a stage: two numbers and an order each, sorted as arrays
+    parts = [[b[c].to_numpy() for c in ("ts", "event_id", "predicted", "actual")] for b in batches]
+    ts, ids, predicted, actual = (np.concatenate(x) for x in zip(*parts, strict=True))
+    for i in np.lexsort((ids, ts)).tolist():
+        now = observe(now, predicted[i], actual[i])
     state.update(now)
     yield pd.DataFrame({"stage": [key[0]], "log_factor": [now[0]], "spread": [now[1]], "n": [now[2]]})
 
@@ -61,12 +62,31 @@ def calibration_stream(observations: DataFrame) -> DataFrame:
     return observations.groupBy("stage").applyInPandasWithState(_calibrate, "stage string, log_factor double, spread double, n long", "log_factor double, spread double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first event of each key within the watermark; the state of older keys is dropped."""
+    return events.dropDuplicatesWithinWatermark(keys)
+
+
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """The stream run over what is there now, as a table in memory (append and complete), or its last rows by key (update)."""
-    spark, name = stream.sparkSession, "stream_" + uuid.uuid4().hex
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """The stream run over what is there now, with a checkpoint, as a stored table: all rows (append), those of the last trigger (complete), or every change (update)."""
+    spark = stream.sparkSession
+    folder = own_folder(spark)
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/trigger={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/trigger=*").select(*stream.columns)
+
+
+def chained(source: DataFrame, first: str, second: str, hand_off: Callable[[DataFrame], DataFrame]) -> tuple[str, str]:
+    """Two durable stages: rows land in the table `first`, and from there, as `hand_off` makes them, in `second`; each stage has its own checkpoint, so either goes on by itself after a restart."""
+    spark = source.sparkSession
+    spooled(source, f"{first}/rows", f"{first}/checkpoint").awaitTermination()
+    again = spark.readStream.schema(source.schema).parquet(f"{first}/rows")
+    spooled(hand_off(again), f"{second}/rows", f"{second}/checkpoint").awaitTermination()
+    return f"{first}/rows", f"{second}/rows"
 
 
 def spooled(stream: DataFrame, table: str, checkpoint: str):

@@ -98,7 +98,7 @@ def test_records(spark, tmp_path):
     job = {"id": "2", "channel": "c", "thread_ts": "t", "target": "x", "source_label": "l"}
     for name, text in (("b.json", json.dumps(job)), ("a.json", json.dumps(job | {"id": "1", "attempts": 2})), ("bad.json", "{"), ("more.json", json.dumps(job | {"odd": 1})), ("less.json", '{"id": "9"}'), ("x.audio", json.dumps(job | {"id": "7"}))):
         (tmp_path / name).write_text(text)
-    assert [(r.id, r.attempts) for r in records.jobs(spark, str(tmp_path)).collect()] == [("1", 2), ("2", 0)]
+    assert [(r.id, r.attempts) for r in records.jobs(spark, str(tmp_path)).orderBy("id").collect()] == [("1", 2), ("2", 0)]
     assert [r.id for r in records.jobs(spark, str(tmp_path), "*.audio").collect()] == ["7"]
     (tmp_path / "t.jsonl").write_text('{"start": 0, "end": 1, "text": "a"}\n\nnot json\n{"start": 1, "end": 2, "text": "b"}\n')
     assert [r.text for r in records.transcript(spark, str(tmp_path / "t.jsonl")).collect()] == ["a", "b"]
@@ -119,8 +119,8 @@ def test_paged_source(spark):
 
 def test_notes(spark, tmp_path):
     rows = spark.createDataFrame([("A/B", "---\nx\n---\n# T")], "title string, markdown string")
-    notes.write_markdown(rows, str(tmp_path / "n"))
-    assert spark.read.parquet(str(tmp_path / "n")).first().name == "AB"
+    notes.write_markdown(rows.union(rows), f"file://{tmp_path}/n")
+    assert {f.name for f in (tmp_path / "n").iterdir()} == {"AB.md", "AB 2.md"} and (tmp_path / "n" / "AB.md").read_text().endswith("# T")
     assert bytes(notes.exported(rows, "md").first().content).decode().endswith("# T")
     assert notes.exported(rows, "docx").first().error in (None, "pandoc is not installed")
     with pytest.raises(ValueError):
@@ -133,6 +133,20 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, streams.EVENTS).write.parquet(str(tmp_path / "e.parquet"))
     got = streams.finished(streams.windowed(streams.event_stream(spark, str(tmp_path / "e.parquet")), "1 hour"), "complete").collect()
     assert sorted(r.n for r in got) == [60, 60]
+    twice = streams.event_stream(spark, str(tmp_path / "e.parquet")).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    assert streams.finished(streams.deduplicated(twice, ["event_id"]), "append").count() == 120
+
+
+def test_chained_stages_go_on_after_a_restart(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    rows = lambda a, b: spark.createDataFrame([(i, base, i % 2, "a", 1.0, "{}") for i in range(a, b)], streams.EVENTS)
+    rows(0, 5).write.parquet(str(tmp_path / "in"))
+    for more in (None, rows(5, 9)):
+        if more is not None:
+            more.write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(streams.EVENTS).parquet(str(tmp_path / "in"))
+        _, done = streams.chained(source, str(tmp_path / "one"), str(tmp_path / "two"), lambda x: x.withColumn("event_id", F.col("event_id") * 10))
+    assert sorted(r.event_id for r in spark.read.parquet(done).collect()) == [10 * i for i in range(9)]
 
 
 def test_catalog():
