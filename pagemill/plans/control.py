@@ -73,7 +73,7 @@ def chat_commands(spark, sf_dir):
 
 
 @query(f"""{_COMMANDS_SQL},
-l AS (SELECT CASE WHEN "user" IS NULL THEN 'shared' ELSE 'user' END AS layer, "user", key, arg_max(value, ts) AS value FROM v WHERE value IS NOT NULL GROUP BY ALL)
+l AS (SELECT CASE WHEN "user" IS NULL THEN 'shared' ELSE 'user' END AS layer, "user", key, arg_max(value, ts) AS value FROM v WHERE value IS NOT NULL GROUP BY ALL),
 b(layer, "user", key, value) AS (VALUES ('default', NULL, 'model', 'small'), ('shared', NULL, 'tts_voice', 'old'), ('user', '1', 'tts_voice', 'older'))
 SELECT * FROM l UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.layer = b.layer AND l.key = b.key AND l."user" IS NOT DISTINCT FROM b."user")""")
 def settings_after_commands(spark, sf_dir):
