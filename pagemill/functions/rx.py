@@ -15,7 +15,12 @@ Rule = tuple[str, str, str]
 
 
 def spark_pattern(pattern: str, flags: str = "") -> str:
-    return f"(?Ud{flags}){pattern}"
+    return f"(?Ud{flags}){_steady(pattern)}"
+
+
+def _steady(pattern: str) -> str:
+    """White space at a line's begin is taken for good: no rule goes on with white space, and giving it back sign by sign makes a run of blank lines cost its cube."""
+    return r"^\s*+" + pattern.removeprefix(r"^\s*") if pattern.startswith(r"^\s*") else pattern
 
 
 def sql_pattern(pattern: str, flags: str = "") -> str:
@@ -45,7 +50,7 @@ def any_of(rules: Iterable[Rule]) -> str:
     """One pattern that a text matches where any of the rules does; what all begin with is tried once."""
     rules = list(rules)
     begin = r"^\s*" if all(p.startswith(r"^\s*") and "m" in f for p, f, _ in rules) else ""
-    return f"(?Ud{'m' if begin else ''}){begin}(?:" + "|".join(f"(?{f}:{p.removeprefix(begin)})" for p, f, _ in rules) + ")"
+    return f"(?Ud{'m' if begin else ''}){_steady(begin)}(?:" + "|".join(f"(?{f}:{p.removeprefix(begin) if begin else _steady(p)})" for p, f, _ in rules) + ")"
 
 
 def apply_gated(text: Column, rules: Iterable[Rule], signs: dict[str, list[str]]) -> Column:
