@@ -7,7 +7,8 @@ corpus each; triples meet a 2^24th. Within a posting list, shared positional byt
 the guaranteed minimum are dropped and the rest is verified bit by bit.
 
 Posting lists are walked as components: from each text to the ones not yet reached, so a list of near copies
-costs about its length and gives its length in links (to the smallest member), never all pairs. Equal fingerprints
+costs about its length and gives its length in links (to the smallest member), never all pairs. Lists longer than
+`BLOCK` are walked in blocks by many tasks without losing a link (`group_links`). Equal fingerprints
 are collapsed before. Components over all lists come from alternating star contraction on stored tables.
 
 Shingles of five words at a similarity of 0.8 move 8 to 17 of 64 SimHash bits, which guarantees no shared byte.
@@ -15,7 +16,7 @@ Shingles of five words at a similarity of 0.8 move 8 to 17 of 64 SimHash bits, w
 whose bytes are one-byte min-wise hashes of the same shingles in the same index: bytes agree at about the similarity,
 bands of 4 positions are the postings. The share of 128 positional bytes estimates the similarity with an error of
 0.035, so the tally is a filter only and stands over three errors below 0.8. It and the SimHash links give clusters of
-candidates; within a cluster the texts are walked again, and a link there is a Jaccard similarity of 0.8 or more of
+candidates; within a cluster the texts are walked again, in blocks where it is large, and a link there is a Jaccard similarity of 0.8 or more of
 the two sets of shingle hashes. A pair at 0.8 shares a band with a chance of 0.998 and passes the tally with 0.999.
 
 Defined cases: null texts, empty texts and texts without words have fingerprint zero and link like others; fewer
@@ -27,7 +28,6 @@ their names, are ignored.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from itertools import chain, combinations
 
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mixed, stored, tuned
+from pagemill.llm.common import mixed, stored, tuned, utf8
 
 MAX_BITS = 3
 #: Positions of the posting keys: every triple within either half of the eight bytes.
@@ -48,8 +48,10 @@ LEAST_BYTES = 8 - MAX_BITS
 MIN_BYTES, BAND, BANDS, LEAST_MIN_BYTES = 128, 4, 12, 88
 #: Percent of the shingles of two texts together that near duplicates share.
 SIMILARITY = 80
-#: Bytes of a cluster's shingle hashes in memory, beyond which they are mapped from a file of the task; hashes looked up at once.
-IN_MEMORY, AT_ONCE = 1 << 26, 1 << 20
+#: Rows and bytes of a block of a posting list or cluster; members of a larger one that stand in all its blocks, about.
+BLOCK, BLOCK_BYTES, LEADERS = 256, 1 << 25, 16
+#: Hashes looked up at once.
+AT_ONCE = 1 << 20
 
 _MULTIPLY = mixed(np.arange(1, MIN_BYTES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mixed(np.arange(1, MIN_BYTES + 1, dtype=np.uint64) + np.uint64(1 << 40))
@@ -98,12 +100,12 @@ def _place() -> list:
 
 
 def fingerprints(documents: DataFrame, words: int = 3, min_wise: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as long) and, if asked for, mins (binary), digest (of the A-Z-lowered word sequence), of and at (hashes of text and doc_id)."""
+    """doc_id, fp (the 64 bits as long) and, if asked for, mins (binary), digest (of the A-Z-lowered word sequence), size (bytes of the shingle hashes), of and at (hashes of text and doc_id)."""
     tuned(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, mins, digests = [], [], []
+            fps, mins, digests, sizes = [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text, words)
                 fp = simhash(h)
@@ -111,15 +113,16 @@ def fingerprints(documents: DataFrame, words: int = 3, min_wise: bool = False) -
                 if min_wise:
                     mins.append(min_bytes(h))
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    sizes.append(h.nbytes)
             out = [b.column(0), pa.array(fps, pa.int64())]
             names = ["doc_id", "fp"]
             if min_wise:
-                out, names = [*out, pa.array(mins, pa.binary()), pa.array(digests, pa.binary()), b.column(2), b.column(3)], [*names, "mins", "digest", "of", "at"]
+                out, names = [*out, pa.array(mins, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), b.column(2), b.column(3)], [*names, "mins", "digest", "size", "of", "at"]
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = dict(documents.dtypes)["doc_id"]
     columns = ["doc_id", "text", *_place()] if min_wise else ["doc_id", "text"]
-    return documents.select(*columns).mapInArrow(run, f"doc_id {kind}, fp long" + ", mins binary, digest binary, of long, at long" * min_wise)
+    return documents.select(*columns).mapInArrow(run, f"doc_id {kind}, fp long" + ", mins binary, digest binary, size long, of long, at long" * min_wise)
 
 
 def _walk(n: int, near) -> np.ndarray:
@@ -138,50 +141,136 @@ def _walk(n: int, near) -> np.ndarray:
     return root
 
 
-def _links(postings: DataFrame, width: int) -> DataFrame:
-    """postings: key, id, sig (binary of `width` bytes). Links u > v within each posting list, v the smallest of its component there."""
-
-    def near_bytes(sig: np.ndarray):
-        return lambda i, others: (sig[others] == sig[i]).sum(1) >= LEAST_MIN_BYTES
-
-    def near_bits(sig: np.ndarray):
-        value = sig.copy().view(np.uint64)[:, 0]
-        return lambda i, others: ((sig[others] == sig[i]).sum(1) >= LEAST_BYTES) & (np.bitwise_count(value[others] ^ value[i]) <= MAX_BITS)
-
-    near_of = near_bits if width == 8 else near_bytes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for b in chain(batches, [None]):
-            if b is not None and not b.num_rows:
+def _across(near, label: np.ndarray, query: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links from queries to the other rows that join all labels the queries link to; a joined label counts as the query's own."""
+    label, rest = label.copy(), np.flatnonzero(~query)
+    us, vs = [], []
+    for i in np.flatnonzero(query).tolist():
+        others = rest[label[rest] != label[i]]
+        if not len(others):
+            continue
+        hit = others[near(i, others)]
+        met, first = np.unique(label[hit], return_index=True)
+        us += [i] * len(first)
+        vs += hit[first].tolist()
+        label[np.isin(label, met)] = label[i]
+    return us, vs
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by cell as tables of whole cells, with the cells' bounds; rows that come twice in a cell come once."""
+    waiting: list[pa.RecordBatch] = []
+    for b in chain(batches, [None]):
+        if b is not None:
+            if not b.num_rows:
                 continue
-            if b is not None:
-                flat = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, width)
-                waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy(), flat))
-                if waiting[0][0][0] == waiting[-1][0][-1]:  # one list goes on
-                    continue
-            if not waiting:
+            waiting.append(b)
+            if waiting[0].column(0)[0] == b.column(0)[-1]:  # one cell goes on
                 continue
-            key, ids, sig = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-            bounds = np.append(starts, len(key))
-            if b is not None:  # the last list may go on in the next batch
-                bounds = bounds[: len(starts)]
-            some = np.flatnonzero(np.diff(bounds) > 1)
+        if not waiting:
+            continue
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        same = np.ones(max(0, table.num_rows - 1), bool)
+        for name in {"cell", "id", "query"} & set(table.column_names):
+            values = table.column(name).to_numpy()
+            same &= values[1:] == values[:-1]
+        if same.any():
+            table = table.filter(pa.array(np.concatenate([[True], ~same]))).combine_chunks()
+        cell = table.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        bounds = np.append(starts, len(cell))
+        if b is not None:  # the last cell may go on in the next batch
+            bounds = bounds[:-1]
+        yield table, bounds
+        waiting = table.slice(bounds[-1]).to_batches() if b is not None else []
+
+
+def _cell_links(rows: DataFrame, near_of) -> DataFrame:
+    """rows: cell, id and what `near_of` reads. Links u, v within each cell: stars around the smallest id of a component, or, with columns label and query, what `_across` finds."""
+    across = "query" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _cells(batches):
+            ids, near_in = table.column("id").to_numpy(), near_of(table)
             us, vs = [], []
-            for i in some:
-                a, z = bounds[i], bounds[i + 1]
-                root = _walk(z - a, near_of(sig[a:z]))
-                moved = np.flatnonzero(root != np.arange(z - a))
-                us.append(ids[a:z][moved])
-                vs.append(ids[a:z][root[moved]])
+            for k in np.flatnonzero(np.diff(bounds) > 1):
+                a, z = int(bounds[k]), int(bounds[k + 1])
+                if across:
+                    u, v = _across(near_in(a, z), table.column("label").to_numpy()[a:z], table.column("query").to_numpy()[a:z])
+                else:
+                    root = _walk(z - a, near_in(a, z))
+                    u = np.flatnonzero(root != np.arange(z - a))
+                    v = root[u]
+                us.append(ids[a:z][u])
+                vs.append(ids[a:z][v])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-            at = bounds[-1] if len(bounds) else 0
-            waiting = [(key[at:], ids[at:], sig[at:])] if at < len(key) else []
 
-    dealt = postings.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "u long, v long")
+    order = ["cell", "query", "id"] if across else ["cell", "id"]
+    return rows.repartition("cell").sortWithinPartitions(*order).mapInArrow(run, "u long, v long")
+
+
+def _blocks():
+    """Blocks that a group of rows of column size is dealt into."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES)))
+
+
+def group_links(members: DataFrame, near_of, load=lambda placed: placed) -> DataFrame:
+    """members: key, id, size (bytes) and more. Links u, v whose components are those of near rows within each group (rows of one key).
+
+    Groups of one block are cells. Larger ones are dealt into blocks by a hash of the id, and some members, its leaders,
+    stand in all blocks; components over the blocks' links then join most of a group of near rows. Two near rows that
+    are still apart can't both be in the group's largest component: the rows outside it are queries, in blocks, against
+    all blocks of the group. So no link is lost and no task has more than about two blocks. `load` adds what `near_of`
+    reads to placed rows.
+    """
+    large = stored(members.groupBy("key").agg(F.count("*").alias("n"), _blocks().alias("blocks")).where("blocks > 1"), "large")
+    if large.isEmpty():
+        return _cell_links(load(members.withColumnRenamed("key", "cell").drop("size")), near_of)
+    whose = lambda n: F.pmod(F.xxhash64(F.lit("block"), "id"), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    leads = F.pmod(F.xxhash64(F.lit("leader"), "id"), F.col("n")) < F.least(F.lit(LEADERS), F.ceil(F.col("n") / F.col("blocks") / 4))
+    at = F.explode(F.when(F.isnull("blocks"), F.array(F.lit(None).cast("long"))).when(leads, upto(F.col("blocks"))).otherwise(F.array(whose(F.col("blocks")))))
+    placed = members.join(large, "key", "left").withColumn("at_block", at)
+    placed = placed.withColumn("cell", F.when(F.isnull("at_block"), F.col("key")).otherwise(F.xxhash64("key", "at_block")))
+    extra = [c for c in members.columns if c not in ("key", "id", "size")]
+    roots = stored(components(_cell_links(load(placed.select("cell", "id", *extra)), near_of)), "roots")
+    links = roots.toDF("u", "v")
+    labelled = members.join(large, "key").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root", "n")
+    labelled = stored(labelled, "labelled")
+    most = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    labelled = labelled.join(most, "key").withColumn("query", F.col("label") != F.col("most"))
+    asked = stored(labelled.where("query").groupBy("key").agg(_blocks().alias("query_blocks")), "asked")
+    if asked.isEmpty():
+        return links
+    rows = labelled.join(asked, "key")
+    queries = rows.where("query").withColumn("a", whose(F.col("query_blocks"))).withColumn("b", F.explode(upto(F.col("blocks"))))
+    others = rows.withColumn("query", F.lit(False)).withColumn("a", F.explode(upto(F.col("query_blocks")))).withColumn("b", whose(F.col("blocks")))
+    cells = queries.unionByName(others).withColumn("cell", F.xxhash64("key", "a", "b"))
+    return links.union(_cell_links(load(cells.select("cell", "id", *extra, "label", "query")), near_of))
+
+
+def _links(postings: DataFrame, width: int) -> DataFrame:
+    """postings: key, id, sig (binary of `width` bytes). Links u, v that join the near members of each posting list."""
+
+    def near_of(table: pa.Table):
+        sigs = _matrix(table.column("sig"), width)
+
+        def near_bytes(a: int, z: int):
+            sig = sigs[a:z]
+            return lambda i, others: (sig[others] == sig[i]).sum(1) >= LEAST_MIN_BYTES
+
+        def near_bits(a: int, z: int):
+            sig, value = sigs[a:z], sigs[a:z].copy().view(np.uint64)[:, 0]
+            return lambda i, others: ((sig[others] == sig[i]).sum(1) >= LEAST_BYTES) & (np.bitwise_count(value[others] ^ value[i]) <= MAX_BITS)
+
+        return near_bits if width == 8 else near_bytes
+
+    return group_links(postings.select("key", "id", F.lit(width).alias("size"), "sig"), near_of)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return utf8(column)[0].reshape(-1, width)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -252,69 +341,49 @@ def _similar(fp: np.ndarray, sig: np.ndarray, hashes: np.ndarray, cuts: np.ndarr
     return near
 
 
-def verified(members: DataFrame, words: int = 5) -> DataFrame:
-    """members: cluster, id, fp, mins, text. node and root (the smallest id reachable in its cluster over links of the similarity)."""
+def verified(documents: DataFrame, members: DataFrame, words: int = 5) -> DataFrame:
+    """members: key (cluster), id, size, of, at, fp, mins. Links u, v that join the members of each cluster over pairs of the similarity."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], ["cluster", "id", "fp", "mins", "shingles"])
-
-    def walked(ids: list, fps: list, sigs: list, sizes: list, parts: list, file) -> pa.RecordBatch:
-        if file is None:
-            hashes = np.frombuffer(b"".join(parts), np.uint64)
-        else:
-            file.write(b"".join(parts))
-            file.flush()
-            hashes = np.memmap(file, np.uint64, "r")
-        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, MIN_BYTES)
-        root = _walk(len(ids), _similar(np.array(fps, np.int64).view(np.uint64), sig, hashes, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)))
-        ids = np.array(ids, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["node", "root"])
+    def load(placed: DataFrame) -> DataFrame:
+        more = [c for c in ("label", "query") if c in placed.columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cluster, held = None, ([], [], [], [], [])
-        file, waiting = None, 0
-        for b in batches:
-            for c, i, fp, mins, shingles in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                if c != cluster:
-                    if held[0]:
-                        yield walked(*held, file)
-                    if file is not None:
-                        file.close()
-                    cluster, held, file, waiting = c, ([], [], [], [], []), None, 0
-                if held[0] and held[0][-1] == i:  # the row comes twice
-                    continue
-                for column, value in zip(held, (i, fp, mins, len(shingles) // 8, shingles), strict=True):
-                    column.append(value)
-                waiting += len(shingles)
-                if waiting > IN_MEMORY:
-                    file = file or tempfile.TemporaryFile()
-                    file.write(b"".join(held[4]))
-                    held[4].clear()
-                    waiting = 0
-        if held[0]:
-            yield walked(*held, file)
-
-    sets = members.select("cluster", "id", "fp", "mins", "text").mapInArrow(hashed, "cluster long, id long, fp long, mins binary, shingles binary")
-    return sets.repartition("cluster").sortWithinPartitions("cluster", "id").mapInArrow(run, "node long, root long")
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()
+            for b in batches:
+                rows = [tuple(x) for x in zip(*[b.column(n).to_pylist() for n in ("cell", "id", *more)], strict=True)]
+                new = [i for i, x in enumerate(rows) if x not in seen and not seen.add(x)]  # rows equal in id and text come once
+                b = b.take(pa.array(new, pa.int64()))
+                sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], [*b.schema.names[1:], "shingles"])
+
+        texts = documents.select("text", *_place()).join(placed, ["of", "at"]).select("text", "cell", "id", "fp", "mins", *more)
+        kinds = "cell long, id long, fp long, mins binary" + ", label long, query boolean" * bool(more)
+        return texts.mapInArrow(hashed, f"{kinds}, shingles binary")
+
+    def near_of(table: pa.Table):
+        fps, sigs = table.column("fp").to_numpy().view(np.uint64), _matrix(table.column("mins"), MIN_BYTES)
+        data, offsets = utf8(table.column("shingles"))
+        hashes, cuts = data.view(np.uint64), offsets // 8
+        return lambda a, z: _similar(fps[a:z], sigs[a:z], hashes, cuts[a : z + 1])
+
+    return group_links(members, near_of, load)
 
 
 def near_duplicates(documents: DataFrame, words: int = 5) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links of shingle similarity 0.8 or more)."""
     rows = stored(fingerprints(documents, words, min_wise=True), "fingerprints")
     least = F.min("doc_id")
-    texts = stored(rows.groupBy("digest").agg(least.alias("first"), F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.min(F.struct("of", "at")).alias("place")), "texts")
+    texts = stored(rows.groupBy("digest").agg(least.alias("first"), F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.first("size").alias("size"), F.min(F.struct("of", "at")).alias("place")), "texts")
     texts_id = texts.withColumn("id", F.xxhash64("digest"))
     by_mins = texts_id.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("mins", i * BAND + 1, BAND))).alias("n", "band"), "id", F.col("mins").alias("sig"))
     near = _links(by_mins.select(F.xxhash64("n", "band").alias("key"), "id", "sig"), MIN_BYTES)
     fps = texts_id.groupBy("fp").agg(F.min("id").alias("id"))
     same_fp = texts_id.join(fps.withColumnRenamed("id", "v"), "fp").select(F.col("id").alias("u"), "v").where("u <> v")
     bits = fingerprint_links(fps.select("fp")).join(fps.toDF("u", "ui"), "u").join(fps.toDF("v", "vi"), "v").select(F.col("ui").alias("u"), F.col("vi").alias("v"))
-    clusters = components(near.union(same_fp).union(bits)).toDF("id", "cluster")
-    clusters = clusters.union(clusters.select("cluster", "cluster")).distinct()
-    members = texts_id.join(clusters, "id").select("place.*", "cluster", "id", "fp", "mins")
-    found = stored(verified(documents.select("text", *_place()).join(members, ["of", "at"]), words), "verified")
+    clusters = components(near.union(same_fp).union(bits)).toDF("id", "key")
+    clusters = clusters.union(clusters.select("key", "key")).distinct()
+    members = stored(texts_id.join(clusters, "id").select("key", "id", "size", "place.*", "fp", "mins"), "members")
+    found = components(verified(documents, members, words))
     named = texts_id.select("digest", "id", "first").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = stored(named.select("digest", "root").join(ids, "root").select("digest", "component_id"), "components")

@@ -108,6 +108,32 @@ def test_simhash_chain_and_hot_list(spark):
     assert len({r.root for r in found}) == 1 and len(found) >= len(set(rows)) - 1
 
 
+def test_large_lists_lose_no_link_between_blocks(spark, monkeypatch):
+    """One list in many blocks: families, a chain, and texts that are near to nothing; a repeated row too."""
+    import random
+
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    for base, n in ((rng.getrandbits(64), 150), (rng.getrandbits(64), 60), (rng.getrandbits(64), 5)):
+        values += [base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(n)]
+    at = rng.getrandbits(64)
+    for i in range(0, 60, 3):
+        values.append(at := at ^ (7 << i))
+    values = list(dict.fromkeys(values))
+    root = list(range(len(values)))
+    near = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3]
+    for _ in range(30):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 60 < len(set(root)) < 70
+    rows = [(1, i, x.to_bytes(8, "big")) for i, x in enumerate(values)] + [(1, 70, values[70].to_bytes(8, "big")), (2, 5, bytes(8))]
+    links = simhash._links(spark.createDataFrame(rows, "key long, id long, sig binary"), 8)
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    assert {i: got.get(i, i) for i in range(len(values))} == dict(enumerate(root))
+
+
 def test_every_pair_in_three_bits_shares_a_triple():
     from itertools import combinations
 
@@ -136,9 +162,11 @@ def test_near_duplicates_are_verified(spark):
     assert sum(got[d] != want[d] for d in want) <= 1  # a pair in 400 shares no band
 
 
-def test_near_duplicates_in_families(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_duplicates_in_families(spark, monkeypatch, block):
     import random
 
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(11)
     rows = []
     for family in range(4):
