@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes sets chunk ends wherever it falls below a bound (32 bytes apart on
-average), so an insertion moves only the ends near it. Chunks are known by 64-bit digests. The first place of a
+average), so an insertion moves only the ends near it. Chunks are known by XXH3 digests of 128 bits. The first place of a
 digest (smallest doc_id, then text digest, then position) keeps its chunk; later places are repeats. Repeats
 that follow one another for `MIN_RUN` bytes make a repeated passage. A passage that begins or ends inside a word is
 cut to the word's edge where white space lies within `EDGE` bytes, else (text without spaces) to a whole code point.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import blocks, free_name, mixed, prefix_sums, span_hashes, stored, tuned, utf8
+from pagemill.llm.common import blocks, free_name, mixed, stored, tuned, utf8
 
 #: Bytes between chunk ends on average; ends nearer than NEAR to the one before are left out; longest chunk.
 MEAN, NEAR, LONGEST = 32, 8, 1024
@@ -75,19 +75,19 @@ def chunks(documents: DataFrame) -> DataFrame:
             data, offsets = utf8(b.column(1))
             for lo, hi in blocks(offsets):
                 part, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                tids, prefix = _text_ids(part, cuts), prefix_sums(part)
+                tids, raw = _text_ids(part, cuts), part.tobytes()
                 ends = [chunk_ends(part[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 n = [len(e) for e in ends]
                 if not sum(n):
                     continue
                 at = np.concatenate([np.concatenate([[0], e[:-1]]) if len(e) else e for e in ends])
                 ends, base = np.concatenate(ends), np.repeat(cuts[:-1], n)
-                digest = span_hashes(prefix, at + base, ends + base).astype(np.int64)
+                digest = [xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip((at + base).tolist(), (ends + base).tolist(), strict=True)]
                 doc = b.column(0).take(pa.array(np.repeat(np.arange(lo, hi), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(digest), doc, *[pa.array(x) for x in (np.repeat(tids, n), at.astype(np.int32), (ends - at).astype(np.int32))]], ["digest", "doc", "tid", "at", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), doc, *[pa.array(x) for x in (np.repeat(tids, n), at.astype(np.int32), (ends - at).astype(np.int32))]], ["digest", "doc", "tid", "at", "size"])
 
     key, kind = _doc_key(documents)
-    return documents.select(key.alias("doc"), "text").mapInArrow(run, f"digest long, doc {kind}, tid long, at int, size int")
+    return documents.select(key.alias("doc"), "text").mapInArrow(run, f"digest binary, doc {kind}, tid long, at int, size int")
 
 
 def _doc_key(documents: DataFrame, name: str = "doc_id") -> tuple[Column, str]:

@@ -14,9 +14,11 @@ ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 64 << 20
 #: Bytes of text that the numpy code works on at once.
 BLOCK = 1 << 20
 
-MASK64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Modulus of the hashes of spans, a prime: modulo a power of two, texts that differ collide by construction whatever the base.
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x0C6A4A7935BD1E99
+#: Bytes whose powers are held in tables; sums within that many stay under 2^64.
+_STEP = 1 << 16
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -57,34 +59,54 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the hash's base and of its inverse modulo 2^64, grown on demand."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x under 2^64."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
 
-    def __init__(self) -> None:
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, _BASE_INV))
-        return self.up, self.down
+def _by_two_to_31(x: np.ndarray) -> np.ndarray:
+    """A number under 2^63 congruent to x * 2^31, for x under 2^62."""
+    return (x >> np.uint64(30)) + ((x & np.uint64((1 << 30) - 1)) << np.uint64(31))
 
 
-_POWERS = _Powers()
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, from halves of 30 and 31 bits."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    return _reduced((a1 * b1 << np.uint64(1)) + _by_two_to_31(a1 * b0 + a0 * b1) + a0 * b0)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo the prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, product(out, np.uint64(pow(base, len(out), int(_PRIME))))])
+    return out[:n]
+
+
+_UP, _DOWN = _powers(_BASE, _STEP), _powers(pow(_BASE, -1, int(_PRIME)), _STEP)
+_UP_HALVES = _UP & np.uint64((1 << 31) - 1), _UP >> np.uint64(31)
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """prefix[i]: polynomial of data[:i] modulo 2^64."""
-    up, _ = _POWERS.upto(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    """prefix[i]: polynomial of the bytes data[:i] modulo the prime."""
+    out, carry, step = np.zeros(len(data) + 1, np.uint64), np.uint64(0), pow(_BASE, _STEP, int(_PRIME))
+    for k, lo in enumerate(range(0, len(data), _STEP)):
+        part = data[lo : lo + _STEP].astype(np.uint64) + np.uint64(1)
+        low, high = (np.cumsum(part * half[: len(part)]) for half in _UP_HALVES)
+        local = _reduced(_by_two_to_31(high) + low)
+        out[lo + 1 : lo + 1 + len(part)] = _reduced(product(local, np.uint64(pow(step, k, int(_PRIME)))) + carry)
+        carry = out[lo + len(part)]
     return out
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] that don't depend on the place."""
-    _, down = _POWERS.upto(len(prefix))
-    return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of data[start:end] that don't depend on the place; two spans of n bytes that differ meet with a chance of n in 2^61."""
+    starts = starts.astype(np.int64)
+    far = _powers(pow(_BASE, -_STEP, int(_PRIME)), (int(starts.max()) // _STEP + 1) if len(starts) else 1)
+    sums = _reduced(prefix[ends] + (_PRIME - prefix[starts]))
+    return mixed(product(product(sums, _DOWN[starts % _STEP]), far[starts // _STEP]))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

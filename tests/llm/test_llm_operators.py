@@ -215,6 +215,18 @@ def test_coverage_decides_where_base_passes(spark):
     assert got == {1: (False, True, 0.0), 2: (False, False, 0.14), 3: (False, True, 0.0)}
 
 
+def test_spans_that_differ_have_different_hashes(spark):
+    """Thue-Morse texts, which meet in every polynomial modulo a power of two: one isn't a copy of the other."""
+    letters = ["ae"[i.bit_count() & 1] for i in range(1024)]
+    s, u = "".join(letters), "".join("ea"["ae".index(c)] for c in letters)
+    rows = spark.createDataFrame([(1, s), (2, u), (3, f"{s}\n{u}"), (4, " ".join(["b", "c", s, "d", "e", "b", "c", u, "d", "e"])), (5, s)], "doc_id long, text string")
+    found = {r.doc_id: r for r in quality_rules.apply_rules(rows).collect()}
+    assert found[3].n_dup_lines == 0 and found[4].n_repeat_words == 0
+    cut = {r.doc_id: r for r in chunks.dedup_substrings(rows.where("doc_id <= 2")).collect()}
+    assert cut[1].text == s and cut[2].text == u and cut[2].removed_bytes == 0
+    assert {r.doc_id: r.removed_bytes for r in chunks.dedup_substrings(rows.where("doc_id in (1, 2, 5)")).collect()} == {1: 0, 2: 0, 5: 1024}
+
+
 def test_packing_against_the_library(docs):
     from tokenizers import Tokenizer
 
