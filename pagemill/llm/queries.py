@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chunks, langid, lexicon, media, packing, pii, quality, quality_rules, simhash, toxicity
+from pagemill.llm import chunks, clusters, langid, lexicon, licenses, media, packing, pii, quality, quality_rules, simhash, sql, toxicity, turns
 
 #: The key of surrogates; a deployment sets its own.
 PII_KEY = "pagemill-demonstration-key"
@@ -65,8 +65,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.learn(documents))
 
 
+def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings")).drop("n_compared")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_toxicity, op2_simhash, op3_quality_rules, op4_packing, op5_pii, op6_quality, op7_media, op8_chunks, op9_lexicon, op10_langid)
+    made = (op1_toxicity, op2_simhash, op3_quality_rules, op4_packing, op5_pii, op6_quality, op7_media, op8_chunks, op9_lexicon, op10_langid, op11_annulus, op12_licenses, op13_prefix_trie)
     return {f.__name__: f for f in made}
 
 
@@ -96,7 +108,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 def oracle_sql() -> dict[str, str]:
     """Of the others SQL is too slow or can't express them on whole tables; tests/llm holds them against brute force."""
-    return {"op3_quality_rules": _quality_rules_sql()}
+    return {"op3_quality_rules": _quality_rules_sql(), "op11_annulus": sql.annulus(), "op12_licenses": sql.license_scan(), "op13_prefix_trie": sql.prefix_trie()}
 
 
 def with_length(documents: DataFrame) -> DataFrame:
