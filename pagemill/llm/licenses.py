@@ -140,7 +140,7 @@ class Templates:
     def met(self, ranks: np.ndarray) -> tuple[set[int], set[int], float]:
         """Of one text's words (ranks; -1: none of ours): the templates that some block meets, those of them that stand in one for themselves, and the largest share.
 
-        A template doesn't stand for itself in a block where another one was met by more words, these among them.
+        A template doesn't stand for itself in a block that overlaps one where another was met by more words, these among them.
         """
         first: dict[tuple[int, int, int], tuple[int, int]] = {}  # (half, block, template) -> least place in the template's prefix, and its word
         for p in np.flatnonzero(self.in_prefix[ranks]).tolist():
@@ -150,7 +150,7 @@ class Templates:
                     key = (self.half[t], block, t)
                     first[key] = min(first.get(key, (i, r)), (i, r))
         in_block: dict[tuple[int, int], np.ndarray] = {}
-        found: dict[tuple[int, int], dict[int, np.ndarray]] = defaultdict(dict)
+        found: list[tuple[int, int, int, set[int]]] = []  # first word and end of the block, template, shared words
         for (half, block, t), (i, r) in first.items():
             if (half, block) not in in_block:
                 own = np.unique(ranks[block * half : (block + 2) * half])
@@ -161,15 +161,17 @@ class Templates:
                 continue
             shared = np.intersect1d(own, template, assume_unique=True)
             if len(shared) >= need:
-                found[half, block][t] = shared
-        every, own, share = set(), set(), 0.0
-        for block in found.values():
-            for t, shared in block.items():
-                every.add(t)
-                share = max(share, len(shared) / len(self.sets[t]))
-                if not any(len(other) > len(shared) and np.isin(shared, other, assume_unique=True).all() for other in block.values()):
-                    own.add(t)
-        return every, own, share
+                found.append((block * half, (block + 2) * half, t, set(shared.tolist())))
+        found.sort(key=lambda f: f[:3])
+        hidden, open_ = set(), []
+        for f in found:  # each with the blocks before it that reach into it
+            open_ = [o for o in open_ if o[1] > f[0]]
+            hidden |= {o[:3] for o in open_ if o[3] < f[3]}
+            if any(f[3] < o[3] for o in open_):
+                hidden.add(f[:3])
+            open_.append(f)
+        share = max((len(shared) / len(self.sets[t]) for _, _, t, shared in found), default=0.0)
+        return {f[2] for f in found}, {f[2] for f in found if f[:3] not in hidden}, share
 
 
 def scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

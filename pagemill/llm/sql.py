@@ -46,7 +46,7 @@ places AS (SELECT doc_id, label, p FROM w JOIN phrase ON w.word = phrase.ws[1] J
 base AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
 hit AS (SELECT DISTINCT doc_id, t, block, word FROM (SELECT doc_id, t, word, unnest(CASE WHEN p // half > 0 THEN [p // half - 1, p // half] ELSE [0] END) AS block FROM w JOIN template USING (word) JOIN size USING (t))),
 met AS (SELECT doc_id, t, half, block, label, list(word) AS shared, count(*) / n AS share FROM hit JOIN size USING (t) GROUP BY doc_id, t, half, block, label, n, need HAVING count(*) >= need),
-own AS (SELECT DISTINCT doc_id, label FROM met WHERE NOT EXISTS (SELECT 1 FROM met AS o WHERE o.doc_id = met.doc_id AND o.half = met.half AND o.block = met.block AND len(o.shared) > len(met.shared) AND list_has_all(o.shared, met.shared))),
+own AS (SELECT DISTINCT doc_id, label FROM met WHERE NOT EXISTS (SELECT 1 FROM met AS o WHERE o.doc_id = met.doc_id AND o.half * o.block < met.half * (met.block + 2) AND met.half * met.block < o.half * (o.block + 2) AND len(o.shared) > len(met.shared) AND list_has_all(o.shared, met.shared))),
 m AS (SELECT doc_id, max(share) AS share, list_distinct(list(label)) AS labels FROM met GROUP BY doc_id), o AS (SELECT doc_id, list(label) AS labels FROM own GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(o.labels, [])))), ',') AS labels,
