@@ -38,6 +38,8 @@ HYGIENE_INLINE = [
 HYPHEN_BREAK = (r"([a-z])-\s*\n\s*([a-z])", "", "$1$2")
 # --- A line that occurs this often in a document, and is longer than this, is a running header ---
 REPEATED_LINE_TIMES, REPEATED_LINE_LONGER = 3, 3
+#: What ends a line besides a newline.
+LINE_ENDS = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 # --- The heading from which on a document isn't read ---
 END_MATTER = (r"^\s*#{0,6}\s*(?:references|external links|see also|further reading|bibliography|notes|footnotes|works cited)\s*$", "mi")
 
@@ -153,15 +155,17 @@ IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp", "gif"]
 
 # --- Scenes of covers, in order ---
 _QUOTED = "(?:'[^']*'|\"[^\"]*\"|\u2018[^\u2019]*\u2019|\u201c[^\u201d]*\u201d)"
-_LETTERED = r"(?:signs?|banners?|placards?|labels?|plaques?|posters?|captions?|titles?|text|words?|letters?|lettering|inscriptions?|headlines?)"
-_HELD = r"(?:holding|carrying|displaying|showing|bearing|with|under|beneath)"
+SCENE_LETTERED = r"(?:signs?|banners?|placards?|labels?|plaques?|posters?|captions?|titles?|text|words?|letters?|lettering|inscriptions?|headlines?)"
+SCENE_HELD = r"(?:holding|carrying|displaying|showing|bearing|with|under|beneath)"
+#: Possessive where nothing behind a loop could take anything back (Java matches other loops over groups by recursion), and white
+#: space is only tried where it begins; `rx.plain` takes both marks away for dialects that don't need them.
 SCENE = [
-    (r"\s*\b(?:labell?ed|reading|reads|says|saying|titled|marked|inscribed\s+with|with\s+the\s+(?:words?|text))\s*" + _QUOTED + r"(?:(?:\s*(?:,|and|or))+\s*" + _QUOTED + r")*", "i", ""),
-    (r"\s*" + _QUOTED, "", ""),
-    (r"\s*\b(?:labell?ed|titled|that\s+(?:says|reads)|inscribed\s+with|with\s+the\s+(?:words?|text))\b[^,.;]*", "i", ""),
-    (r"\s*\b" + _HELD + r"\s+(?:(?!" + _HELD + r"\b)[\w-]+\s+){0,3}?" + _LETTERED + r"\b", "i", ""),
-    (r"\s+([,.;])", "", "$1"),
-    (r"(?:,\s*){2,}", "", ", "),
+    (r"(?<!\s)\s*+\b(?:labell?ed|reading|reads|says|saying|titled|marked|inscribed\s+with|with\s+the\s+(?:words?|text))\s*+" + _QUOTED + r"(?:(?:\s*+(?:,|and|or))++\s*+" + _QUOTED + r")*+", "i", ""),
+    (r"(?<!\s)\s*+" + _QUOTED, "", ""),
+    (r"(?<!\s)\s*+\b(?:labell?ed|titled|that\s+(?:says|reads)|inscribed\s+with|with\s+the\s+(?:words?|text))\b[^,.;]*+", "i", ""),
+    (r"(?<!\s)\s*+\b" + SCENE_HELD + r"\s++(?:(?!" + SCENE_HELD + r"\b)[\w-]++\s++){0,3}?" + SCENE_LETTERED + r"\b", "i", ""),
+    (r"(?<!\s)\s++([,.;])", "", "$1"),
+    (r"(?:,\s*+){2,}+", "", ", "),
     (r"\s{2,}", "", " "),
 ]
 

@@ -12,10 +12,10 @@ from pagemill.functions.rx import strip, unspaced_length
 
 
 def assembled(pages: DataFrame, key: str) -> DataFrame:
-    """key and text: non-blank pages in order, a blank line between. pages: key, number, text."""
-    kept = pages.where(strip(F.col("text")) != "")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda p: p["text"])
-    return kept.groupBy(key).agg(F.array_join(texts, "\n\n").alias("text"))
+    """key and text: non-blank pages in order, a blank line between; empty for a document of blank pages. pages: key, number, text."""
+    page = F.when(strip(F.col("text")) != "", F.struct("number", "text"))
+    texts = F.transform(F.array_sort(F.collect_list(page)), lambda p: p["text"])
+    return pages.groupBy(key).agg(F.array_join(texts, "\n\n").alias("text"))
 
 
 def profile(pages: DataFrame, key: str) -> DataFrame:
@@ -72,10 +72,10 @@ def dispatched(target: Column, exists: Column) -> tuple[Column, Column]:
 
 
 def skip_reasons(pages: DataFrame, key: str) -> DataFrame:
-    """skipped_pages and skip_reasons (each once, in the order of pages) of each document. pages: key, number, method, reason."""
+    """skipped_pages and skip_reasons (distinct, sorted) of each document. pages: key, number, method, reason."""
     skipped = F.col("method") == "skipped"
-    told = F.transform(F.array_sort(F.collect_list(F.when(skipped & (F.coalesce("reason", F.lit("")) != ""), F.struct("number", "reason")))), lambda p: p["reason"])
-    return pages.groupBy(key).agg(F.count_if(skipped).alias("skipped_pages"), F.array_distinct(told).alias("skip_reasons"))
+    told = F.when(skipped & (F.coalesce("reason", F.lit("")) != ""), F.col("reason"))
+    return pages.groupBy(key).agg(F.count_if(skipped).alias("skipped_pages"), F.sort_array(F.collect_set(told)).alias("skip_reasons"))
 
 
 def provenance(docs: DataFrame, created: str, model: str) -> Column:

@@ -19,6 +19,7 @@ def lines_of(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Data
 def without_running_headers(text: Column) -> Column:
     """Lines that stand in a document three times or more, and are longer than three characters, go wherever they stand.
 
+    Form feeds, carriage returns and the like end lines too. A text that loses none stays as it is; else its lines end with newlines.
     Per row: in sorted lines, one stands three times where it equals those beside it or two places off; what is left is
     sorted by place again. Nothing is shuffled, and a long document costs two sorts.
     """
@@ -34,15 +35,22 @@ def without_running_headers(text: Column) -> Column:
             return ~(often & (F.length(x["s"]) > rules.REPEATED_LINE_LONGER))
 
         left = F.sort_array(F.transform(F.filter(ordered, alone), lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"))))
-        return F.array_join(F.transform(left, lambda x: x["line"]), "\n")
+        return F.transform(left, lambda x: x["line"])
 
     def dropped(lines: Column) -> Column:
         ordered = F.sort_array(F.transform(lines, lambda line, i: F.struct(strip(line).alias("s"), i.alias("i"), line.alias("line"))))
         return let(ordered, rare)
 
-    # a line that stands three times leaves two distinct ones fewer than there are
-    few = lambda lines: F.size(lines) - F.size(F.array_distinct(F.transform(lines, strip))) < step
-    return let(F.split(text, "\n"), lambda lines: F.when(few(lines), F.array_join(lines, "\n")).otherwise(dropped(lines)))
+    def of_lines(x: Column, lines: Column) -> Column:
+        # a line that stands three times leaves two distinct ones fewer than there are
+        few = F.size(lines) - F.size(F.array_distinct(F.transform(lines, strip))) < step
+        return F.when(few, x).otherwise(let(dropped(lines), lambda kept: F.when(F.size(kept) == F.size(lines), x).otherwise(F.array_join(kept, "\n"))))
+
+    def split(x: Column) -> Column:
+        lines = F.split(F.regexp_replace(x, rules.LINE_ENDS, "\n"), "\n")
+        return let(lines, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
+
+    return let(text, lambda x: let(split(x), lambda lines: of_lines(x, lines)))
 
 
 def prepared(text: Column, words: Column | None = None) -> Column:

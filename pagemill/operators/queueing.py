@@ -62,12 +62,13 @@ def jobs_ahead(jobs: DataFrame, queue: list[str], arrival: str, finish: str, ord
     In a queue of one worker finishes come in order, so the jobs done by a time are counted by one running sum over
     arrivals and finishes together: a finish at the very time of an arrival counts as done.
     """
-    keep = [*dict.fromkeys([*queue, *order, arrival])]
-    asks = jobs.select(*[F.col(c) for c in keep], F.col(arrival).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_done"), F.lit(1).alias("_come"))
-    ends = jobs.select(*[F.col(c) for c in keep], F.col(finish).cast("double").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_done"), F.lit(0).alias("_come"))
-    both = running(asks.unionByName(ends), queue, ["_at", "_kind", *order], F.sum, F.col("_come") - F.col("_done"), "_open")
-    found = both.where("_kind = 1").select(*keep, (F.col("_open") - 1).cast("long").alias(name))
-    return jobs.join(found, keep)
+    # each job is two rows, and its own columns go along with the one that asks: nothing is joined back, so null keys and repeated rows stay as they are
+    job = F.struct(*[F.col(c) for c in jobs.columns])
+    keep = [F.col(c) for c in dict.fromkeys([*queue, *order])]
+    asks = jobs.select(*keep, job.alias("_job"), F.col(arrival).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(1).alias("_step"))
+    ends = jobs.select(*keep, F.when(F.lit(False), job).alias("_job"), F.col(finish).cast("double").alias("_at"), F.lit(0).alias("_kind"), F.lit(-1).alias("_step"))
+    both = running(asks.unionByName(ends), queue, ["_at", "_kind", *order], F.sum, F.col("_step"), "_open")
+    return both.where("_kind = 1").select("_job.*", (F.col("_open") - 1).cast("long").alias(name))
 
 
 def estimated(kind: Column, text_chars: Column, ocr_pages: Column, budget: int, chunk: int) -> Column:

@@ -70,9 +70,16 @@ def metadata_title(title: Column) -> Column:
 
 
 def wav_seconds(data: Column, rate: int = 24_000, frame_bytes: int = 2) -> Column:
-    """Length of a WAV file's sound, from the place of its data chunk."""
-    at = F.instr(F.hex(data), "64617461")
-    return F.when(at > 0, (F.length(data) - ((at - 1) / 2) - 8) / (rate * frame_bytes))
+    """Length of a WAV file's sound: what follows the head of its data chunk, whatever the lengths in the header say.
+
+    Rate and width of a frame are the header's; the parameters count where it has none. Null without a data chunk.
+    """
+    place = lambda word: F.position(F.unhex(F.lit(word.encode().hex())), data)
+    at, form = place("data"), place("fmt ")
+    number = lambda first, n: F.conv(F.concat(*[F.hex(F.substring(data, form + first + i, 1)) for i in reversed(range(n))]), 16, 10).cast("long")
+    frame = F.when(form > 0, number(10, 2) * number(22, 2) / 8).otherwise(F.lit(float(frame_bytes)))
+    per_second = F.when(form > 0, number(12, 4)).otherwise(F.lit(rate)) * frame
+    return F.when((at > 0) & (per_second > 0), (F.length(data) - (at - 1) - 8) / per_second)
 
 
 def grouped_voices(voices: DataFrame) -> DataFrame:

@@ -42,19 +42,20 @@ def _cut_sql(x: str) -> str:
 
 
 _DROPPED = f"""
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM (
-    SELECT *, count(*) OVER (PARTITION BY doc_id, {sql_strip('line')}) AS times FROM ({{lines}})
-  ) WHERE NOT (times >= {rules.REPEATED_LINE_TIMES} AND length({sql_strip('line')}) > {rules.REPEATED_LINE_LONGER}) GROUP BY doc_id"""
+  SELECT doc_id, CASE WHEN bool_or(often) THEN coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT often), '') ELSE max(whole) END AS text FROM (
+    SELECT *, count(*) OVER (PARTITION BY doc_id, {sql_strip('line')}) >= {rules.REPEATED_LINE_TIMES} AND length({sql_strip('line')}) > {rules.REPEATED_LINE_LONGER} AS often FROM ({{lines}}) WHERE NOT (line_no = n AND line = '')
+  ) GROUP BY doc_id"""
 
 
 def _without_headers_sql(source: str) -> str:
     """doc_id and text less running headers; documents that lose every line get an empty text."""
-    split = f"SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM ({source})"
+    parts = f"SELECT doc_id, text AS whole, string_split(regexp_replace(text, '{rules.LINE_ENDS}', chr(10), 'g'), chr(10)) AS parts FROM ({source})"
+    split = f"SELECT doc_id, whole, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no, len(parts) AS n FROM ({parts})"
     return f"SELECT doc_id, coalesce(k.text, '') AS text FROM ({source}) s LEFT JOIN ({_DROPPED.format(lines=split)}) k USING (doc_id)"
 
 
 #: Furniture put around each document, by both sides.
-_AROUND = [("Running header\n", "\nRunning header\n3/54\nPage 4 of 9\n- 12 -\n"), ("", "\n12/05/2021\nVOL. 3 ISSUE 4 spring\nDownloaded from http://x.y by z\nRunning header\nISSN 1234-5678 and fig.png stay (cid:12)\nAll rights reserved.\nhyphen-\nated words")]
+_AROUND = [("Running header\x0c", "\nRunning header\n3/54\nPage 4 of 9\n- 12 -\n"), ("", "\n12/05/2021\nVOL. 3 ISSUE 4 spring\nDownloaded from http://x.y by z\nRunning header\nISSN 1234-5678 and fig.png stay (cid:12)\nAll rights reserved.\nhyphen-\nated words")]
 _BEFORE, _AFTER = _AROUND[0][0], _AROUND[0][1] + _AROUND[1][1]
 _FURNISHED_SQL = f"SELECT doc_id, {literal(_BEFORE)} || text || {literal(_AFTER)} AS text FROM documents"
 #: Markup put around each document, by both sides.

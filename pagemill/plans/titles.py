@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules, text as t
-from pagemill.functions.rx import quoted, sql_strip
+from pagemill.functions.rx import literal, plain, quoted, sql_pattern, sql_strip
 from pagemill.operators import documents as d
 from pagemill.plans.registry import query, table
 from pagemill.sources import web
@@ -19,9 +19,11 @@ def _turn_pages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("number"), "text", method.alias("method"), (F.length("text") / 100.0).alias("seconds"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@query("SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (trim(text) <> '' AND conv_id % 7 > 0), '') AS text FROM conversations GROUP BY conv_id")
 def doc_assemble(spark, sf_dir):
-    return d.assembled(_turn_pages(spark, sf_dir), "conv_id")
+    """Pages of every seventh document are blank."""
+    pages = _turn_pages(spark, sf_dir).withColumn("text", F.when(F.col("conv_id") % 7 == 0, " \n").otherwise(F.col("text")))
+    return d.assembled(pages, "conv_id")
 
 
 @query("""
@@ -213,7 +215,23 @@ def cover_seed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.seed(F.col("doc_id").cast("string")).alias("seed"))
 
 
-@query()
+def _scene_sql(x: str) -> str:
+    """The rules one by one; words that hold something are marked first, so that none of them is taken for a filler (there is no look ahead)."""
+    for pattern, flags, new in rules.SCENE:
+        bare = sql_pattern(plain(pattern), flags)
+        if "(?!" in bare:
+            x = f"regexp_replace(regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_-])({rules.SCENE_HELD})\\b', '\\1' || chr(1) || '\\2', 'g'), '(?i)-({rules.SCENE_HELD})\\b', '-' || chr(2) || '\\1', 'g')"
+            x = f"regexp_replace({x}, '(?i)\\s*[' || chr(1) || chr(2) || ']{rules.SCENE_HELD}\\s+(?:[\\p{{L}}\\p{{N}}_' || chr(2) || '-]+\\s+){{0,3}}?{rules.SCENE_LETTERED}\\b', '', 'g')"
+            x = f"regexp_replace({x}, '[' || chr(1) || chr(2) || ']', '', 'g')"
+        else:
+            x = f"regexp_replace({x}, {quoted(bare)}, '{new.replace('$', chr(92))}', 'g')"
+    return f"regexp_replace({x}, '^[ ,;]+|[ ,;]+$', '', 'g')"
+
+
+_SCENE = ("A figure holding signs labeled 'Vote' and \"Now\", a plaque reading 'Library', a woman reading a book with well-under signs, ", " under a banner titled Peace; the end ,")
+
+
+@query(f"SELECT doc_id, {_scene_sql(f'{literal(_SCENE[0])} || text || {literal(_SCENE[1])}')} AS scene FROM documents")
 def clean_scene(spark, sf_dir):
-    scene = F.concat(F.lit("A figure holding signs labeled 'Vote' and \"Now\", a plaque reading 'Library', a woman reading a book, "), "text", F.lit(" under a banner titled Peace; the end ,"))
+    scene = F.concat(F.lit(_SCENE[0]), "text", F.lit(_SCENE[1]))
     return table(spark, sf_dir, "documents").select("doc_id", t.clean_scene(scene).alias("scene"))
