@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.plans import control, jobs, more, registry, texts, titles  # noqa: F401  importing registers
+from pagemill.plans import control, jobs, live, more, registry, texts, titles  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, registry.Query]:

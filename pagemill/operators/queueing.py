@@ -3,51 +3,26 @@
 from __future__ import annotations
 
 import zoneinfo
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import rules
-
-
-#: Seconds of a span within which something runs in one task; a queue with many jobs has many spans.
-SPAN = 86_400
-
-
-def running(rows: DataFrame, by: list[str], order: list[str], total: Callable[[Column], Column], value: Column, name: str, inclusive: bool = True) -> DataFrame:
-    """rows with the running sum or maximum (`total` is F.sum or F.max) of a value, in order within `by`.
-
-    Both are associative, so a hot key isn't one task: they run within spans of the first of `order` (a number), and over
-    the spans' totals, which are few.
-    """
-    span = F.floor(F.col(order[0]) / SPAN)
-    cut = rows.withColumn("_span", span).withColumn("_value", value)
-    end = Window.currentRow if inclusive else -1
-    inner = total(F.col("_value")).over(Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, end))
-    spans = cut.groupBy(*by, "_span").agg(total(F.col("_value")).alias("_total"))
-    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(*by, "_span", total(F.col("_total")).over(before).alias("_before"))
-    # totals and rows meet by key and span; null keys are one queue too
-    met = cut.withColumn("_inner", inner).alias("r").join(spans.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "_span"]])
-    own = F.col("_inner"), F.col("s._before")
-    both = F.coalesce(own[0] + own[1], *own) if total is F.sum else F.greatest(*own)
-    return met.select(*[F.col(f"r.{c}") for c in rows.columns], both.alias(name))
-
+from pagemill.operators import scans
+from pagemill.operators.scans import running
+from pagemill.storage import stored
 
 def replayed(jobs: DataFrame, queue: list[str], arrival: str, service: str, order: list[str], prefix: str = "") -> DataFrame:
     """jobs with start, finish and wait in one-worker FIFO queues, by windows alone.
 
-    With S the running sum of service, a job ends at S_n + max over k <= n of (arrival_k - S_(k-1)). The first of `order`
-    has to be a number of seconds: both run within spans of `SPAN` of it, and over the totals of the spans.
+    With S the running sum of service, a job ends at S_n + max over k <= n of (arrival_k - S_(k-1)); both run in spans.
     """
-    rows = running(jobs, queue, order, F.sum, F.col(service), "_done")
+    rows = running(scans.spanned(jobs, queue, order), queue, order, F.sum, F.col(service), "_done")
     rows = rows.withColumn("_slack", F.col(arrival) - (F.col("_done") - F.col(service)))
     rows = running(rows, queue, order, F.max, F.col("_slack"), "_most")
     finish = F.col("_done") + F.col("_most")
-    return rows.withColumn(f"{prefix}finish", finish).withColumn(f"{prefix}start", F.col(f"{prefix}finish") - F.col(service)).withColumn(f"{prefix}wait", F.col(f"{prefix}start") - F.col(arrival)).drop("_done", "_slack", "_most")
+    return rows.withColumn(f"{prefix}finish", finish).withColumn(f"{prefix}start", F.col(f"{prefix}finish") - F.col(service)).withColumn(f"{prefix}wait", F.col(f"{prefix}start") - F.col(arrival)).drop("_done", "_slack", "_most", "_span")
 
 
 def ahead(jobs: DataFrame, queue: list[str], arrival: str, finish: str, service: str, order: list[str]) -> DataFrame:
@@ -84,7 +59,7 @@ def estimated(kind: Column, text_chars: Column, ocr_pages: Column, budget: int,
 
 
 def folded(state: tuple[float, float, int], ratio: float) -> tuple[float, float, int]:
-    """One observation: the mean moves fast at first, then with a fixed share; spread follows once there is a mean."""
+    """The plain form of what `calibrated` does, one observation: the mean moves fast at first, then with a fixed share; spread follows once there is a mean."""
     mean, spread, n = state
     share, off = max(rules.ALPHA, 1 / (n + 1)), ratio - mean
     return mean + share * off, spread + share * (abs(off) - spread) if n else spread, n + 1
@@ -100,28 +75,44 @@ def clamped(log_factor: Column) -> Column:
     return F.greatest(F.lit(rules.FACTOR_MIN), F.least(F.lit(rules.FACTOR_MAX), F.exp(log_factor)))
 
 
-def calibrated(observations: DataFrame, order: list[str]) -> DataFrame:
+def calibrated(observations: DataFrame, order: list[str], state: DataFrame | None = None) -> DataFrame:
     """stage, log_factor, spread, n, factor and upper after all observations, in order. observations: stage, predicted, actual.
 
-    The state is a fold over all of a stage's observations in order, which no partial aggregate can split: each stage's
-    ratios, sorted, stream through one task, which holds three numbers and spills what it sorts.
+    state: stage, log_factor, spread, n learnt before, one row a stage; those that nothing new is known of stay.
+
+    An observation maps the mean by m -> (1 - a) m + a r and, the means known, the spread by s -> (1 - a) s + a |r - m|.
+    Such maps compose (`scans`), so blocks of observations are made into maps apart: once for the means, once more for the spreads.
     """
+    spark = observations.sparkSession
     rows = observations.where(F.col("stage").isin(rules.STAGES)).withColumn("r", log_ratio(F.col("predicted"), F.col("actual"))).where("r is not null")
+    before = (state if state is not None else spark.createDataFrame([], "stage string, log_factor double, spread double, n long")).select("stage", "log_factor", "spread", F.col("n").alias("n0"))
+    blocks = scans.blocks(rows.select("stage", *order, "r"), "stage", [*order, "r"], "r").join(F.broadcast(before.select("stage", "n0")), "stage", "left")  # a row for each stage
+    seen = lambda o: F.coalesce("n0", F.lit(0)) + o["n"]
+    share = lambda o: F.greatest(F.lit(rules.ALPHA), 1 / (seen(o) + 1).cast("double"))
+    start = lambda column: before.select("stage", F.col(column).alias("x"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stage, state = None, (0.0, 0.0, 0)
-        for b in batches:
-            for s, r in zip(b["stage"], b["r"], strict=True):
-                if s != stage:
-                    if stage is not None:
-                        yield pd.DataFrame([(stage, *state)], columns=["stage", "log_factor", "spread", "n"])
-                    stage, state = s, (0.0, 0.0, 0)
-                state = folded(state, r)
-        if stage is not None:
-            yield pd.DataFrame([(stage, *state)], columns=["stage", "log_factor", "spread", "n"])
+    def step(m: Column, o: Column) -> Column:
+        return F.struct((m["a"] * (1 - share(o))).alias("a"), (m["b"] * (1 - share(o)) + share(o) * o["value"]).alias("b"))
 
-    ordered = rows.repartition("stage").sortWithinPartitions("stage", *order, "r").select("stage", "r")
-    return learned(ordered.mapInPandas(fold, "stage string, log_factor double, spread double, n long"))
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    means = blocks.select("stage", "block", F.aggregate("items", one, step).alias("m")).select("stage", "block", "m.*")
+    mean_at, mean = scans.stops(means, "stage", "block", start("log_factor"))
+
+    def spread_step(m: Column, o: Column) -> Column:
+        off, first = o["value"] - m["mean"], seen(o) == 0
+        a, b = m["a"] * (1 - share(o)), m["b"] * (1 - share(o)) + share(o) * F.abs(off)
+        return F.struct((m["mean"] + share(o) * off).alias("mean"), F.when(first, m["a"]).otherwise(a).alias("a"), F.when(first, m["b"]).otherwise(b).alias("b"))
+
+    known = blocks.join(mean_at.withColumnRenamed("x", "mean"), ["stage", "block"])
+    begin = F.struct("mean", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    spreads = known.select("stage", "block", F.aggregate("items", begin, spread_step).alias("m")).select("stage", "block", "m.a", "m.b")
+    _, spread = scans.stops(spreads, "stage", "block", start("spread"))
+
+    counts = blocks.groupBy("stage").agg(F.sum(F.size("items")).alias("new"))
+    new = counts.join(mean.withColumnRenamed("x", "log_factor"), "stage").join(spread.withColumnRenamed("x", "spread"), "stage").join(before.select("stage", "n0"), "stage", "left")
+    new = new.select("stage", "log_factor", "spread", (F.coalesce("n0", F.lit(0)) + F.col("new")).cast("long").alias("n"))
+    old = before.join(new, "stage", "left_anti").select("stage", "log_factor", "spread", F.col("n0").alias("n"))
+    return learned(stored(new.unionByName(old), "learned"))
 
 
 def learned(state: DataFrame) -> DataFrame:
@@ -227,3 +218,33 @@ def retried(attempts: DataFrame, most: int = 3) -> DataFrame:
     """
     e = F.col("error")
     return attempts.withColumn("outcome", F.when(e.isNull(), "done").when((e == "transient") & (F.col("attempt") + 1 < most), "requeued").when(e == "transient", "gave up").when(e == "input", "rejected").otherwise("crashed"))
+
+
+def replayed_with_retries(jobs: DataFrame, queue: str, most: int = 3) -> DataFrame:
+    """job, queue, attempt (from 0), arrival, start, finish and outcome of every attempt in one-worker FIFO queues where a job that fails goes to the back.
+
+    jobs: job, queue, arrival, service (whole numbers of one unit, so that all sums are exact) and failures, how many of its
+    attempts fail for a passing reason. An attempt that fails while another is left arrives anew at its own finish, which moves all that
+    is served after it: when it arrives is known only from a replay that it is part of. So the queues are replayed again and again, each time
+    with the arrivals that the last replay gave, until they are those it was made with. Of equal arrivals first attempts go
+    first, then those of the smaller job.
+
+    A round settles at least all attempts up to the first whose arrival was wrong; as an arrival hangs only on attempts
+    that were finished before it, there are about as many rounds as a busy time holds waits.
+    """
+    c = F.col
+    tries = jobs.select("job", c(queue).alias("queue"), c("arrival").cast("long").alias("first"), c("service").cast("long").alias("service"), "failures")
+    tries = tries.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.least(c("failures"), F.lit(most - 1)).cast("int"))))
+    tries = stored(tries, "tries")
+    arrivals = stored(tries.where("attempt = 0").select("job", "attempt", c("first").alias("arrival")), "arrivals")
+    while True:
+        rows = tries.join(arrivals, ["job", "attempt"])
+        done = stored(replayed(rows, ["queue"], "arrival", "service", ["arrival", "attempt", "job"]), "replayed")
+        again = done.where((c("attempt") < c("failures")) & (c("attempt") + 1 < most)).select("job", (c("attempt") + 1).alias("attempt"), c("finish").alias("arrival"))
+        new = stored(again.unionByName(tries.where("attempt = 0").select("job", "attempt", c("first").alias("arrival"))), "arrivals")
+        moved = new.join(arrivals.withColumnRenamed("arrival", "was"), ["job", "attempt"], "left").where("was is null or was <> arrival")
+        if moved.isEmpty():
+            break
+        arrivals = new
+    outcome = F.when(c("attempt") >= c("failures"), "done").when(c("attempt") + 1 < most, "requeued").otherwise("gave up")
+    return done.select("job", c("queue").alias(queue), "attempt", "arrival", "start", "finish", outcome.alias("outcome"))

@@ -98,13 +98,21 @@ def calibration_replay(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("log_factor", "spread", "factor", "upper")})
 
 
+def halves(events):
+    """The events before and after the middle of their time."""
+    middle = events.agg(F.timestamp_micros(((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2).cast("long")).cast("timestamp_ntz").alias("m")).first()["m"]
+    return events.where(F.col("ts") < F.lit(middle)), events.where(F.col("ts") >= F.lit(middle))
+
+
 @query("SELECT stage, log_factor, spread, n FROM (" + _CALIBRATED.replace("round(m, 6)", "round(m, 6)") + ")")
 def stream_calibration(spark, sf_dir):
-    """The same fold as streaming state, one trigger over what is there."""
-    rows = spark.readStream.schema(streams.EVENTS).parquet(f"{sf_dir}/events.parquet*")
-    found = streams.finished(streams.calibration_stream(_observations(rows).where(F.col("stage").isin(rules.STAGES))), "update")
-    best = found.groupBy("stage").agg(F.max_by(F.struct("log_factor", "spread", "n"), "n").alias("s")).select("stage", "s.*")
-    return best.withColumns({c: F.round(c, 6) for c in ("log_factor", "spread")})
+    """The same fold carried from trigger to trigger, with a restart between the events' first half and their second."""
+    folder = own_folder(spark)
+    for half in halves(table(spark, sf_dir, "events")):
+        half.write.mode("append").parquet(f"{folder}/events")
+        rows = spark.readStream.schema(streams.EVENTS).parquet(f"{folder}/events")
+        streams.calibrating(_observations(rows).where(F.col("stage").isin(rules.STAGES)), folder).awaitTermination()
+    return streams.learnt(spark, folder).withColumns({c: F.round(c, 6) for c in ("log_factor", "spread")})
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

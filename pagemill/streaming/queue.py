@@ -6,18 +6,16 @@ Every job here runs with the available-now trigger too, which makes a stream's r
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.functions import rules
-from pagemill.operators.queueing import folded
+from pagemill.operators.queueing import calibrated, folded
 from pagemill.storage import own_folder
 
+LEARNT = "stage string, log_factor double, spread double, n long"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -46,20 +44,25 @@ def observe(state: tuple[float, float, int], predicted: float, actual: float) ->
     return folded(state, min(rules.MOST_LOG_RATIO, max(-rules.MOST_LOG_RATIO, math.log(actual / predicted))))
 
 
-def _calibrate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = tuple(state.get) if state.exists else (0.0, 0.0, 0)
-    # a trigger's observations of a stage: two numbers and an order each, sorted as arrays
-    parts = [[b[c].to_numpy() for c in ("ts", "event_id", "predicted", "actual")] for b in batches]
-    ts, ids, predicted, actual = (np.concatenate(x) for x in zip(*parts, strict=True))
-    for i in np.lexsort((ids, ts)).tolist():
-        now = observe(now, predicted[i], actual[i])
-    state.update(now)
-    yield pd.DataFrame({"stage": [key[0]], "log_factor": [now[0]], "spread": [now[1]], "n": [now[2]]})
+def calibrating(observations: DataFrame, folder: str):
+    """The started query that keeps what stages have learnt in `folder`/state, a row a stage and trigger; a restart goes on from the last.
 
+    observations: stage, ts, event_id, predicted, actual. Each trigger's observations are folded onto the state that the
+    trigger before it left, as maps of blocks (`queueing.calibrated`); a trigger that is repeated writes the same again.
+    """
+    spark = observations.sparkSession
 
-def calibration_stream(observations: DataFrame) -> DataFrame:
-    """stage, log_factor, spread, n after each trigger. observations: stage, ts, event_id, predicted, actual."""
-    return observations.groupBy("stage").applyInPandasWithState(_calibrate, "stage string, log_factor double, spread double, n long", "log_factor double, spread double, n long", "update", GroupStateTimeout.NoTimeout)
+    def learn(batch: DataFrame, number: int) -> None:
+        state = spark.read.schema(f"{LEARNT}, trigger long").parquet(f"{folder}/state").where(F.col("trigger") == number - 1) if number else None
+        calibrated(batch, ["ts", "event_id"], state).select(*[c.split()[0] for c in LEARNT.split(", ")]).write.mode("overwrite").parquet(f"{folder}/state/trigger={number}")
+
+    return observations.writeStream.foreachBatch(learn).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def learnt(spark: SparkSession, folder: str) -> DataFrame:
+    """stage, log_factor, spread and n after the last trigger."""
+    rows = spark.read.schema(f"{LEARNT}, trigger long").parquet(f"{folder}/state")
+    return rows.groupBy("stage").agg(F.max_by(F.struct("log_factor", "spread", "n"), "trigger").alias("s")).select("stage", "s.*")
 
 
 def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,10 +70,24 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """The stream run over what is there now, with a checkpoint, as a stored table: all rows (append), those of the last trigger (complete), or every change (update)."""
+def matched(predictions: DataFrame, actuals: DataFrame, within: str) -> DataFrame:
+    """predictions with what came of them: job, stage, predicted, at, actual and done; the last two null where a job wasn't done in time.
+
+    predictions: job, stage, predicted, at. actuals: job, actual, done. Both have watermarks on their times, and a job is done
+    `within` an interval of its prediction, so state on both sides is dropped behind the watermark; that is when a job that was never done is told.
+    """
+    p, a = predictions.alias("p"), actuals.withColumnRenamed("job", "done_job").alias("a")
+    same = F.expr(f"p.job = a.done_job AND a.done >= p.at AND a.done <= p.at + INTERVAL {within}")
+    return p.join(a, same, "leftOuter").select("job", "stage", "predicted", "at", "actual", "done")
+
+
+def finished(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """The stream run over what is there now, with a checkpoint, as a stored table: all rows (append), those of the last trigger (complete), or every change (update).
+
+    With a folder that an earlier run had, the stream goes on from where that one was.
+    """
     spark = stream.sparkSession
-    folder = own_folder(spark)
+    folder = folder or own_folder(spark)
 
     def put(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/rows/trigger={0 if mode == 'complete' else number}")

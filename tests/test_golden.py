@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill import engine
 from pagemill.functions import folds, rules, rx, variants
 from pagemill.functions import text as t
-from pagemill.operators import chat, covers, lines, queueing, shelf, summaries
+from pagemill.operators import chat, covers, lines, queueing, scans, shelf, summaries
 from pagemill.sources import records, web
 
 
@@ -202,7 +202,7 @@ def test_running_totals_over_spans_and_null_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id int, q string, at double, v double")
     for total, fold in ((F.sum, lambda a, b: a + b), (F.max, max)):
         for inclusive in (True, False):
-            got = {r.id: r.out for r in queueing.running(df, ["q"], ["at", "id"], total, F.col("v"), "out", inclusive).collect()}
+            got = {r.id: r.out for r in scans.running(df, ["q"], ["at", "id"], total, F.col("v"), "out", inclusive).collect()}
             last = {}
             for i, q, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
                 now = v if q not in last else fold(last[q], v)
