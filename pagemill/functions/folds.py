@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -223,29 +224,59 @@ def repair_glyphs(text: str | None, lexicon: frozenset[str]) -> str:
     return _GLYPH_RUN.sub("", text)
 
 
+#: Moduli and bases of two hashes of windows, primes under 2^31 so that products fit 64 bits.
+_WINDOW_HASHES = ((2_147_483_647, 1_000_003), (2_147_483_629, 69_069))
+
+
+def next_windows(text: str, n: int) -> np.ndarray:
+    """For each window of n signs of a text, where the next one with its hash begins; -1 where there is none.
+
+    The hash of a window is made of those of its halves, so all of them take a few passes over the text, and one sort finds the equal ones.
+    """
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = len(signs) - n + 1
+    if size < 1:
+        return np.zeros(0, np.int64)
+    keys = np.zeros(size, np.uint64)
+    for modulus, base in _WINDOW_HASHES:
+        p, width, power, half, whole, done = np.uint64(modulus), 1, base, signs % modulus, None, 0
+        while width <= n:
+            if n & width:  # this width is part of n: it stands behind what is there
+                part = half[done : done + size]
+                whole = part if whole is None else (whole * np.uint64(power) + part) % p
+                done += width
+            half = (half[:-width] * np.uint64(power) + half[width:]) % p if len(half) > width else half[:0]
+            power, width = power * power % modulus, 2 * width
+        keys = (keys << np.uint64(32)) | whole
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(size, -1, np.int64)
+    out[order[:-1][same]] = order[1:][same]
+    return out
+
+
 def collapse_repetition(text: str | None) -> tuple[str, bool]:
     """Cut where the transcription starts over: a window from a line's start that comes again later."""
     text, n = text or "", rules.REPEAT_WINDOW
     lines = text.split("\n")
     flat = [" ".join(x.split()) for x in lines]
     full = [i for i, x in enumerate(flat) if x]
-    begins, at = {}, 0
-    for i in full:
-        begins[i] = at
-        at += len(flat[i]) + 1
     joined = " ".join(flat[i] for i in full)
     if len(joined) < 2 * n:
         return text, False
-    for i in full:
-        probe = joined[begins[i] : begins[i] + n]
-        if len(probe) < n:
-            break
-        again = joined.find(probe, begins[i] + 1)
-        place = max((k for k in full if begins[k] <= again and (k > i or begins[k] == again)), default=None) if again >= 0 else None
-        if place is None:
+    begins = np.cumsum([0, *(len(flat[i]) + 1 for i in full[:-1])])
+    after = next_windows(joined, n)
+    for k in np.flatnonzero(after[begins[begins < len(after)]] >= 0).tolist():
+        at = int(begins[k])
+        again = int(after[at])
+        while again >= 0 and joined[again : again + n] != joined[at : at + n]:  # equal by hash only
+            again = int(after[again])
+        place = int(np.searchsorted(begins, again, "right")) - 1
+        if again < 0 or place == k:
             continue
-        header = place > 0 and 0 < len(flat[place - 1]) <= rules.HEADER_CHARS
-        return "\n".join(lines[: place - header]).rstrip(), True
+        line = full[place]
+        header = line > 0 and 0 < len(flat[line - 1]) <= rules.HEADER_CHARS
+        return "\n".join(lines[: line - header]).rstrip(), True
     return text, False
 
 

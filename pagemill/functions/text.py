@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules
-from pagemill.functions.rx import apply, apply_gated, apply_probed, holds, let, spark_pattern, strip
+from pagemill.functions.rx import SPACES, apply, apply_gated, apply_probed, holds, let, spark_pattern, strip
 
 Text = Column
 
@@ -221,6 +221,16 @@ def fit_to_context(text: Column, budget: int) -> tuple[Column, Column]:
     return F.substring(text, 1, budget), F.greatest(F.lit(0), F.length(text) - budget)
 
 
+def cut_at_paragraph(text: Column, most: int) -> Column:
+    """The head of a text, cut at its last blank line unless that loses over half."""
+
+    def cut(head: Column) -> Column:
+        seam = F.length(head) - F.length(F.substring_index(head, "\n\n", -1)) - 2
+        return F.rtrim(F.when(seam > most // 2, F.substring(head, F.lit(1), seam)).otherwise(head), F.lit(SPACES))
+
+    return F.when(F.length(text) <= most, text).otherwise(let(F.substring(text, 1, most), cut))
+
+
 def voice_group(voice: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in rules.LANGUAGES.items() for x in pair])
     genders = F.create_map(*[F.lit(x) for pair in rules.GENDERS.items() for x in pair])

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions import rules, text as t
 from pagemill.functions.folds import candidate_words, repair_glyphs_column
-from pagemill.functions.rx import let, strip
+from pagemill.functions.rx import let, spark_pattern, strip
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -53,6 +53,29 @@ def without_running_headers(text: Column) -> Column:
     return let(text, lambda x: let(split(x), lambda lines: of_lines(x, lines)))
 
 
+def label_runs(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, first and lines of the runs of neighbouring short lines that end no sentence: listings and labels of figures. rows: key, line_no, line.
+
+    A blank line ends a run; three lines make one (`rules.SHORT_LINE_RUN`).
+    """
+    own = strip(F.col("line"))
+    labels = rows.where((F.length(own) >= 1) & (F.length(own) <= rules.SHORT_LINE_CHARS) & ~F.substring(own, -1, 1).isin(*rules.TERMINAL))
+    islands = labels.withColumn("island", F.col("line_no") - F.row_number().over(Window.partitionBy(key).orderBy("line_no")))
+    return islands.groupBy(key, "island").agg(F.min("line_no").alias("first"), F.count("*").alias("lines")).where(F.col("lines") >= rules.SHORT_LINE_RUN).drop("island")
+
+
+def section_starts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows (key, line_no, line) with starts: whether a section of a text layer begins with the line.
+
+    A heading does where the line before is blank; a numbered one also where that ends a sentence.
+    """
+    before = F.coalesce(strip(F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))), F.lit(""))
+    numbered = strip(F.col("line")).rlike(spark_pattern(rules.NUMBERED_HEADING, "i"))
+    ended = before.rlike(r"(?:[.!?]|\.[\"\u201d])$")
+    marked = rows.withColumn("_before", before).withColumn("_ended", ended)
+    return marked.withColumn("starts", t.looks_like_heading(F.col("line")) & ((F.col("_before") == "") | (F.col("_ended") & numbered))).drop("_before", "_ended")
+
+
 def prepared(text: Column, words: Column | None = None) -> Column:
     """Document level: missing glyphs, running headers, furniture, end matter.
 

@@ -65,6 +65,12 @@ def folded(state: tuple[float, float, int], ratio: float) -> tuple[float, float,
     return mean + share * off, spread + share * (abs(off) - spread) if n else spread, n + 1
 
 
+def teaches(stage: Column, predicted: Column, attempt: Column, ocr_pages: Column, skipped: Column) -> Column:
+    """Whether a completion may teach its stage: first attempts only; OCR where pages were read by it and none was skipped; where a time was predicted at all."""
+    first = (attempt == 0) & (predicted > 0)
+    return F.coalesce(F.when(stage == "ocr", first & (ocr_pages > 0) & ~skipped).when(stage == "audio", predicted > 0).when(stage.isin(rules.STAGES), first), F.lit(False))
+
+
 def log_ratio(predicted: Column, actual: Column) -> Column:
     """The clamped log of actual over predicted; null where the observation teaches nothing."""
     r = F.ln(F.when((predicted > 0) & (actual > 0), actual / predicted))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.functions import rules
 from pagemill.functions.text import voice_group
+from pagemill.operators.scans import numbered
 
 SAMPLES_TITLE = "voice samples"
 
@@ -64,6 +66,15 @@ def chapter_offsets(chapters: DataFrame, key: str) -> DataFrame:
     return chapters.withColumn("start_ms", start).withColumn("end_ms", start + ms)
 
 
+def outline(chapters: DataFrame, key: str, source: Column) -> DataFrame:
+    """key and outline, what is known of an item without a summary: its source, and its chapters' titles but the generic ones. chapters: key, chapter_no, title."""
+    own = F.when(~F.lower(F.trim("title")).isin(rules.GENERIC_CHAPTERS), F.struct("chapter_no", "title"))
+    lines = F.transform(F.array_sort(F.collect_list(own)), lambda x: F.concat(F.lit("- "), x["title"]))
+    found = chapters.groupBy(key).agg(lines.alias("lines"))
+    body = F.when(F.size("lines") > 0, F.concat(F.lit("\n\nChapters:\n"), F.array_join("lines", "\n"))).otherwise("")
+    return found.select(key, F.concat(F.lit("Source: "), source, body).alias("outline"))
+
+
 def metadata_title(title: Column) -> Column:
     """A title that can't break a line-based metadata file."""
     return F.replace(F.replace(title, F.lit("\n"), F.lit(" ")), F.lit("="), F.lit("-"))
@@ -83,9 +94,18 @@ def wav_seconds(data: Column, rate: int = 24_000, frame_bytes: int = 2) -> Colum
 
 
 def grouped_voices(voices: DataFrame) -> DataFrame:
-    """group_rank, group, voices: by language and gender, English first; newer voices before older ones of a group."""
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("American English", "British English", "Spanish", "French", "Hindi", "Italian", "Japanese", "Portuguese", "Chinese")]), F.substring_index("group", ",", 1)), F.lit(0))
-    rows = voices.select("voice", voice_group(F.col("voice")).alias("group"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("voice").contains("_v0").alias("old"), "voice"))), lambda x: x["voice"])
-    found = rows.groupBy("group").agg(ordered.alias("voices"))
-    return found.select(F.when(rank == 0, 10).otherwise(rank).alias("group_rank"), "group", "voices")
+    """group_rank, group, place (from 0) and voice: by language and gender, English first; newer voices before older ones of a group."""
+    names = list(rules.LANGUAGES.values())
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.substring_index("group", ",", 1)), F.lit(0))
+    rows = voices.select("voice", voice_group(F.col("voice")).alias("group"), F.col("voice").contains("_v0").cast("int").alias("old"))
+    return numbered(rows, ["group"], ["old", "voice"], "place").select(F.when(rank == 0, len(names) + 1).otherwise(rank).alias("group_rank"), "group", "place", "voice")
+
+
+def kept_voices(voices: DataFrame) -> DataFrame:
+    """The voices of the languages that are offered."""
+    return voices.where(F.substring("voice", 1, 3).isin(rules.KEPT_VOICES))
+
+
+def near_voices(voices: DataFrame, wanted: str, most: int = 3) -> DataFrame:
+    """The first voices, by name, that hold what was asked for in any case."""
+    return voices.where(F.lower("voice").contains(wanted.lower())).orderBy("voice").limit(most)

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.folds import chunks_column
+from pagemill.functions.rx import strip
 from pagemill.storage import stored
 
 MOST_ROUNDS = 3
@@ -36,6 +37,12 @@ class Extractive:
         return {"title": first[0][:60], "tldr": first[0], "summary": " ".join(first[:3]), "tags": words[:3]}
 
 
+def titled(title: Column, own: Column, source: Column) -> Column:
+    """The model's title, else the document's own, else where it came from."""
+    some = lambda c: F.nullif(strip(c), F.lit(""))
+    return F.coalesce(some(title), some(own), some(source))
+
+
 def _asked(rows: DataFrame, schema: str, ask: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -34,6 +34,16 @@ def repeated_sentences(rows: DataFrame, key: str, least: int = MIN_WORDS) -> Dat
     return rows.join(counts, [key, "k"], "left").withColumn("times", F.coalesce("times", F.lit(1)))
 
 
+def repeat_places(rows: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """key, k, times and places (n of the first `most`, in order) of each repeated sentence. rows: of `repeated_sentences`.
+
+    Tasks pass on `most` rows of a sentence each (a rank limit works before the shuffle too), so one that is spoken everywhere isn't gathered.
+    """
+    rank = F.row_number().over(Window.partitionBy(key, "k").orderBy("n"))
+    shown = rows.where("times > 1").select(key, "k", "n", "times", rank.alias("rank")).where(F.col("rank") <= most)
+    return shown.groupBy(key, "k").agg(F.max("times").alias("times"), F.sort_array(F.collect_list("n")).alias("places"))
+
+
 def repeat_runs(rows: DataFrame, key: str) -> DataFrame:
     """key, first, sentences: runs of two or more neighbouring repeated sentences, as islands."""
     marked = rows.where("times > 1").withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy(key).orderBy("n")))

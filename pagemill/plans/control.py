@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules, text as t, variants
-from pagemill.functions.rx import quoted
+from pagemill.functions.rx import quoted, sql_apply, sql_pattern, sql_strip
 from pagemill.operators import chat, covers, documents as d, lines, queueing as q
-from pagemill.plans.jobs import _CALIBRATED, _JOBS, _jobs, _observations, _replay_sql
+from pagemill.plans.jobs import _CALIBRATED, _JOBS, _VOICES_SQL, _jobs, _observations, _replay_sql, _voices
 from pagemill.plans.registry import query, table
-from pagemill.plans.texts import _MARKED_SQL, _clean_sql, _marked
+from pagemill.plans.texts import _KEY_SQL, _MARKED_SQL, _clean_sql, _marked
 from pagemill.sources import records
 from pagemill.storage import own_folder
 from pagemill.streaming import queue as streams
@@ -67,9 +67,12 @@ v AS (SELECT *, CASE command WHEN 'voice' THEN 'tts_voice' WHEN 'format' THEN 'n
     WHEN 'cover' THEN CASE WHEN lower(wanted) IN ({', '.join(map(quoted, rules.COVER_CHOICES))}) THEN lower(wanted) END ELSE CASE lower(wanted) WHEN 'on' THEN 'true' WHEN 'off' THEN 'false' WHEN '' THEN CASE WHEN current THEN 'false' ELSE 'true' END END END AS value FROM w)"""
 
 
-@query(f"{_COMMANDS_SQL} SELECT ts, \"user\", key, value FROM v")
+@query(f"""{_COMMANDS_SQL},
+n AS (SELECT *, array_to_string(list_filter(['af_bella', 'af_sky', 'am_adam', 'bf_emma'], lambda x: contains(x, lower(wanted)))[1:3], ', ') AS near FROM v)
+SELECT ts, "user", key, value, CASE WHEN value IS NOT NULL THEN key || ' is ' || value || CASE WHEN "user" IS NULL THEN ' for everyone by default' ELSE ' for you' END WHEN command <> 'tts' AND wanted = '' THEN key || ' is ' || current
+  WHEN command = 'voice' THEN 'unknown voice' || CASE WHEN near <> '' THEN ', near ' || near ELSE '' END WHEN command = 'tts' THEN 'on, off, or nothing to flip' ELSE 'one of the choices, please' END AS reply FROM n""")
 def chat_commands(spark, sf_dir):
-    return chat.commands(_commands(spark, sf_dir), F.array(*map(F.lit, _COMMAND_VOICES))).drop("reply")
+    return chat.commands(_commands(spark, sf_dir), F.array(*map(F.lit, _COMMAND_VOICES)))
 
 
 @query(f"""{_COMMANDS_SQL},
@@ -149,14 +152,6 @@ def stream_stages(spark, sf_dir):
     return spark.read.parquet(done).select("event_id", "user_id", "weight")
 
 
-@query("SELECT event_id, event_type FROM events")
-def stream_dedupe(spark, sf_dir):
-    """Events that come twice within the watermark count once."""
-    rows = streams.event_stream(spark, f"{sf_dir}/events.parquet*", "400 days")
-    twice = rows.select("event_id", "event_type", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    return streams.finished(streams.deduplicated(twice, ["event_id"]).select("event_id", "event_type"), "append")
-
-
 # --- covers, items, skipped pages ----------------------------------------------------------------
 
 _STYLE_LIST = ", ".join(map(quoted, rules.COVER_STYLES))
@@ -197,7 +192,18 @@ def skip_reasons(spark, sf_dir):
 # --- texts ---------------------------------------------------------------------------------------
 
 
-@query()
+_FOUND = " UNION ALL ".join(
+    f"SELECT page_id, {quoted(name)} AS pattern, length(regexp_extract_all(bare, {quoted(sql_pattern(p, f))}))::BIGINT AS hits, length(string_split_regex(bare, {quoted(sql_pattern(p, f))})[1]) + 1 AS place, bare FROM b WHERE regexp_matches(bare, {quoted(sql_pattern(p, f))})"
+    for name, p, f in rules.LINT
+)
+
+
+@query(f"""
+WITH b AS (SELECT page_id, {sql_apply('html', [rules.AUTHOR_BRACKET])} AS bare FROM pages),
+p AS (SELECT page_id, paragraph, place, {_KEY_SQL} AS k FROM (SELECT page_id, unnest(string_split(html, chr(10) || chr(10))) AS paragraph, generate_subscripts(string_split(html, chr(10) || chr(10)), 1) AS place FROM pages) WHERE length(paragraph) >= {rules.REPEATED_PARAGRAPH_CHARS}),
+r AS (SELECT page_id, k, arg_min(paragraph, place) AS paragraph, list_sort(list(place))[2] AS second FROM p GROUP BY page_id, k HAVING count(*) > 1)
+SELECT page_id, pattern, hits, {sql_strip("regexp_replace(substring(bare, greatest(1, place - 40), place + 40 - greatest(1, place - 40)), '\\s+', ' ', 'g')")} AS context FROM ({_FOUND})
+UNION ALL SELECT page_id, 'repeated paragraph', count(*), {sql_strip("regexp_replace(substring(arg_min(paragraph, second), 1, 80), '\\s+', ' ', 'g')")} FROM r GROUP BY page_id""")
 def lint_findings(spark, sf_dir):
     """What raw pages hold that a voice would read out, with what stands around the first of each."""
     return lines.findings(table(spark, sf_dir, "pages"), "page_id", "html")
@@ -219,6 +225,7 @@ def matched_windows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", variants.matched_window_column(text, F.element_at(F.split("text", "\n"), -1), 2000).alias("passage"))
 
 
-@query("SELECT voice, 'Hello, I''m ' || replace(voice, '_', ' ') || '. Does it work?' AS sample FROM (SELECT unnest(['af_bella', 'x']) AS voice)")
+@query(f"SELECT voice, 'Hello, I''m ' || replace(voice, '_', ' ') || '. Does it work?' AS sample FROM ({_VOICES_SQL})")
 def voice_samples(spark, sf_dir):
-    return spark.createDataFrame([("af_bella",), ("x",)], "voice string").select("voice", t.voice_sample(F.col("voice"), "Does it work?").alias("sample"))
+    """What each voice says of itself."""
+    return _voices(spark, sf_dir).select("voice", t.voice_sample(F.col("voice"), "Does it work?").alias("sample"))

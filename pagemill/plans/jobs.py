@@ -223,16 +223,23 @@ def collection_upsert(spark, sf_dir):
     return shelf.collection_actions(wanted, have)
 
 
-_VOICES = "af_bella af_sky am_adam bf_emma bm_george ef_dora ff_siwis jm_kumo zf_xiaoxiao af_v0bella am_v0 pf_dora hf_alpha if_sara odd x_y".split()
+_VOICES_SQL = "SELECT substring('abefhijpzxq', (p_partkey % 11 + 1)::INT, 1) || substring('fmo', (p_partkey % 3 + 1)::INT, 1) || CASE WHEN p_partkey % 13 = 0 THEN '' ELSE '_' END || CASE WHEN p_partkey % 7 = 0 THEN 'v0' ELSE '' END || replace(p_name, ' ', '_') || p_partkey AS voice FROM part"
+
+
+def _voices(spark, sf_dir):
+    """Parts as voices: a letter each of language and gender, some without the bar, some old."""
+    n = F.col("p_partkey")
+    letter = lambda letters, n: F.substring(F.lit(letters), n.cast("int") + 1, F.lit(1))
+    name = F.concat(letter("abefhijpzxq", n % 11), letter("fmo", n % 3), F.when(n % 13 == 0, "").otherwise("_"), F.when(n % 7 == 0, "v0").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), n.cast("string"))
+    return table(spark, sf_dir, "part").select(name.alias("voice"))
 
 
 @query(f"""
-WITH v AS (SELECT unnest([{', '.join(map(quoted, _VOICES))}]) AS voice), l AS (SELECT unnest([{', '.join(map(quoted, rules.LANGUAGES))}]) AS k, unnest([{', '.join(map(quoted, rules.LANGUAGES.values()))}]) AS name, generate_subscripts([{', '.join(map(quoted, rules.LANGUAGES))}], 1) AS rank),
-g AS (SELECT voice, CASE WHEN l.name IS NOT NULL AND voice[2] IN ('f', 'm') AND voice[3] = '_' THEN l.name || ', ' || CASE voice[2] WHEN 'f' THEN 'female' ELSE 'male' END ELSE 'other' END AS "group", CASE WHEN l.name IS NOT NULL AND voice[2] IN ('f', 'm') AND voice[3] = '_' THEN rank ELSE 10 END AS group_rank FROM v LEFT JOIN l ON voice[1] = l.k)
-SELECT group_rank::BIGINT AS group_rank, "group", string_agg(voice, ',' ORDER BY contains(voice, '_v0'), voice) AS voices FROM g GROUP BY ALL""")
+WITH v AS ({_VOICES_SQL}), l AS (SELECT unnest([{', '.join(map(quoted, rules.LANGUAGES))}]) AS k, unnest([{', '.join(map(quoted, rules.LANGUAGES.values()))}]) AS name, generate_subscripts([{', '.join(map(quoted, rules.LANGUAGES))}], 1) AS rank),
+g AS (SELECT voice, l.name IS NOT NULL AND voice[2] IN ('f', 'm') AND voice[3] = '_' AS known, CASE WHEN known THEN l.name || ', ' || CASE voice[2] WHEN 'f' THEN 'female' ELSE 'male' END ELSE 'other' END AS "group", CASE WHEN known THEN rank ELSE 10 END AS group_rank FROM v LEFT JOIN l ON voice[1] = l.k)
+SELECT group_rank::BIGINT AS group_rank, "group", row_number() OVER (PARTITION BY "group" ORDER BY contains(voice, '_v0'), voice) - 1 AS place, voice FROM g""")
 def voice_groups(spark, sf_dir):
-    found = shelf.grouped_voices(spark.createDataFrame([(v,) for v in _VOICES], "voice string"))
-    return found.select(F.col("group_rank").cast("long").alias("group_rank"), "group", F.array_join("voices", ",").alias("voices"))
+    return shelf.grouped_voices(_voices(spark, sf_dir)).withColumn("group_rank", F.col("group_rank").cast("long"))
 
 
 @query("""

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.functions import folds, rules
-from pagemill.functions.rx import quoted, strip, unspaced_length
-from pagemill.operators import shelf
-from pagemill.plans.jobs import _ITEMS, _VOICES, _items
+from pagemill import engine
+from pagemill.functions import folds, rules, text as t
+from pagemill.functions.rx import quoted, sql_strip, strip
+from pagemill.operators import covers, documents, queueing as q, scripts, shelf
+from pagemill.plans.jobs import _ITEMS, _STAGE, _VOICES_SQL, _items, _observations, _voices
 from pagemill.plans.registry import query, table
-from pagemill.plans.titles import _LINE_PAGES, _NONWS, _line_pages
+from pagemill.plans.texts import _clean_sql
+from pagemill.plans.titles import _LINE_PAGES, _NONWS, _line_pages, _scene_sql
 
 
 @query(f"SELECT doc_id, max({_NONWS.format(x='text')}) >= 20 AS has_text FROM ({_LINE_PAGES}) GROUP BY doc_id")
 def text_layer_probe(spark, sf_dir):
     """Whether any page of a document holds text."""
-    return _line_pages(spark, sf_dir).groupBy("doc_id").agg((F.max(unspaced_length(F.col("text"))) >= 20).alias("has_text"))
+    return engine.probe(_line_pages(spark, sf_dir), "doc_id", 20)
 
 
 @query(f"SELECT doc_id, coalesce(sum(length(text)) FILTER ({_NONWS.format(x='text')} >= {rules.MIN_PAGE_CHARS}), 0)::BIGINT AS chars, least(5, count(*) FILTER ({_NONWS.format(x='text')} < {rules.MIN_PAGE_CHARS})) AS ocr_pages FROM ({_LINE_PAGES}) GROUP BY doc_id")
 def page_size_scan(spark, sf_dir):
     """Characters of pages with enough text, and how many need OCR, capped."""
-    enough = unspaced_length(F.col("text")) >= rules.MIN_PAGE_CHARS
-    return _line_pages(spark, sf_dir).groupBy("doc_id").agg(F.coalesce(F.sum(F.when(enough, F.length("text"))), F.lit(0)).cast("long").alias("chars"), F.least(F.lit(5).cast("long"), F.count_if(~enough)).alias("ocr_pages"))
+    return documents.size_scan(_line_pages(spark, sf_dir), "doc_id")
 
 
 @query("SELECT source, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(channels, ','), lambda x: trim(x)), lambda x: x <> ''))), ',') AS channels FROM (SELECT source, ' ' || string_agg(DISTINCT lang, ' ,, ' ORDER BY lang) || ' ,en, ' AS channels FROM documents GROUP BY source)")
@@ -34,17 +35,15 @@ def drop_channels(spark, sf_dir):
     return rows.select("source", F.array_join(F.array_sort(F.array_distinct(parts)), ",").alias("channels"))
 
 
-@query(f"SELECT voice FROM (SELECT unnest([{', '.join(map(quoted, _VOICES))}]) AS voice) WHERE contains(lower(voice), lower('_S')) ORDER BY voice LIMIT 3")
+@query(f"SELECT voice FROM ({_VOICES_SQL}) WHERE contains(lower(voice), 'ring') ORDER BY voice LIMIT 3")
 def voice_matches(spark, sf_dir):
     """The first three voices that hold what was asked for."""
-    rows = spark.createDataFrame([(v,) for v in _VOICES], "voice string")
-    return rows.where(F.lower("voice").contains("_s")).orderBy("voice").limit(3)
+    return shelf.near_voices(_voices(spark, sf_dir), "Ring")
 
 
-@query(f"SELECT voice FROM (SELECT unnest([{', '.join(map(quoted, _VOICES))}]) AS voice) WHERE substring(voice, 1, 3) IN ('af_', 'am_', 'bf_', 'bm_')")
+@query(f"SELECT voice FROM ({_VOICES_SQL}) WHERE substring(voice, 1, 3) IN ('af_', 'am_', 'bf_', 'bm_')")
 def voices_kept(spark, sf_dir):
-    rows = spark.createDataFrame([(v,) for v in _VOICES], "voice string")
-    return rows.where(F.substring("voice", 1, 3).isin(rules.KEPT_VOICES)).orderBy("voice")
+    return shelf.kept_voices(_voices(spark, sf_dir))
 
 
 @query(f"SELECT CASE WHEN added_at > 2000 THEN 'skipped' ELSE 'todo' END AS status, count(*) AS items FROM ({_ITEMS}) GROUP BY 1")
@@ -72,14 +71,14 @@ def event_dedupe(spark, sf_dir):
     return rows.groupBy("user_id", "event_type", "day").agg(F.min("event_id").alias("event_id"))
 
 
-@query("""
-SELECT event_id, event_type FROM events WHERE CASE event_type WHEN 'view' THEN json_extract(props, '$.k')::DOUBLE > 0 AND event_id % 3 > 0 AND event_id % 5 <> 0 AND user_id % 4 <> 0 WHEN 'click' THEN event_id % 5 = 1 WHEN 'signup' THEN json_extract(props, '$.k')::DOUBLE > 0 AND value > 20 ELSE false END""")
+@query(f"""
+SELECT event_id, stage FROM (SELECT event_id, {_STAGE} AS stage, json_extract(props, '$.k')::DOUBLE AS k FROM events)
+WHERE CASE stage WHEN 'ocr' THEN k > 0 AND event_id % 4 = 0 AND event_id % 3 > 0 AND event_id % 5 <> 0 WHEN 'audio' THEN k > 0 WHEN 'other' THEN false ELSE k > 0 AND event_id % 4 = 0 END""")
 def learning_samples(spark, sf_dir):
-    """Which completions may teach the estimates: OCR only where pages were OCRed at the first attempt without skips; summaries at first attempts; audio with a time."""
-    e, k = F.col("event_type"), F.coalesce(F.try_element_at(F.from_json("props", "map<string,double>"), F.lit("k")), F.lit(0.0))
-    ocr = (e == "view") & (k > 0) & (F.col("event_id") % 3 > 0) & (F.col("event_id") % 5 != 0) & (F.col("user_id") % 4 != 0)
-    keep = ocr | ((e == "click") & (F.col("event_id") % 5 == 1)) | ((e == "signup") & (k > 0) & (F.col("value") > 20))
-    return table(spark, sf_dir, "events").where(keep).select("event_id", "event_type")
+    """Which completions may teach the estimates."""
+    c = F.col
+    rows = _observations(table(spark, sf_dir, "events"))
+    return rows.where(q.teaches(c("stage"), c("predicted"), c("event_id") % 4, c("event_id") % 3, c("event_id") % 5 == 0)).select("event_id", "stage")
 
 
 @query("""
@@ -88,20 +87,22 @@ SELECT conv_id, trim('Source: conversation ' || conv_id || chr(10) || chr(10) ||
 def outline_summary(spark, sf_dir):
     """What is known of an item without a summary: its source and its chapters' titles but the generic ones."""
     title = F.when(F.col("turn") == 0, "Summary").when(F.col("turn") == 1, " Introduction ").otherwise(F.concat(F.lit("Part "), F.col("turn").cast("string")))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", title.alias("title"))
-    named = F.transform(F.array_sort(F.collect_list(F.when(~F.lower(F.trim("title")).isin(rules.GENERIC_CHAPTERS), F.struct("turn", "title")))), lambda x: F.concat(F.lit("- "), x["title"]))
-    found = rows.groupBy("conv_id").agg(named.alias("parts"))
-    body = F.when(F.size("parts") > 0, F.concat(F.lit("\n\nChapters:\n"), F.array_join("parts", "\n"))).otherwise("")
-    return found.select("conv_id", F.concat(F.lit("Source: conversation "), F.col("conv_id").cast("string"), body).alias("outline"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chapter_no"), title.alias("title"))
+    return shelf.outline(rows, "conv_id", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")))
+
+
+_SCENES = "CASE WHEN p_partkey % 2 = 0 THEN 'A ' || p_type || ' gate holding signs labeled ''Keep Out''.' ELSE '' END"
 
 
-@query("SELECT p_partkey, regexp_replace(coalesce(nullif(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END, ''), nullif(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '' END, ''), 'an open book on a desk'), '[.]+$', '') || ', ink drawing' AS prompt FROM part")
+@query(f"""
+WITH s AS (SELECT p_partkey, {_scene_sql(_SCENES)} AS scene, CASE WHEN p_partkey % 3 = 0 THEN p_name || '..' ELSE ' ' END AS title, ['flat', 'woodcut'][p_partkey % 5 % 2 + 1] AS style FROM part)
+SELECT p_partkey, regexp_replace(coalesce(nullif(trim(scene), ''), nullif(trim(title), ''), 'an open book on a desk'), '[.]+$', '') || ', ' || CASE style WHEN 'flat' THEN {quoted(rules.COVER_STYLES['flat'])} ELSE {quoted(rules.COVER_STYLES['woodcut'])} END AS prompt FROM s""")
 def cover_prompt(spark, sf_dir):
-    """The scene, else the title, else a default, with the style last."""
-    some = lambda c: F.nullif(c, F.lit(""))
-    scene, title = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(""), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise("")
-    subject = F.coalesce(some(scene), some(title), F.lit("an open book on a desk"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.regexp_replace(subject, r"\.+$", ""), F.lit(", ink drawing")).alias("prompt"))
+    """The scene without lettering, else the title, else a default, with the style's words last."""
+    n = F.col("p_partkey")
+    scene = F.when(n % 2 == 0, F.concat(F.lit("A "), "p_type", F.lit(" gate holding signs labeled 'Keep Out'."))).otherwise("")
+    title = F.when(n % 3 == 0, F.concat("p_name", F.lit(".."))).otherwise(" ")
+    return table(spark, sf_dir, "part").select("p_partkey", covers.prompt(scene, title, F.when(n % 5 % 2 == 0, "flat").otherwise("woodcut")).alias("prompt"))
 
 
 @query("""
@@ -131,3 +132,62 @@ def line_context(spark, sf_dir):
 def script_totals(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return rows.groupBy("doc_id").agg(F.sum(F.length("line")).cast("long").alias("chars"), F.count("*").alias("parts"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+# --- chapters, sound, heads, provenance ----------------------------------------------------------
+
+_HEADING_TEXT = "'**' || split_part(text, chr(10), 1) || '** [link](http://x.y) .. and the rest of a long heading'"
+_CLEAN_HEADING = f"regexp_replace({_clean_sql(_HEADING_TEXT)}, '[.]+$', '')"
+_BARE_LABEL = f"regexp_replace({sql_strip(_CLEAN_HEADING)}, '^[™©®†‡*# ]+', '')"
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, {_BARE_LABEL} AS label FROM documents)
+SELECT doc_id, CASE WHEN length(label) <= {rules.CHAPTER_TITLE_CHARS} THEN label ELSE regexp_replace(substring(label, 1, {rules.CHAPTER_TITLE_CHARS}), ' [^ ]*$', '') || '...' END AS title FROM x""")
+def chapter_titles(spark, sf_dir):
+    """First lines as headings of chapters: cleaned, and cut at a word."""
+    heading = F.concat(F.lit("**"), F.substring_index("text", "\n", 1), F.lit("** [link](http://x.y) .. and the rest of a long heading"))
+    return table(spark, sf_dir, "documents").select("doc_id", scripts.chapter_title(heading).alias("title"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) / CASE WHEN doc_id % 3 = 0 THEN 96000.0::DOUBLE WHEN doc_id % 3 = 1 THEN 16000.0::DOUBLE ELSE 48000.0::DOUBLE END AS seconds FROM documents WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 5 = 0")
+def wav_lengths(spark, sf_dir):
+    """Texts as the sound of WAV files of three formats, one without a format; every fifth file has no data chunk."""
+    n = F.col("doc_id")
+    stereo = "666d7420 10000000 0100 0200 c05d0000 00770100 0400 1000"  # 24,000 Hz, two channels of 16 bits
+    narrow = "666d7420 10000000 0100 0100 401f0000 803e0000 0200 1000"  # 8,000 Hz, one channel
+    form = F.unhex(F.when(n % 3 == 0, stereo.replace(" ", "")).when(n % 3 == 1, narrow.replace(" ", "")).otherwise("6a756e6b"))
+    head = F.concat(F.unhex(F.lit("524946460000000057415645")), form, F.when(n % 5 > 0, F.unhex(F.lit("64617461ffffffff"))).otherwise(F.unhex(F.lit("00"))))
+    sound = F.when(n % 5 > 0, F.col("text").cast("binary")).otherwise(F.unhex(F.lit("00")))
+    return table(spark, sf_dir, "documents").select("doc_id", shelf.wav_seconds(F.concat(head, sound)).alias("seconds"))
+
+
+@query("SELECT doc_id, replace(replace('A=' || text, chr(10), ' '), '=', '-') AS title FROM documents")
+def metadata_titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", shelf.metadata_title(F.concat(F.lit("A="), "text")).alias("title"))
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), h AS (SELECT *, substring(text, 1, 700) AS head FROM x),
+s AS (SELECT *, CASE WHEN contains(head, chr(10) || chr(10)) THEN length(head) - length(list_last(string_split(head, chr(10) || chr(10)))) - 2 ELSE -2 END AS seam FROM h)
+SELECT doc_id, CASE WHEN length(text) <= 700 THEN text ELSE regexp_replace(CASE WHEN seam > 350 THEN substring(head, 1, seam) ELSE head END, '\\s+$', '') END AS head FROM s""")
+def heads_at_paragraphs(spark, sf_dir):
+    """The heads of texts, cut where a paragraph ends; a paragraph is a line here."""
+    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.cut_at_paragraph(text, 700).alias("head"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'ocr' WHEN 3 THEN 'skipped' ELSE 'text-layer' END AS method, turn * 1.5::DOUBLE AS seconds, CASE WHEN turn % 8 = 7 THEN 'OCR page cap' WHEN conv_id % 2 = 0 THEN 'OCR timed out after 120s' END AS reason FROM conversations),
+g AS (SELECT conv_id, count(*) AS pages, count(*) FILTER (method = 'ocr') AS ocr, sum(seconds) AS s, coalesce(string_agg(DISTINCT method, '+' ORDER BY method) FILTER (method <> 'skipped'), 'none') AS methods, count(*) FILTER (method = 'skipped') AS skipped, coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason) FILTER (method = 'skipped'), '') AS reasons FROM p GROUP BY conv_id)
+SELECT conv_id, 'Ingested: 2024-05-06 · Pages: ' || pages || ' · Extraction: ' || methods || ' · Model: stub' || CASE WHEN ocr > 0 THEN ' · OCR: ' || ocr || ' page(s), ' || round_even(s, 0)::BIGINT || 's' ELSE '' END
+  || CASE WHEN skipped > 0 THEN ' · **' || skipped || ' page(s) SKIPPED' || CASE WHEN reasons <> '' THEN ' (' || reasons || ')' ELSE '' END || '**' ELSE '' END || CASE WHEN conv_id % 3 = 2 THEN ' · Summarized in 4 sections (map-reduce)' ELSE '' END || CASE WHEN conv_id % 5 = 0 THEN ' · **' || (conv_id + 1) || ' chars truncated to fit context**' ELSE '' END AS line FROM g""")
+def provenance_lines(spark, sf_dir):
+    """How documents came about: OCR, skipped pages with their reasons, sections and what was cut."""
+    n, c = F.col("turn"), F.col
+    method = F.when(n % 4 == 1, "ocr").when(n % 4 == 3, "skipped").otherwise("text-layer")
+    reason = F.when(n % 8 == 7, "OCR page cap").when(c("conv_id") % 2 == 0, "OCR timed out after 120s")
+    pages = table(spark, sf_dir, "conversations").select("conv_id", n.alias("number"), method.alias("method"), (n * F.lit(1.5)).alias("seconds"), reason.alias("reason"))
+    rows = documents.profile(pages, "conv_id").join(documents.skip_reasons(pages, "conv_id"), "conv_id")
+    rows = rows.withColumns({"sections": F.when(c("conv_id") % 3 == 2, 4).otherwise(1), "truncated_chars": F.when(c("conv_id") % 5 == 0, c("conv_id") + 1).otherwise(0)})
+    return rows.select("conv_id", documents.provenance(rows, "2024-05-06", "stub").alias("line"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill import engine
 from pagemill.functions import folds, rules, text as t
 from pagemill.functions.rx import literal, quoted, sql_apply, sql_pattern, sql_strip, strip
-from pagemill.operators import lines, scripts
+from pagemill.operators import lines
 from pagemill.plans.registry import query, table
 
 # --- SQL forms -----------------------------------------------------------------------------------
@@ -164,6 +165,35 @@ def pdf_heading_flags(spark, sf_dir):
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), t.looks_like_heading(line).alias("heading"))
 
 
+_SECTION_LINES = "CASE WHEN doc_id % 2 = 0 THEN CASE line_no % 4 WHEN 3 THEN ' ' WHEN 0 THEN 'Section Of Many Results' WHEN 1 THEN '3.1 ' || line ELSE line END ELSE CASE line_no % 3 WHEN 0 THEN line || '.' WHEN 1 THEN '3.2 Results Of Line' ELSE line END END"
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, line_no, {_SECTION_LINES} AS line FROM ({_LINES})), h AS (SELECT x.*, heading FROM x JOIN ({_heading_sql(f"SELECT doc_id, line_no, {_SECTION_LINES} AS line FROM ({_LINES})")}) USING (doc_id, line_no)),
+b AS (SELECT *, coalesce({sql_strip('lag(line) OVER (PARTITION BY doc_id ORDER BY line_no)')}, '') AS before FROM h)
+SELECT doc_id, line_no::INT AS line_no, heading AND (before = '' OR regexp_matches(before, '(?:[.!?]|[.]["”])$') AND regexp_matches({sql_strip('line')}, {quoted(sql_pattern(rules.NUMBERED_HEADING, 'i'))})) AS starts FROM b""")
+def section_starts(spark, sf_dir):
+    """Lines at which a section begins: headings after blank lines, numbered ones after sentences too."""
+    even, c = F.col("doc_id") % 2 == 0, F.col
+    of_four = F.when(c("line_no") % 4 == 3, " ").when(c("line_no") % 4 == 0, "Section Of Many Results").when(c("line_no") % 4 == 1, F.concat(F.lit("3.1 "), "line")).otherwise(c("line"))
+    of_three = F.when(c("line_no") % 3 == 0, F.concat("line", F.lit("."))).when(c("line_no") % 3 == 1, "3.2 Results Of Line").otherwise(c("line"))
+    rows = lines.lines_of(table(spark, sf_dir, "documents")).withColumn("line", F.when(even, of_four).otherwise(of_three))
+    return lines.section_starts(rows).select("doc_id", "line_no", "starts")
+
+
+_LABELLED = "text || chr(10) || 'F5' || chr(10) || 'F3 F4' || chr(10) || 'return 0' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE 'x = y' END || chr(10) || 'end' || chr(10) || 'if' || chr(10) || 'It ends.'"
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, unnest(string_split({_LABELLED}, chr(10))) AS line, generate_subscripts(string_split({_LABELLED}, chr(10)), 1) - 1 AS line_no FROM documents),
+l AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM (SELECT *, {sql_strip('line')} AS s FROM x) WHERE length(s) BETWEEN 1 AND 32 AND NOT regexp_matches(s, '[.!?\"”’):]$'))
+SELECT doc_id, min(line_no)::INT AS first, count(*) AS lines FROM l GROUP BY doc_id, island HAVING count(*) >= 3""")
+def label_runs(spark, sf_dir):
+    """Runs of three and more short lines that end no sentence, as reflowing drops them."""
+    tail = F.concat(F.lit("\nF5\nF3 F4\nreturn 0\n"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise("x = y"), F.lit("\nend\nif\nIt ends."))
+    return lines.label_runs(lines.lines_of(table(spark, sf_dir, "documents").withColumn("text", F.concat("text", tail))))
+
+
 _HEADED_SQL = f"SELECT doc_id, string_agg(CASE WHEN line_no % 4 = 1 THEN '## Part ' || line_no || chr(10) || line ELSE line END, chr(10) ORDER BY line_no) AS text FROM ({_LINES}) GROUP BY doc_id"
 
 
@@ -299,7 +329,19 @@ def glyph_repair(spark, sf_dir):
     return holed.join(known, "doc_id", "left").select("doc_id", folds.repair_glyphs_column(F.col("text"), F.col("words")).alias("text"))
 
 
-@query()
+_WINDOW = rules.REPEAT_WINDOW
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM (SELECT doc_id, text || chr(10) || text AS text FROM documents)),
+l AS (SELECT doc_id, i, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS flat FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM s)),
+f AS (SELECT *, coalesce(sum(length(flat) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM l WHERE flat <> ''),
+j AS (SELECT doc_id, string_agg(flat, ' ' ORDER BY i) AS joined FROM f GROUP BY doc_id),
+h AS (SELECT doc_id, i, begins, begins + instr(substring(joined, begins + 2), substring(joined, begins + 1, {_WINDOW})) AS again FROM f JOIN j USING (doc_id) WHERE length(joined) >= 2 * {_WINDOW} AND begins + {_WINDOW} <= length(joined)),
+p AS (SELECT h.doc_id, h.i, max(k.i) AS place FROM h JOIN f AS k ON k.doc_id = h.doc_id AND k.begins <= h.again AND k.i > h.i WHERE h.again > h.begins GROUP BY h.doc_id, h.i),
+c AS (SELECT doc_id, arg_min(place, i) AS place FROM p GROUP BY doc_id),
+b AS (SELECT c.doc_id, place, CASE WHEN length(flat) BETWEEN 1 AND {rules.HEADER_CHARS} THEN 1 ELSE 0 END AS header FROM c LEFT JOIN l ON l.doc_id = c.doc_id AND l.i = c.place - 1)
+SELECT doc_id, CASE WHEN place IS NULL THEN text ELSE regexp_replace(array_to_string(parts[1:place - 1 - header], chr(10)), '\\s+$', '') END AS text, place IS NOT NULL AS cut FROM s LEFT JOIN b USING (doc_id)""")
 def collapse_repetition(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", folds.collapse_column(F.concat("text", F.lit("\n"), "text")).alias("r"))
     return docs.select("doc_id", "r.text", "r.cut")
@@ -314,7 +356,7 @@ def normalize_latex(spark, sf_dir):
 @query()
 def listening_scripts(spark, sf_dir):
     docs = _headed(table(spark, sf_dir, "documents")).withColumns({"kind": F.lit("link"), "title": F.concat(F.lit("Document "), F.col("doc_id").cast("string")), "tldr": F.substring("text", 1, 80), "summary": F.substring("text", 1, 200)})
-    return scripts.scripts(docs, 3000)
+    return engine.script(docs)
 
 
 @query(f"""

@@ -1,4 +1,4 @@
-"""Notes as files. Spark's writer commits whole tasks, so a failed job leaves no half-written set."""
+"""Notes as files, all of a job's or none (`files`)."""
 
 from __future__ import annotations
 
@@ -9,25 +9,24 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagemill.functions.text import portable_markdown, slug
-from pagemill.sources.records import write_files
+from pagemill.operators.scans import numbered
+from pagemill.sinks.files import write_files
 
 FORMATS = ("pdf", "md", "docx", "none")
 
 
-def write_markdown(notes: DataFrame, path: str) -> None:
+def write_markdown(notes: DataFrame, path: str) -> DataFrame:
     """Each note as a file <name>.md under `path` (a URI); a name that several notes have gets a number from the second on. notes: title, markdown."""
-    write_notes(notes, path, "md")
+    return write_notes(notes, path, "md")
 
 
-def write_notes(notes: DataFrame, path: str, fmt: str) -> None:
-    """Each note as a file in a format. Notes whose conversion failed aren't written; `exported` tells why."""
-    rows = exported(notes, fmt).where("content is not null")
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("content"))
-    named = F.concat("name", F.when(F.col("nth") > 1, F.concat(F.lit(" "), F.col("nth").cast("string"))).otherwise(""), F.lit(f".{fmt}"))
-    write_files(rows.withColumn("nth", nth).select(named.alias("name"), "content"), path)
+def write_notes(notes: DataFrame, path: str, fmt: str) -> DataFrame:
+    """Each note as a file in a format: name and outcome of each. Notes whose conversion failed aren't written; `exported` tells why."""
+    rows = numbered(exported(notes, fmt).where("content is not null"), ["name"], ["content"], "nth")
+    named = F.concat("name", F.when(F.col("nth") > 0, F.concat(F.lit(" "), (F.col("nth") + 1).cast("string"))).otherwise(""), F.lit(f".{fmt}"))
+    return write_files(rows.select(named.alias("name"), "content"), path)
 
 
 def exported(notes: DataFrame, fmt: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pagemill.sinks.files import write_files
+from pagemill.storage import stored
+
 JOB = "id string, channel string, thread_ts string, target string, source_label string, attachment string, attachment_name string, user string, attempts int"
 NEEDED = ["id", "channel", "thread_ts", "target", "source_label"]
 TRANSCRIPT = "start double, end double, text string"
@@ -41,35 +42,34 @@ def item_detail(body: Column) -> Column:
     return F.struct(some(meta["title"]).alias("title"), some(meta["description"]).alias("description"), some(item["media"]["coverPath"]).alias("cover_path"), chapters.alias("chapters"))
 
 
-def write_jobs(jobs: DataFrame, path: str) -> None:
-    """Each job as a record of its own, <id>.json, that is whole or not there: written beside its place, then moved."""
-    write_files(jobs.select(F.concat("id", F.lit(".json")).alias("name"), F.to_json(F.struct(*jobs.columns)).cast("binary").alias("content")), path)
-
+def write_jobs(jobs: DataFrame, path: str) -> DataFrame:
+    """Each job as a record of its own, <id>.json: all of them, or none where the write fails. name and outcome of each."""
+    return write_files(jobs.select(F.concat("id", F.lit(".json")).alias("name"), F.to_json(F.struct(*jobs.columns)).cast("binary").alias("content")), path)
 
-def complete(path: str, ids: list[str]) -> int:
-    """Remove the records of jobs that are done; one that is gone already counts as done. The number removed."""
-    store, base = fs.FileSystem.from_uri(path)
-    there = [f for f in (f"{base}/{i}.json" for i in ids) if store.get_file_info(f).type == fs.FileType.File]
-    for f in there:
-        store.delete_file(f)
-    return len(there)
 
+def completed(jobs: DataFrame, path: str) -> DataFrame:
+    """Remove what jobs that are done have in the spool at `path`: records, page caches and attachments. Safe to repeat.
 
-def write_files(rows: DataFrame, path: str) -> None:
-    """name and content (binary) of each row as a file under `path` (any store that pyarrow opens by URI), from the executors; a repeated task overwrites with the same."""
+    jobs: id, and attachment where there are such columns. A row for each file: id, file, outcome (removed, or gone already). The work is
+    done by the tasks, when this is called.
+    """
+    attachment = F.col("attachment") if "attachment" in jobs.columns else F.lit(None).cast("string")
+    names = F.array(*[F.concat(F.lit(path.rstrip("/") + "/"), "id", F.lit(s)) for s in (".json", ".pages")], attachment)
+    files = jobs.select("id", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(path)
-        store.create_dir(base, recursive=True)
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = f"{base}/.{name}.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part) as f:
-                    f.write(content)
-                store.move(part, f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+            told = []
+            for file in b.column(1).to_pylist():
+                store, where = fs.FileSystem.from_uri(file)
+                try:
+                    store.delete_file(where)
+                    told.append("removed")
+                except FileNotFoundError:
+                    told.append("gone")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.string())], ["id", "file", "outcome"])
 
-    rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return stored(files.mapInArrow(run, "id string, file string, outcome string"), "completed")
 
 
 def job_id(epoch_ns: Column, suffix: Column) -> Column:
@@ -108,6 +108,3 @@ class _PagedReader(DataSourceReader):
         for r in rows:
             yield (r.get("id"), r.get("title"), r.get("series"), r.get("narrator"), list(r.get("tags") or []))
 
-
-def dumps(row: dict) -> str:
-    return json.dumps(row, ensure_ascii=False, sort_keys=True)

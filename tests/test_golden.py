@@ -271,9 +271,10 @@ def test_shelf_and_records(spark, tmp_path):
     assert json.loads(patch) == {"series": []}
     assert one(spark, records.item_detail, '{"media": {"chapters": [{"title": "x"}, {}]}}', "{")[0].chapters == ["x", ""]
     jobs = spark.createDataFrame([("1", "c", "t", "x", "l", 0), ("2", "c", "t", "x", "l", 1)], "id string, channel string, thread_ts string, target string, source_label string, attempts int")
-    records.write_jobs(jobs, f"file://{tmp_path}/spool")
-    assert sorted(r.id for r in records.jobs(spark, f"{tmp_path}/spool").collect()) == ["1", "2"] and not [f for f in (tmp_path / "spool").iterdir() if f.name.endswith(".part")]
-    assert records.complete(f"file://{tmp_path}/spool", ["1"]) == 1 and records.complete(f"file://{tmp_path}/spool", ["1"]) == 0
+    assert {tuple(r) for r in records.write_jobs(jobs, f"file://{tmp_path}/spool").collect()} == {("1.json", "created"), ("2.json", "created")}
+    assert sorted(r.id for r in records.jobs(spark, f"{tmp_path}/spool").collect()) == ["1", "2"] and not [f for f in (tmp_path / "spool").iterdir() if f.name.startswith(".run")]
+    one_job = jobs.where("id = 1")
+    assert [[r.outcome for r in records.completed(one_job, f"file://{tmp_path}/spool").orderBy("file").collect()] for _ in range(2)] == [["removed", "gone"], ["gone", "gone"]]
     assert [r.id for r in records.jobs(spark, f"{tmp_path}/spool").collect()] == ["2"]
 
 
