@@ -32,18 +32,17 @@ def test_waits_between_tries():
         run(KeyError("bug"))
 
 
-def reader(image):
-    say = bytes(image).decode()
-    if say == "gone":
-        raise clients.Unreachable("down")
-    if say == "slow":
-        raise clients.TimedOut("slow")
-    if say == "bad":
-        raise clients.Rejected("400: odd")
-    return say.upper(), say != "loop"
-
-
 def test_pages_are_read(spark):
+    def reader(image):
+        say = bytes(image).decode()
+        if say == "gone":
+            raise clients.Unreachable("down")
+        if say == "slow":
+            raise clients.TimedOut("slow")
+        if say == "bad":
+            raise clients.Rejected("400: odd")
+        return say.upper(), say != "loop"
+
     rows = spark.createDataFrame([(i, s.encode()) for i, s in enumerate(["text", "gone", "slow", "bad", "loop"])], "page int, image binary")
     got = {r.page: (r.text, r.method, r.reason, r.outage) for r in clients.read_pages(rows, "page", reader, 120, 500, (0.0,)).collect()}
     assert got == {0: ("TEXT", "ocr", None, False), 1: (None, None, None, True), 2: ("", "skipped", "OCR timed out after 120s", False), 3: ("", "skipped", "OCR refused: 400: odd", False), 4: ("", "skipped", "OCR runaway, cut at 500 tokens", False)}
