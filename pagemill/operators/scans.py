@@ -92,5 +92,5 @@ def stops(maps: DataFrame, key: str, number: str, start: DataFrame) -> tuple[Dat
 
 def blocks(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """key, block (from 0) and items, an array of up to `BLOCK` structs (n from 0, value) of successive rows; stored."""
-    found = numbered(rows, [key], order, "n").select(key, (F.col("n") / BLOCK).cast("long").alias("block"), F.struct("n", F.col(value).alias("value")).alias("item"))
+    found = numbered(rows, [key], order, "_n").select(key, (F.col("_n") / BLOCK).cast("long").alias("block"), F.struct(F.col("_n").alias("n"), F.col(value).alias("value")).alias("item"))
     return stored(found.groupBy(key, "block").agg(F.array_sort(F.collect_list("item")).alias("items")), "blocks")

@@ -196,7 +196,7 @@ def test_the_model_sees_each_chunk_once(spark, tmp_path):
 
 
 def test_running_totals_over_spans_and_null_keys(spark, monkeypatch):
-    monkeypatch.setattr(queueing, "SPAN", 10)
+    monkeypatch.setattr(scans, "spanned", lambda rows, by, order: rows.withColumn("_span", F.floor(F.col("at") / 10)))
     rng = random.Random(5)
     rows = [(i, rng.choice(["a", "b", None]), float(rng.randrange(60)), float(rng.randrange(9))) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, q string, at double, v double")
