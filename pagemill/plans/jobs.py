@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules, text as t
-from pagemill.functions.rx import quoted
+from pagemill.functions.rx import quoted, sql_strip
 from pagemill.operators import queueing as q
 from pagemill.operators import shelf, summaries, transcripts
 from pagemill.plans.registry import query, table
@@ -293,9 +293,41 @@ def fit_to_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", head.alias("text"), dropped.alias("dropped"))
 
 
-@query()
+def _condensed_sql(name: str, source: str, pieces: str) -> str:
+    """name (doc_id, text, sections): the first two sentences of each chunk of 1,000 characters as points. pieces: of a text, blank-line parts as a list."""
+    parts = f"flatten(list_transform({pieces}, lambda p: list_transform(range(0, ceil(length(p) / 1000.0)::BIGINT), lambda i: {{'done': []::VARCHAR[], 'held': substring(p, (i * 1000 + 1)::BIGINT, 1000), 'alone': i < ceil(length(p) / 1000.0) - 1}})))"
+    done = "list_concat(a.done, CASE WHEN a.held <> '' THEN [a.held] ELSE []::VARCHAR[] END)"
+    fold = f"""list_reduce({parts}, lambda a, x: CASE WHEN x.alone THEN {{'done': list_concat({done}, [x.held]), 'held': '', 'alone': false}}
+      WHEN a.held <> '' AND length(a.held) + 2 + length(x.held) > 1000 THEN {{'done': {done}, 'held': x.held, 'alone': false}}
+      ELSE {{'done': a.done, 'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || chr(10) || x.held END, 'alone': false}} END, {{'done': []::VARCHAR[], 'held': '', 'alone': false}})"""
+    points = _SPLIT_SQL.format(x="c") + "[1:2]"
+    return f"""{name}f AS (SELECT doc_id, {fold} AS a FROM ({source})), {name}c AS (SELECT doc_id, {done} AS chunks FROM {name}f),
+{name} AS (SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(flatten(list_transform(chunks, lambda c: {points})), lambda p: {sql_strip('p')}), lambda p: p <> ''), lambda p: '- ' || p), chr(10)) AS text, len(chunks) AS sections FROM {name}c)"""
+
+
+#: Sentences as the stand-in model cuts them.
+_SPLIT_SQL = "string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31))"
+_DOUBLED = "(SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"
+_PARTS = f"list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda z: {sql_strip('z')}), lambda z: z <> '')"
+
+_WHOLE = f"list_filter([{sql_strip('text')}], lambda z: z <> '')"
+_LESS = "{now} AS (SELECT {before}.doc_id, CASE WHEN length({before}.text) > 6000 AND coalesce({again}.text, '') <> '' AND length({again}.text) < length({before}.text) THEN {again}.text ELSE {before}.text END AS text, {before}.sections FROM {before} LEFT JOIN {again} USING (doc_id))"
+
+
+@query(f"""
+WITH d AS {_DOUBLED}, {_condensed_sql('one', 'SELECT * FROM d WHERE length(text) > 6000', _PARTS)},
+{_condensed_sql('two', 'SELECT * FROM one WHERE length(text) > 6000', _WHOLE)}, {_LESS.format(now='m', before='one', again='two')},
+{_condensed_sql('three', 'SELECT * FROM m WHERE length(text) > 6000', _WHOLE)}, {_LESS.format(now='l', before='m', again='three')},
+r AS (SELECT doc_id, text, 1 AS sections FROM d WHERE length(text) <= 6000 UNION ALL SELECT * FROM l),
+t AS (SELECT doc_id, substring(text, 1, 6000) AS text, greatest(0, length(text) - 6000) AS truncated_chars, sections FROM r),
+s AS (SELECT *, {_SPLIT_SQL.format(x=sql_strip('text'))} AS first, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{7,}}')) AS words FROM t),
+w AS (SELECT doc_id, word, (length(lower(text)) - length(replace(lower(text), word, ''))) / length(word) AS n FROM (SELECT doc_id, text, unnest(words) AS word FROM s)),
+g AS (SELECT doc_id, array_to_string(list(word ORDER BY n DESC, word)[1:3], ',') AS tags FROM w GROUP BY doc_id)
+SELECT doc_id, truncated_chars::INT AS truncated_chars, sections::INT AS sections, substring(first[1], 1, 60) AS title, first[1] AS tldr, array_to_string(first[1:3], ' ') AS summary, coalesce(tags, '') AS tags FROM s LEFT JOIN g USING (doc_id)""")
 def map_reduce_summary(spark, sf_dir):
-    found = summaries.summarized(table(spark, sf_dir, "documents"), summaries.Extractive(), 6000, 1000)
+    """Short texts in one call, long ones by chunks and points, again where the points are too long; a paragraph is a line here."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    found = summaries.summarized(docs, summaries.Extractive(), 6000, 1000)
     return found.withColumn("tags", F.array_join("tags", ","))
 
 
