@@ -8,9 +8,9 @@ SHA-256 stream, and then written in the form of each mention; so 'Mr. Anton Berg
 spellings, stay one (coreference), wherever in the corpus they stand.
 
 A surrogate keeps type, script and form: digits stay digits, capitals capitals, small letters small letters, spacing
-stays; a card keeps its issuer digits and its check sum, a bank account its country and valid check digits, an address
+stays, letters of other scripts than Latin and Cyrillic become Latin ones; a card keeps its issuer digits and its check sum, a bank account its country and valid check digits, an address
 of four octets stays one, a phone number its country code, a mail address its top-level domain (its domain is replaced
-alike wherever it occurs); a name keeps its title, and given names follow the title's gender.
+alike wherever it occurs); a name keeps its title and its particles (van, de), and given names follow the title's gender.
 
 Two parts must not share a surrogate, and none may equal a part of the corpus: the distinct parts are gathered and
 grouped by surrogate, and those that clash get a stream with the next number, until none is left; names get longer
@@ -44,14 +44,20 @@ SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ra
 ENDS = {("m", "latin"): "n", ("f", "latin"): "na", ("m", "cyrillic"): "н", ("f", "cyrillic"): "на"}
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "Госпожа"]
-_TITLE = "|".join([*MALE_TITLES, *FEMALE_TITLES])
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_PERSON = rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"
+#: Titles that tell no gender; given names after them count as male ones.
+OTHER_TITLES = ["Dr", "Prof", "Professor", "Sir"]
+#: Small words inside family names, which stay.
+PARTICLES = ["van", "von", "de", "der", "den", "del", "della", "di", "da", "du", "dos", "la", "le", "ten", "ter", "zu", "zur"]
+_TITLE = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
+#: A capital (or O', D' and one), a small letter, and all letters that follow; a hyphen and another such word may.
+_NAME = r"\p{Lu}(?:['\u2019]\p{Lu})?\p{Ll}\p{L}*+(?:-\p{Lu}\p{L}*+)?"
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+_PERSON = rf"(?:{_TITLE})\.? (?:{_NAME} )?{_PARTICLES}{_NAME}"
 
 #: Patterns by kind, in the order in which they are tried, each with what a text has to hold: literals, or None for a digit.
 KINDS: dict[str, tuple[list[str] | None, str]] = {
     "secret": (["=", ":"], r"(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?\"?(?=(?:\.?[A-Za-z0-9+/_-]){8})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+"),
-    "email": (["@"], r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
+    "email": (["@"], r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"),
     "access_key": (["AKIA", "ASIA"], r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"),
     "iban": (None, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "card": (None, r"(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)"),
@@ -59,7 +65,7 @@ KINDS: dict[str, tuple[list[str] | None, str]] = {
     "ssn": (None, r"\d{3}-\d{2}-\d{4}(?!\d)"),
     "phone": (None, r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|0\d{2,4}[ /-]\d{5,8}(?!\d)"),
     "address": (None, rf"\d{{1,5}} (?:{_NAME} ){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd)(?![\p{{L}}\p{{N}}])|\p{{Lu}}\p{{Ll}}+(?:straße|strasse|gasse|allee) \d{{1,4}}[a-z]?(?![\p{{L}}\p{{N}}])"),
-    "person": ([t + end for t in (*MALE_TITLES, *FEMALE_TITLES) for end in (" ", ". ")], _PERSON),
+    "person": ([t + end for t in (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES) for end in (" ", ". ")], _PERSON),
 }
 _EDGE = r"(?<![\p{L}\p{N}_.%+@-])"
 _ANY = _EDGE + "(?:" + "|".join(p for _, p in KINDS.values())
@@ -91,11 +97,11 @@ def _full_names(text: Column) -> Column:
     held = F.lit(False)
     for sign in KINDS["person"][0]:
         held = held | text.contains(sign)
-    return F.when(held, F.filter(F.regexp_extract_all(text, F.lit(_EDGE + rf"({_PERSON})"), F.lit(1)), lambda e: e.rlike(rf"^(?:{_TITLE})\.? {_NAME} {_NAME}$"))).otherwise(F.array().cast("array<string>"))
+    return F.when(held, F.filter(F.regexp_extract_all(text, F.lit(_EDGE + rf"({_PERSON})"), F.lit(1)), lambda e: e.rlike(rf"^(?:{_TITLE})\.? {_NAME} {_PARTICLES}{_NAME}$"))).otherwise(F.array().cast("array<string>"))
 
 
 def _pattern(names: Column) -> Column:
-    """The pattern for a text that holds these names (letters and hyphens only) with titles."""
+    """The pattern for a text that holds these names (letters, hyphens, apostrophes and spaces) with titles."""
     bare = F.array_distinct(F.transform(names, lambda e: F.substring(e, F.length(_title(e)) + 1, F.length(e))))
     return F.when(F.size(names) > 0, F.concat(F.lit(_ANY + "|(?:"), F.array_join(bare, "|"), F.lit(r")(?![\p{L}\p{N}]))"))).otherwise(PATTERN)
 
@@ -129,7 +135,7 @@ def _person_parts(entity: Column, names: Column) -> Column:
     """Of a person, titled or named in full: the family name, and the given name with its gender."""
 
     def of(title: Column) -> Column:
-        words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+        words = F.filter(F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " "), lambda w: ~w.isin(PARTICLES))
         whose = F.when(title != "", title).otherwise(_title(F.filter(names, lambda e: e.endswith(F.concat(F.lit(" "), entity)))[0]))
         gender = F.when(F.regexp_replace(whose, r"[. ]", "").isin(FEMALE_TITLES), "f").otherwise("m")
         family = F.concat(F.lit("family|"), F.element_at(words, -1))
@@ -176,7 +182,10 @@ def _alike(part: Column, stream: Column, keep: int = 0, letters: str = "abcdefgh
         pick = lambda signs: F.substring(F.lit(signs), _draw(stream, i, len(signs)) + 1, F.lit(1))
         low = pick("0123456789abcdef") if letters == "hex" else pick(letters)
         digit = low if letters == "hex" else pick("0123456789")
-        return F.when(i < keep, c).when(c.rlike("[0-9]"), digit).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike("[a-z]"), low).otherwise(c)
+        return (
+            F.when(i < keep, c).when(c.rlike("[0-9]"), digit).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike("[a-z]"), low)
+            .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{L}"), low).otherwise(c)
+        )
 
     return F.array_join(F.transform(F.split(part, ""), other), "")
 
@@ -251,7 +260,7 @@ def written(entity: Column, kind: Column, made: Column) -> Column:
     """The surrogate in the form of a mention. made: surrogates of the entity's parts."""
     one = made[0]
     cased = F.array_join(F.zip_with(F.split(entity, ""), F.split(one, ""), lambda c, m: F.when(c.rlike("[A-Z]"), F.upper(m)).otherwise(m)), "")
-    person = F.concat(_title(entity), F.when(F.size(made) > 1, F.concat(made[1], F.lit(" "))).otherwise(""), one)
+    person = F.concat(_title(entity), F.when(F.size(made) > 1, F.concat(made[1], F.lit(" "))).otherwise(""), F.regexp_extract(entity, rf"(?<= )({_PARTICLES})\S+$", 1), one)
     marked = F.when(kind == "secret", F.concat(F.substring(entity, F.lit(1), _value_at(entity)), one)).otherwise(one)
     return (
         F.when(kind == "person", person).when(one.startswith("#"), marked).when(kind == "secret", marked).when(kind == "email", cased)
