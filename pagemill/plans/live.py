@@ -63,7 +63,8 @@ SELECT thread, job, first.tick AS added, last.tick AS ended, (SELECT min(c.place
 FROM l, upto WHERE last.tick < t OR last IS NULL AND first.tick + INTERVAL 7 DAYS < t""")
 def stream_cancels(spark, sf_dir):
     """What cancels stop, as keyed state, with a restart: lives of jobs that are over or given up when the stream ends."""
-    found = _in_halves(spark, sf_dir, lambda source: cancels.lives_stream(_marks(source()).withWatermark("at", "12 hours")))
+    with cancels.state_store(spark):
+        found = _in_halves(spark, sf_dir, lambda source: cancels.lives_stream(_marks(source()).withWatermark("at", "12 hours")))
     return found.select("thread", "job", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("added", "ended", "canceled_at")])
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import is_junk_title
 
 PAGES = "number int, text string, title string, error string"
-#: Files that a worker gets at once.
-FILES_PER_BATCH = 16
+#: Bytes of files that a worker gets at once, at most; a longer file comes by itself.
+BYTES_PER_BATCH = 64 << 20
 
 _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]{}]|/[^\s()<>\[\]{}/%]*|\((?s:.)|<[0-9A-Fa-f\s]*>|(\d+)\s+(\d+)\s+R(?![^\s()<>\[\]{}/%])|[^\s()<>\[\]{}/%]+")
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b")
@@ -287,7 +287,7 @@ def pages(files: DataFrame, key: str) -> DataFrame:
                 own = b.column(0).take(pa.array([i] * len(number)))
                 yield pa.RecordBatch.from_arrays([own, pa.array(number, pa.int32()), *[pa.array(x, pa.string()) for x in (text, title, error)]], [key, *(c.split()[0] for c in PAGES.split(", "))])
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_PER_BATCH))
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))  # stays for the session
     return files.select(key, "content").mapInArrow(run, f"`{key}` {kind}, {PAGES}")
 
 

@@ -11,11 +11,12 @@ told when the watermark has passed the minute of its end; one that doesn't end i
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -108,9 +109,20 @@ class _Threads(StatefulProcessor):
         pass
 
 
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lives_stream(events: DataFrame, expiry: datetime.timedelta = datetime.timedelta(days=7)) -> DataFrame:
-    """`LIVES` of jobs as they end. events: a stream with a watermark on `at`. Runs on the RocksDB state store, which this sets."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """`LIVES` of jobs as they end. events: a stream with a watermark on `at`. Has to be started within `state_store`."""
     rows = events.select(F.col("thread").cast("string").alias("thread"), F.col("job").cast("string").alias("job"), "kind", "at", F.col("seq").cast("long").alias("seq"))
     return rows.groupBy("thread").transformWithStateInPandas(statefulProcessor=_Threads(int(expiry.total_seconds())), outputStructType=LIVES, outputMode="Append", timeMode="EventTime")
 
@@ -138,8 +150,3 @@ def lives(events: DataFrame) -> DataFrame:
     found = running(back, ["thread"], ["_back", "_seq"], F.max, key, "_next").where("NOT mark")
     hit = F.struct(F.timestamp_micros(-F.col("_next.at")).alias("at"), (-F.col("_next.seq")).alias("seq"))
     return found.select("thread", "job", F.col("place.at").alias("added"), F.col("last.at").alias("ended"), F.when(F.col("_next").isNotNull() & (hit < F.col("last")), hit["at"]).alias("canceled_at"))
-
-
-def kinds(kind: Column) -> Column:
-    """The kinds of events as a queue tells them: a job that is queued again is added anew."""
-    return F.when(kind.isin("enqueue", "requeue", "add"), "add").when(kind.isin("complete", "fail", "done"), "done").when(kind == "cancel", "cancel")

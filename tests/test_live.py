@@ -117,7 +117,8 @@ def test_cancels_across_a_restart(spark, tmp_path):
     for half in halves:
         spark.createDataFrame(half, MARK).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(MARK).parquet(f"{tmp_path}/in").withWatermark("at", "4 hours")
-        out = streams.finished(cancels.lives_stream(stream, datetime.timedelta(days=3)), "append", str(tmp_path))
+        with cancels.state_store(spark):
+            out = streams.finished(cancels.lives_stream(stream, datetime.timedelta(days=3)), "append", str(tmp_path))
     got = [tuple(r) for r in out.collect()]
     ended, given_up = [r for r in got if r[3]], [r for r in got if not r[3]]
     assert sorted(ended, key=str) == sorted(plain_lives(sum(halves, [])), key=str)
