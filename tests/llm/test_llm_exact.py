@@ -181,7 +181,12 @@ def test_trie_spans_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(turns, "SPAN", 2)
     monkeypatch.setattr(turns, "IDS", 3)
     rows = [(c, t, "user", f"{t % 5}") for c in range(700, 800) for t in range(3 + c % 20)]
-    assert trie(spark, rows) == plain_trie(rows)
+    rows += [(750, None, "user", "x")] * 300  # a long conversation, in several ranges
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert trie(spark, rows) == plain_trie(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_trie_of_odd_tables(spark):
