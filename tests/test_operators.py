@@ -31,6 +31,12 @@ def test_queue_against_a_loop(spark):
         assert math.isclose(got[i], free[q])
 
 
+def test_ends_do_not_hang_on_the_order_of_sums(spark):
+    rows = spark.createDataFrame([(i, 0.0, 0.1) for i in range(1000)], "id int, arrival double, service double").withColumn("q", F.lit(1))
+    got = {r.id: r.finish for r in queueing.replayed(rows, ["q"], "arrival", "service", ["arrival", "id"]).collect()}
+    assert got == {i: (i + 1) / 10 for i in range(1000)}
+
+
 def test_calibration_against_the_stream_fold(spark):
     seen = [("audio", i, 10.0, 5.0 + i * i % 17) for i in range(30)] + [("audio", 99, 0.0, 5.0), ("other", 1, 1.0, 1.0), ("ocr", 1, 2.0, 4.0)]
     got = {r.stage: r for r in queueing.calibrated(spark.createDataFrame(seen, "stage string, n long, predicted double, actual double"), ["n"]).collect()}
