@@ -14,10 +14,16 @@ from pagemill.operators.lines import prepared
 
 
 def chapter_title(heading: Column) -> Column:
-    """Cleaned and cut at a word."""
+    """Without what text layers leave of accents, cleaned and cut at a word."""
     bare = F.regexp_replace(heading, r"(?U)\s?[¯˙˘´`\^¨˜]\s?|\.(?=[a-z])", "")
-    label = F.regexp_replace(strip(F.regexp_replace(t.clean_body(bare), r"\.+$", "")), r"^[™©®†‡*# ]+", "")
-    label = F.coalesce(F.nullif(label, F.lit("")), strip(heading))
+    return let(bare, lambda b: chapter_label(b, heading))
+
+
+def chapter_label(heading: Column, otherwise: Column | None = None) -> Column:
+    """A heading cleaned and cut at a word; `otherwise` (the heading itself) where cleaning leaves nothing."""
+    otherwise = heading if otherwise is None else otherwise
+    label = F.regexp_replace(strip(F.regexp_replace(t.clean_body(heading), r"\.+$", "")), r"^[™©®†‡*# ]+", "")
+    label = F.coalesce(F.nullif(label, F.lit("")), strip(otherwise))
 
     def shortened(label: Column) -> Column:
         head = F.substring(label, 1, rules.CHAPTER_TITLE_CHARS)

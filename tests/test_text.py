@@ -105,6 +105,11 @@ def test_chapter_title(spark):
     assert got[0] == "Bold heading" and got[1].endswith("...") and len(got[1]) <= 63
 
 
+def test_chapter_label_keeps_what_isnt_of_a_text_layer(spark):
+    assert one(spark, scripts.chapter_label, "**Mail a.b@c.example.com** now.", "***") == ["Mail a.b@c.example.com now", "***"]
+    assert one(spark, scripts.chapter_title, "Matr ¯ avr ¯ .tta") == "Matravrtta"
+
+
 def test_small_columns(spark):
     assert one(spark, t.first_url, "see <https://a.b/c|x> y", "http://q.r> z", "none", None) == ["https://a.b/c", "http://q.r", None, None]
     assert one(spark, t.is_cancel, "<@U1> Cancel!", "please cancel it", None) == [True, False, False]
