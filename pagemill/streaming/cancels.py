@@ -4,13 +4,14 @@ Events: thread, job, kind (add, done, cancel), at (event time), seq (orders even
 job that is queued again is added before its failed run is done: a job is under way from its first add until as many are done. A
 cancel stops the jobs of its thread that are under way then; a job that comes back later starts anew.
 
-State is kept by thread (`transformWithState`): a job's events until its life is over, and the thread's cancels as long as a life
-that is open may still be stopped by them. What comes late within the watermark counts in its place, for a life is only
+State is kept by thread (`transformWithState`) as one list: a job's events until its life is over, and the thread's cancels as long as a life
+that is open may still be stopped by them. A thread has one timer, so a trigger reads its list once, whatever it holds. What comes late within the watermark counts in its place, for a life is only
 told when the watermark has passed the minute of its end; one that doesn't end is given up after `expiry`.
 """
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import datetime
 from collections.abc import Iterator
@@ -30,13 +31,14 @@ Event = tuple[int, int, int]  # micros, seq, 1 for an add and -1 for a done
 
 
 def told(events: list[Event], marks: list[tuple[int, int]], upto: int, expiry: int) -> tuple[list[tuple[int, int | None, int | None]], list[Event]]:
-    """The lives (added, ended, first cancel) of one job that are over by `upto` or have been open for `expiry`, and the events that stay."""
+    """The lives (added, ended, first cancel) of one job that are over by `upto` or have been open for `expiry`, and the events that stay. marks: in order."""
     lives: list[tuple[int, int | None, int | None]] = []
     count, life, later = 0, [], []
 
     def close(end: tuple[int, int] | None) -> None:
-        hits = [m for m in marks if life[0][:2] < m < (end or (life[0][0] + expiry, 0))]
-        lives.append((life[0][0], end and end[0], min(hits)[0] if hits else None))
+        hit = bisect.bisect_right(marks, life[0][:2])  # the first after the begin
+        stops = hit < len(marks) and marks[hit] < (end or (life[0][0] + expiry, 0))
+        lives.append((life[0][0], end and end[0], marks[hit][0] if stops else None))
 
     for at, seq, step in sorted(events):
         if at > upto:
@@ -59,51 +61,53 @@ class _Threads(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.jobs = handle.getMapState("jobs", "job string", "at array<bigint>, seq array<bigint>, step array<int>")
-        self.marks = handle.getListState("marks", "at bigint, seq bigint")
+        self.events = handle.getListState("events", "job string, at bigint, seq bigint, step int")  # step 0: a cancel
+
+    def _wake(self, at: int) -> None:
+        """A thread has one timer, at the first minute after which something may be over: to the minute, after it."""
+        due, old = (at // 60_000_000 + 1) * 60_000, list(self.handle.listTimers())
+        if not old or due < min(old):
+            for t in old:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = set()
+        steps, new = {"add": 1, "done": -1, "cancel": 0}, []
         for part in rows:
             at = part["at"].astype("datetime64[us]").astype("int64").tolist()
-            part = list(zip(at, part["seq"].tolist(), part["kind"], part["job"], strict=True))
-            marks = [(a, s) for a, s, kind, _ in part if kind == "cancel"]
-            if marks:
-                self.marks.appendList(marks)
-            new: dict[str, list[Event]] = {}
-            for a, s, kind, job in part:
-                if kind in ("add", "done"):
-                    new.setdefault(job, []).append((a, s, 1 if kind == "add" else -1))
-                    latest.add(a)
-            for job, events in new.items():
-                old = self.jobs.getValue((job,)) if self.jobs.containsKey((job,)) else None
-                events = (list(zip(*old, strict=True)) if old else []) + events
-                self.jobs.updateValue((job,), tuple(list(c) for c in zip(*events, strict=True)))
-        for a in {x // 60_000_000 for x in latest} | {(x + self.expiry) // 60_000_000 for x in latest}:  # to the minute, after it
-            self.handle.registerTimer((a + 1) * 60_000)
+            new += [(job if steps[kind] else None, a, s, steps[kind]) for job, a, s, kind in zip(part["job"], at, part["seq"].tolist(), part["kind"], strict=True) if kind in steps]
+        if new:
+            self.events.appendList(new)
+        times = [a for _, a, _, step in new if step]
+        if times:
+            self._wake(min(times))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() // 60_000 * 60_000_000 - 1  # whole minutes, as timers are
-        marks = [tuple(m) for m in self.marks.get()]
-        out, first = [], upto
-        for (job,), value in list(self.jobs.iterator()):
-            events = list(zip(*value, strict=True))
+        jobs: dict[str, list[Event]] = {}
+        marks: list[tuple[int, int]] = []
+        for job, at, seq, step in self.events.get():
+            jobs.setdefault(job, []).append((at, seq, step)) if step else marks.append((at, seq))
+        marks.sort()
+        out, kept, first, times = [], [], upto, []
+        for job, events in jobs.items():
             lives, rest = told(events, marks, upto, self.expiry)
             out += [(job, *life) for life in lives]
-            if not rest:
-                self.jobs.removeKey((job,))
-                continue
-            first = min(first, rest[0][0])
-            if len(rest) < len(events):
-                self.jobs.updateValue((job,), tuple(list(c) for c in zip(*rest, strict=True)))
-        kept = [m for m in marks if m[0] >= first]  # older ones stop nothing any more
-        if len(kept) < len(marks):
-            self.marks.put(kept) if kept else self.marks.clear()
+            if rest:
+                first = min(first, rest[0][0])
+                kept += [(job, *e) for e in rest]
+                times += [t for t in (*(e[0] for e in rest), rest[0][0] + self.expiry) if t > upto]
+        kept += [(None, *m, 0) for m in marks if m[0] >= first]  # older ones stop nothing any more
+        self.events.put(kept) if kept else self.events.clear()
+        for t in self.handle.listTimers():  # this one and what it makes needless
+            self.handle.deleteTimer(t)
+        if times:
+            self._wake(min(times))
         time = lambda us: None if us is None else datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=us)
-        times = [pd.Series([time(x[i]) for x in out], dtype="datetime64[us]") for i in (1, 2, 3)]
+        ends = [pd.Series([time(x[i]) for x in out], dtype="datetime64[us]") for i in (1, 2, 3)]
         if out:
-            yield pd.DataFrame({"thread": pd.Series([key[0]] * len(out), dtype=object), "job": pd.Series([x[0] for x in out], dtype=object), "added": times[0], "ended": times[1], "canceled_at": times[2]})
+            yield pd.DataFrame({"thread": pd.Series([key[0]] * len(out), dtype=object), "job": pd.Series([x[0] for x in out], dtype=object), "added": ends[0], "ended": ends[1], "canceled_at": ends[2]})
 
     def close(self) -> None:
         pass

@@ -4,7 +4,9 @@ import datetime
 import heapq
 import math
 import random
+from unittest import mock
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,50 @@ def test_cancels_across_a_restart(spark, tmp_path):
     assert {r[:2] for r in given_up}.isdisjoint({("z", "end")}) and len(given_up) > 0
 
 
+class Held:
+    """What a stateful processor is handed: one list and the timers of a thread."""
+
+    def __init__(self):
+        self.rows, self.timers, self.reads = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.rows))
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_thread_has_one_timer():
+    """A trigger reads a thread once, not once a minute in which something happens."""
+    held, threads = Held(), cancels._Threads(3 * 86_400)
+    threads.init(held)
+    rows = [(str(i), kind, at(10 * i + j), 2 * i + j) for i in range(100) for j, kind in enumerate(["add", "done"])]
+    threads.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=["job", "kind", "at", "seq"])]), None)
+    assert len(held.timers) == 1
+    now = mock.Mock(getCurrentWatermarkInMs=lambda: int(at(505).replace(tzinfo=datetime.timezone.utc).timestamp() * 1000))
+    [told] = threads.handleExpiredTimer(("u",), now, None)
+    assert sorted(map(int, told["job"])) == list(range(51 - 1)) and held.reads == 1 and len(held.timers) == 1 and len(held.rows) == 100
+
+
 # --- predictions ---------------------------------------------------------------------------------
 
 
