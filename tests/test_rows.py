@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import rules, rx, text as t
 from pagemill.operators import documents as d
 from pagemill.operators import lines, queueing, shelf
+from pagemill.plans import control
 
 
 def one(spark, f, *values):
@@ -48,6 +49,11 @@ def test_skip_reasons_are_sorted(spark):
     assert {r.doc: (r.skipped_pages, r.skip_reasons) for r in d.skip_reasons(pages, "doc").collect()} == {1: (4, ["a", "z"]), 2: (0, [])}
 
 
+def test_skipped_pages_without_a_reason(spark, tmp_path):
+    spark.createDataFrame([(1, 8), (2, 2), (2, 5), (2, 8)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, control.skip_reasons(spark, str(tmp_path)).collect())) == [(1, 1, ""), (2, 3, "OCR page cap; OCR timed out after 120s")]
+
+
 def test_documents_of_blank_pages(spark):
     pages = spark.createDataFrame([(1, 1, " \n"), (1, 2, None), (2, 2, "b"), (2, 1, "a"), (2, 3, " ")], "doc int, number int, text string")
     assert {r.doc: r.text for r in d.assembled(pages, "doc").collect()} == {1: "", 2: "a\n\nb"}
