@@ -17,7 +17,7 @@ from pagemill.plans.jobs import _CALIBRATED, _REPEATED, _STAGE, _observations, _
 from pagemill.plans.registry import query, table
 from pagemill.sinks.files import write_files
 from pagemill.sources import pdf, spool
-from pagemill.storage import own_folder
+from pagemill.storage import bounded_batches, own_folder
 from pagemill.streaming import cancels, queue as streams
 
 
@@ -254,6 +254,7 @@ def _pdfs(spark, sf_dir):
                 content.append(data[:60] if doc_id % 9 == 0 else data)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], ["doc_id", "content"])
 
+    bounded_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, content binary")
 
 
@@ -273,7 +274,7 @@ SELECT s.*, CASE WHEN doc_id % 7 > 0 THEN 'A study of case ' || doc_id END AS ti
 def pdf_scan(spark, sf_dir):
     """Sizes and titles of the same files, from their bytes."""
     found = pdf.pages(_pdfs(spark, sf_dir), "doc_id").where("error is null")
-    return documents.size_scan(found, "doc_id").join(pdf.titles(found, "doc_id"), "doc_id")
+    return documents.size_scan(found, "doc_id", 5, pdf.title_of(F.col("title")).alias("title"))
 
 
 # --- services outside ----------------------------------------------------------------------------
@@ -283,14 +284,17 @@ class Moody:
     """A stand-in for a service: by the length of what it gets it answers at once, at the second try, or not at all."""
 
     def __init__(self) -> None:
-        self.tries: dict[str, int] = {}
+        self.waiting: set[str] = set()  # what was turned away once and not yet sent again
 
     def __call__(self, value: str) -> str:
-        n = self.tries[value] = self.tries.get(value, 0) + 1
         if len(value) % 7 == 0:
             raise clients.Rejected(f"too odd: {len(value)}")
-        if len(value) % 11 == 0 or len(value) % 5 == 0 and n % 2:
+        if len(value) % 11 == 0:
             raise clients.Unreachable("no answer")
+        if len(value) % 5 == 0 and value not in self.waiting:
+            self.waiting.add(value)
+            raise clients.Unreachable("no answer")
+        self.waiting.discard(value)
         if len(value) % 13 == 0:
             raise clients.TimedOut("no end")
         return value[::-1]

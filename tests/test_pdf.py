@@ -43,6 +43,15 @@ def test_fonts_with_maps():
     assert texts(data) == ["ffabc中\U0001f389"]
 
 
+def test_codes_are_looked_up_once():
+    """Ranges are walked once a code, not once a sign; lone and paired units of a string of two-byte codes come out alike."""
+    codes = pdf._unicode_map(b"beginbfrange <0000> <FFFF> <0000> endbfrange")
+    text = "aé中\U0001f389" * 5000
+    assert pdf._decoded(text.encode("utf-16-be"), codes) == text and len(codes) == 5
+    pairs = pdf._unicode_map(b"beginbfchar <0001> <00660069> endbfchar beginbfrange <0002> <0003> <0061> endbfrange")
+    assert pdf._decoded(bytes.fromhex("000200010003000900"), pairs) == "afib"
+
+
 def test_page_trees_object_streams_and_revisions():
     catalog, tree = b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R] >>"
     body = b"1 0 2 %d " % len(catalog) + catalog + tree
