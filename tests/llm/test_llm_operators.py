@@ -559,6 +559,15 @@ def test_language_counts_over_all_rows(spark):
     assert sum(len(k) for k, _ in got.tables) > 40 and np.isfinite(got.limit).all()
 
 
+def test_copies_keep_the_same_ngrams(spark):
+    """What is kept is a share of the signs: it doesn't hang on how many rows there are."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = ["aba bab abba caab", "caba daab", "bade cab", "edab bea"]
+    few, many = [spark.createDataFrame([(i, "xx", texts[k % 4]) for k, i in enumerate(ids[:n])], "doc_id long, lang string, text string") for n in (4, 16)]
+    one, four = langid.learn(few), langid.learn(many)
+    assert [sorted(k.tolist()) for k, _ in one.tables] == [sorted(k.tolist()) for k, _ in four.tables] and len(one.tables[3][0]) > 30
+
+
 def test_language_of_odd_texts(docs, empty):
     model = langid.fit({"xx": ["aba bab abba"] * 5, "yy": ["zyz yzy zyyz"] * 5})
     got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
