@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.storage import bounded_batches
+
 KEY_CHARS = 80
 
 
@@ -48,17 +50,24 @@ def matched_window(text: str | None, anchor: str | None, size: int) -> str:
 
 def metrics(base: Column, text: Column) -> Column:
     """struct<chars, delta_chars, similarity, lines_removed, lines_added> of a variant against what it was made from."""
+    bounded_batches()
+
+    # apart, so that a plan that doesn't ask for lines doesn't compare them
+    @F.pandas_udf("double")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(similarity(x, y), 4) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    @F.pandas_udf("similarity double, lines_removed long, lines_added long")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [(round(similarity(x, y), 4), *line_changes(x, y)) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(rows, columns=["similarity", "lines_removed", "lines_added"])
+    @F.pandas_udf("lines_removed long, lines_added long")
+    def changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([line_changes(x, y) for x, y in zip(a, b, strict=True)], columns=["lines_removed", "lines_added"])
 
-    got = run(base, text)
-    return F.struct(F.length(text).cast("long").alias("chars"), (F.length(text) - F.length(base)).cast("long").alias("delta_chars"), got["similarity"].alias("similarity"), got["lines_removed"].alias("lines_removed"), got["lines_added"].alias("lines_added"))
+    got = changes(base, text)
+    return F.struct(F.length(text).cast("long").alias("chars"), (F.length(text) - F.length(base)).cast("long").alias("delta_chars"), shared(base, text).alias("similarity"), got["lines_removed"].alias("lines_removed"), got["lines_added"].alias("lines_added"))
 
 
 def matched_window_column(text: Column, anchor: Column, size: int) -> Column:
+    bounded_batches()
+
     @F.pandas_udf("string")
     def run(texts: pd.Series, anchors: pd.Series) -> pd.Series:
         return pd.Series([matched_window(x, a, size) for x, a in zip(texts, anchors, strict=True)], dtype=object)

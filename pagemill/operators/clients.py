@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.documents import ocr_outcome
+from pagemill.storage import bounded_batches
 
 #: Seconds between tries.
 WAITS = (10.0, 60.0)
@@ -69,6 +70,7 @@ def called(rows: DataFrame, key: str, column: str, client: Callable[[Any], Any],
             names = ["result", *[c.split()[0] for c in OUTCOME.split(", ")]]
             yield pd.DataFrame({key: b[key]} | {n: pd.Series([g[i] for g in got], dtype="int32" if n == "tries" else "float64" if n == "seconds" else object) for i, n in enumerate(names)})
 
+    bounded_batches(rows.sparkSession)
     return rows.select(key, column).mapInPandas(run, f"`{key}` {kind}, result {result}, {OUTCOME}")
 
 

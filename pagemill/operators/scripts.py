@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import folds, rules, text as t
 from pagemill.functions.rx import let, strip
 from pagemill.operators.lines import prepared
+from pagemill.storage import bounded_batches
 
 
 def chapter_title(heading: Column) -> Column:
@@ -48,6 +49,7 @@ def scripts(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
             yield b.assign(ready=ready, parts=parts)
 
     schema = f"key {dict(docs.dtypes)[key]}, kind string, title string, tldr string, summary string, ready string, parts array<struct<heading:string,body:string>>"
+    bounded_batches(docs.sparkSession)
     base = base.mapInPandas(structured, schema).withColumnRenamed("key", key)
     some = lambda c: F.coalesce(F.col(c), F.lit(""))
     opening = F.concat(F.coalesce(F.nullif(strip(F.col("title")), F.lit("")), F.lit("Untitled")), F.lit(".\n\nSummary.\n\n"), some("tldr"), F.lit("\n\n"), some("summary"))

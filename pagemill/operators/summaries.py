@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.folds import chunks_column
 from pagemill.functions.rx import strip
-from pagemill.storage import stored
+from pagemill.storage import bounded_batches, stored
 
 MOST_ROUNDS = 3
 
@@ -48,6 +48,7 @@ def _asked(rows: DataFrame, schema: str, ask: Callable[[pd.DataFrame], pd.DataFr
         for b in batches:
             yield ask(b)
 
+    bounded_batches(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 

@@ -5,10 +5,11 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions import rules, rx, text as t
+from pagemill import storage
+from pagemill.functions import folds, rules, rx, text as t, variants
 from pagemill.operators import documents as d
-from pagemill.operators import lines, queueing, shelf
-from pagemill.plans import control
+from pagemill.operators import clients, lines, queueing, shelf, summaries
+from pagemill.plans import control, live
 
 
 def one(spark, f, *values):
@@ -49,6 +50,23 @@ def test_skip_reasons_are_sorted(spark):
     assert {r.doc: (r.skipped_pages, r.skip_reasons) for r in d.skip_reasons(pages, "doc").collect()} == {1: (4, ["a", "z"]), 2: (0, [])}
 
 
+def test_python_workers_get_rows_by_bytes(spark):
+    name, text = "spark.sql.execution.arrow.maxBytesPerBatch", F.col("text")
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    makers = [lambda: folds.segments_column(text, 9), lambda: folds.collapse_column(text), lambda: folds.sections_column(text), lambda: variants.metrics(text, text), lambda: clients.called(docs, "doc_id", "text", len, "int"), lambda: summaries.summarized(docs, summaries.Extractive(), 9, 9)]
+    for make in makers:
+        spark.conf.set(name, "64m")
+        make()
+        assert spark.conf.get(name) == str(storage.BYTES_PER_BATCH)
+
+
+def test_the_moody_service_keeps_no_texts():
+    moody = live.Moody()
+    for i in range(100):
+        clients.tried(moody, "x" * i, (0.0, 0.0))
+    assert not moody.waiting
+
+
 def test_skipped_pages_without_a_reason(spark, tmp_path):
     spark.createDataFrame([(1, 8), (2, 2), (2, 5), (2, 8)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
     assert sorted(map(tuple, control.skip_reasons(spark, str(tmp_path)).collect())) == [(1, 1, ""), (2, 3, "OCR page cap; OCR timed out after 120s")]
