@@ -60,6 +60,13 @@ def test_python_workers_get_rows_by_bytes(spark):
         assert spark.conf.get(name) == str(storage.BYTES_PER_BATCH)
 
 
+def test_lines_are_compared_where_they_are_asked_for(spark):
+    rows = spark.createDataFrame([("a\nb", "a\nc")], "a string, b string").select(variants.metrics(F.col("a"), F.col("b")).alias("m"))
+    planned = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "lines_removed" in planned(rows) and "lines_removed" not in planned(rows.select("m.similarity"))
+    assert tuple(rows.first().m) == (3, 0, 0.6667, 1, 1)
+
+
 def test_the_moody_service_keeps_no_texts():
     moody = live.Moody()
     for i in range(100):
