@@ -228,7 +228,7 @@ def cut_at_paragraph(text: Column, most: int) -> Column:
         seam = F.length(head) - F.length(F.substring_index(head, "\n\n", -1)) - 2
         return F.rtrim(F.when(seam > most // 2, F.substring(head, F.lit(1), seam)).otherwise(head), F.lit(SPACES))
 
-    return F.when(F.length(text) <= most, text).otherwise(let(F.substring(text, 1, most), cut))
+    return let(text, lambda x: F.when(F.length(x) <= most, x).otherwise(let(F.substring(x, 1, most), cut)))
 
 
 def voice_group(voice: Column) -> Column:

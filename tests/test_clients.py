@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill import engine
+from pagemill.functions import text as t
 from pagemill.operators import clients, summaries
 
 
@@ -72,6 +73,21 @@ def test_excerpts_are_made_once(spark, tmp_path):
     assert (tmp_path / "e" / "0.txt").read_text() == "edited" and (tmp_path / "e" / "3.txt").read_text() == "First part 3."
 
 
+def test_excerpts_list_no_folder_and_join_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(i // 2, f"Part {i // 2}.") for i in range(40)], "doc_id long, text string")
+    first = engine.excerpts(docs.where("doc_id < 10"), f"file://{tmp_path}/e", 20)
+    assert {(r.name, r.outcome) for r in first.collect()} == {(f"{i}.txt", "created") for i in range(10)} and first.count() == 20
+    got = engine.excerpts(docs, f"file://{tmp_path}/e", 20)
+    assert sorted((r.name, r.outcome) for r in got.collect()) == sorted((f"{i}.txt", "kept" if i < 10 else "created") for i in range(20) for _ in range(2))
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and "binaryFile" not in plan and len(list((tmp_path / "e").iterdir())) == 20
+
+
+def test_a_head_is_prepared_once(spark):
+    plan = spark.range(1).select(t.cut_at_paragraph(F.upper(F.lower(F.col("id").cast("string"))), 20).alias("head"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(") == 1
+
+
 def test_scripts_take_words_from_the_documents(spark):
     docs = spark.createDataFrame([(1, "link", "t", "", "", "The de￾ne and the o￾ce."), (2, "link", "t", "", "", "They define an office.")], "doc_id long, kind string, title string, tldr string, summary string, text string")
     spoken = " ".join(r.segment for r in engine.script(docs).where("doc_id = 1 AND chapter_no = 1").collect())

@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,16 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     assert files.write_files(rows.where("name <> 'f35'"), f"file://{tmp_path}/out").count() == 39 == len(list((tmp_path / "out").iterdir()))
 
 
+def test_a_move_that_is_repeated(spark, tmp_path):
+    (tmp_path / "part").write_text("x")
+    batch = pa.RecordBatch.from_pydict({"name": ["a", "b"], "part": [f"{tmp_path}/part", None], "outcome": ["created", "kept"]}, pa.schema([("name", pa.string()), ("part", pa.string()), ("outcome", pa.string())]))
+    for _ in range(2):  # a task's second attempt finds what the first has moved
+        assert [b.to_pydict() for b in files._moves(f"file://{tmp_path}")([batch])] == [{"name": ["a", "b"], "outcome": ["created", "kept"]}]
+    assert (tmp_path / "a").read_text() == "x" and not (tmp_path / "part").exists()
+    with pytest.raises(OSError):
+        list(files._moves(f"file://{tmp_path}")([batch.set_column(0, "name", pa.array(["c", "b"]))]))
+
+
 def test_notes_of_one_name(spark, tmp_path):
     rows = spark.range(30).select(F.lit("Untitled note").alias("title"), F.format_string("%02d", "id").alias("markdown"))
     notes.write_markdown(rows, f"file://{tmp_path}/n")
