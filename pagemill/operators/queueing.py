@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import zoneinfo
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.functions import rules
@@ -231,6 +236,46 @@ def retried(attempts: DataFrame, most: int = 3) -> DataFrame:
     return attempts.withColumn("outcome", F.when(e.isNull(), "done").when((e == "transient") & (F.col("attempt") + 1 < most), "requeued").when(e == "transient", "gave up").when(e == "input", "rejected").otherwise("crashed"))
 
 
+def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A span's rows in order with `_done`, the running sum of service in their queue, and `_most`, the running maximum of arrival less the service before."""
+    none = np.iinfo(np.int64).min
+    queue, done, most = None, 0, none
+    for b in batches:
+        if not b.num_rows:
+            continue
+        runs = pc.run_end_encode(b.column("queue"))
+        served, arrival = b.column("service"), b.column("arrival")
+        service = pc.fill_null(served, 0).to_numpy()
+        known = pc.and_(pc.is_valid(served), pc.is_valid(arrival)).to_numpy(zero_copy_only=False)
+        at, sums, highs, begin = pc.fill_null(arrival, 0).to_numpy(), np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.int64), 0
+        for end, name in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+            if name != queue:
+                queue, done, most = name, 0, none
+            part = slice(begin, end)
+            sums[part] = done + np.cumsum(service[part])
+            slack = np.where(known[part], at[part] - (sums[part] - service[part]), none)
+            highs[part] = np.maximum(np.maximum.accumulate(slack), most)
+            done, most, begin = int(sums[end - 1]), int(highs[end - 1]), end
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums), pa.array(highs, mask=highs == none)], [*b.schema.names, "_done", "_most"])
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """rows (queue, arrival, attempt, job, service, failures) with finish, as `replayed` has it, for whole numbers: rows are dealt out once, and written once.
+
+    Both scans run in one pass over each range of (queue, order). A range hands on when its queue is free, so a finish is
+    `_done + max(_most, free)`; the ranges' totals are a small table.
+    """
+    order = ["queue", "arrival", "attempt", "job"]
+    dealt = rows.repartitionByRange(*[F.asc_nulls_first(c) for c in order]).sortWithinPartitions(*order).withColumn("_span", F.spark_partition_id())
+    local = stored(dealt.mapInArrow(_served, T.StructType([*dealt.schema.fields, T.StructField("_done", T.LongType()), T.StructField("_most", T.LongType())])), "served")
+    spans = local.groupBy("queue", "_span").agg(F.coalesce(F.sum("service"), F.lit(0)).alias("_total"), F.max("_most").alias("_high"))
+    before = Window.partitionBy("queue").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_sum", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    spans = stored(spans.select("queue", "_span", (F.max(F.col("_high") - F.col("_sum")).over(before) + F.col("_sum")).alias("_free")), "free")
+    met = local.alias("r").join(spans.alias("s"), F.col("r.queue").eqNullSafe(F.col("s.queue")) & (F.col("r._span") == F.col("s._span")))
+    return met.select(*[F.col(f"r.{c}") for c in rows.columns], (F.col("r._done") + F.greatest("r._most", "s._free")).alias("finish"))
+
+
 def replayed_with_retries(jobs: DataFrame, queue: str, most: int = 3) -> DataFrame:
     """job, queue, attempt (from 0), arrival, start, finish and outcome of every attempt in one-worker FIFO queues where a job that fails goes to the back.
 
@@ -241,21 +286,21 @@ def replayed_with_retries(jobs: DataFrame, queue: str, most: int = 3) -> DataFra
     first, then those of the smaller job.
 
     A round settles at least all attempts up to the first whose arrival was wrong; as an arrival hangs only on attempts
-    that were finished before it, there are about as many rounds as a busy time holds waits.
+    that were finished before it, there are about as many rounds as a busy time holds waits. In a round each attempt is shuffled once: its row
+    carries its job, so the next attempt is made from it. Sums of hashes tell that arrivals have moved; where they are equal, the rows are compared.
     """
     c = F.col
-    tries = jobs.select("job", c(queue).alias("queue"), c("arrival").cast("long").alias("first"), c("service").cast("long").alias("service"), "failures")
-    tries = tries.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.least(c("failures"), F.lit(most - 1)).cast("int"))))
-    tries = stored(tries, "tries")
-    arrivals = stored(tries.where("attempt = 0").select("job", "attempt", c("first").alias("arrival")), "arrivals")
+    first = jobs.select("job", c(queue).alias("queue"), F.lit(0).alias("attempt"), c("arrival").cast("long").alias("arrival"), c("service").cast("long").alias("service"), "failures")
+    rows = first = stored(first, "first")
+    fails = (c("attempt") < c("failures")) & (c("attempt") + 1 < most)
+    total = lambda of, *columns: F.struct(F.count(F.when(of, 1)), F.sum(F.when(of, F.xxhash64(*columns).cast("decimal(20,0)"))))
     while True:
-        rows = tries.join(arrivals, ["job", "attempt"])
-        done = stored(replayed(rows, ["queue"], "arrival", "service", ["arrival", "attempt", "job"]), "replayed")
-        again = done.where((c("attempt") < c("failures")) & (c("attempt") + 1 < most)).select("job", (c("attempt") + 1).alias("attempt"), c("finish").alias("arrival"))
-        new = stored(again.unionByName(tries.where("attempt = 0").select("job", "attempt", c("first").alias("arrival"))), "arrivals")
-        moved = new.join(arrivals.withColumnRenamed("arrival", "was"), ["job", "attempt"], "left").where("was is null or was <> arrival")
-        if moved.isEmpty():
+        done = _finished(rows)
+        again = done.where(fails).select("job", "queue", (c("attempt") + 1).alias("attempt"), c("finish").alias("arrival"), "service", "failures")
+        made, met = done.agg(total(fails, "job", "queue", c("attempt") + 1, "finish"), total(c("attempt") > 0, "job", "queue", "attempt", "arrival")).first()
+        key = ["job", "queue", "attempt", "arrival"]
+        if made == met and again.select(key).exceptAll(done.where("attempt > 0").select(key)).isEmpty():
             break
-        arrivals = new
+        rows = first.unionByName(again)
     outcome = F.when(c("attempt") >= c("failures"), "done").when(c("attempt") + 1 < most, "requeued").otherwise("gave up")
-    return done.select("job", c("queue").alias(queue), "attempt", "arrival", "start", "finish", outcome.alias("outcome"))
+    return done.select("job", c("queue").alias(queue), "attempt", "arrival", (c("finish") - c("service")).alias("start"), "finish", outcome.alias("outcome"))

@@ -7,6 +7,7 @@ import random
 from unittest import mock
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,24 @@ def test_retries_go_to_the_back(spark, load):
     assert queueing.replayed_with_retries(spark.createDataFrame([], "job long, queue string, arrival long, service long, failures int"), "queue").collect() == []
 
 
+def test_retries_of_jobs_of_one_number(spark):
+    rng = random.Random(7)
+    jobs = [(i, queue, rng.randrange(4000), rng.randrange(1, 90), rng.choice([0, 0, 1, 2, 5])) for i in range(60) for queue in ("a", "b", None)]
+    got = queueing.replayed_with_retries(spark.createDataFrame(jobs, "job long, queue string, arrival long, service long, failures int"), "queue")
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == plain_retries(jobs, 3) and len(rows) == len(set(rows))
+
+
+def test_spans_are_served_over_batches():
+    """Running sums and maxima go on from batch to batch, begin anew with each queue, and leave out what isn't known."""
+    rows = [("a", 5, 3), ("a", 6, 4), (None, 1, 2), (None, None, 2), (None, 9, None), ("c", None, 1), ("c", 30, 1)]
+    batch = pa.RecordBatch.from_pydict({"queue": [r[0] for r in rows], "arrival": pa.array([r[1] for r in rows], pa.int64()), "service": pa.array([r[2] for r in rows], pa.int64())})
+    want = [(3, 5), (7, 5), (2, 1), (4, 1), (4, 1), (1, None), (2, 29)]
+    for size in (1, 2, 3, 7):
+        got = pa.Table.from_batches(queueing._served(batch.slice(i, size) for i in range(0, len(rows), size)))
+        assert list(zip(got["_done"].to_pylist(), got["_most"].to_pylist())) == want
+
+
 def test_scans_of_null_keys_and_ties(spark):
     rows = [(i % 3 or None, 7, i) for i in range(40)]
     df = spark.createDataFrame(rows, "k int, o int, i int")
