@@ -168,6 +168,12 @@ SCENE = [
     (r"(?:,\s*+){2,}+", "", ", "),
     (r"\s{2,}", "", " "),
 ]
+#: What ends a quote, and for the third and the fourth rule words of which a text that it matches holds one.
+QUOTE_ENDS = "'\"\u2019\u201d"
+SCENE_WORDS = [
+    ["label", "titled", "says", "reads", "inscribed", "word", "text"],
+    ["sign", "banner", "placard", "label", "plaque", "poster", "caption", "title", "text", "word", "letter", "inscription", "headline"],
+]
 
 # --- Chat ---
 ANGLE_URL, BARE_URL = r"<(https?://[^|>\s]+)(?:\|[^>]*)?>", r"https?://\S+"

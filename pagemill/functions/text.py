@@ -178,8 +178,32 @@ def note_uri(vault: str, path: Column) -> Column:
 
 
 def clean_scene(scene: Column) -> Column:
-    """A picture's description without lettering."""
-    return F.regexp_replace(apply(scene, rules.SCENE), r"^[ ,;]+|[ ,;]+$", "")
+    """A picture's description without lettering: `rules.SCENE`, each rule only where it can match.
+
+    What the first two take ends in a quote's end, so they run up to the last one. The next two never cross a full stop, so
+    they run in the pieces between full stops that hold one of their words in any case.
+    """
+    quoted, worded, tidied = rules.SCENE[:2], rules.SCENE[2:4], rules.SCENE[4:]
+    last = lambda x: F.length(x) - F.least(*[F.length(F.substring_index(x, end, -1)) for end in rules.QUOTE_ENDS])
+    up_to = lambda x, n: F.when(n > 0, F.concat(apply(F.left(x, n), quoted), F.substring(x, n + 1, F.length(x)))).otherwise(x)
+    # where case doesn't count, these are letters of a to z that lower case doesn't make so (lower of upper won't do: Spark takes the inner one away)
+    folded = lambda x: F.lower(F.replace(F.replace(F.replace(x, F.lit("\u0130"), F.lit("i")), F.lit("\u0131"), F.lit("i")), F.lit("\u017f"), F.lit("s")))
+
+    def piece(x: Column, low: Column) -> Column:
+        for rule, words in zip(worded, rules.SCENE_WORDS, strict=True):
+            x = F.when(holds(low, words), apply(x, [rule])).otherwise(x)
+        return x
+
+    def stripped(x: Column) -> Column:
+        x = F.ltrim(x, F.lit(" ,;"))
+        ended = F.lit(False)
+        for sign in "\n\r\x85\u2028\u2029":
+            ended = ended | x.endswith(sign)
+        return F.when(ended, F.regexp_replace(x, r"[ ,;]+$", "")).otherwise(F.rtrim(x, F.lit(" ,;")))
+
+    text = let(scene, lambda x: let(last(x), lambda n: up_to(x, n)))
+    text = let(text, lambda x: F.array_join(F.zip_with(F.split(x, r"\.", -1), F.split(folded(x), r"\.", -1), piece), "."))
+    return let(apply(text, tidied), stripped)
 
 
 def cover_title(title: Column, of_page: bool = False) -> Column:
