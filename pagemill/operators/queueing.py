@@ -18,17 +18,20 @@ from pagemill.operators import scans
 from pagemill.operators.scans import running
 from pagemill.storage import stored
 
-def replayed(jobs: DataFrame, queue: list[str], arrival: str, service: str, order: list[str], prefix: str = "") -> DataFrame:
+def replayed(jobs: DataFrame, queue: list[str], arrival: str, service: str, order: list[str], prefix: str = "", doubles: bool = False) -> DataFrame:
     """jobs with start, finish and wait in one-worker FIFO queues, by windows alone.
 
     With S the running sum of service, a job ends at S_n + max over k <= n of (arrival_k - S_(k-1)); both run in spans.
-    Fractions are summed as decimals, so an end doesn't hang on where spans begin.
+    Fractions are summed as decimals, so an end doesn't hang on where spans begin; with `doubles` as doubles in the order
+    of `scans.summed`, for what hangs on their last bits.
     """
-    kind = dict(jobs.dtypes)[service]
-    exact = F.col(service).cast("decimal(30,12)") if kind in ("double", "float") else F.col(service)
-    rows = running(scans.spanned(jobs, queue, order), queue, order, F.sum, exact, "_done")
-    if kind in ("double", "float"):
-        rows = rows.withColumn("_done", F.col("_done").cast("double"))
+    kind, rows = dict(jobs.dtypes)[service], scans.spanned(jobs, queue, order)
+    if doubles:
+        rows = scans.summed(rows, queue, order, F.col(service), "_done")
+    elif kind in ("double", "float"):
+        rows = running(rows, queue, order, F.sum, F.col(service).cast("decimal(30,12)"), "_done").withColumn("_done", F.col("_done").cast("double"))
+    else:
+        rows = running(rows, queue, order, F.sum, F.col(service), "_done")
     rows = rows.withColumn("_slack", F.col(arrival) - (F.col("_done") - F.col(service)))
     rows = running(rows, queue, order, F.max, F.col("_slack"), "_most")
     finish = F.col("_done") + F.col("_most")

@@ -53,7 +53,8 @@ def tandem_replay(spark, sf_dir):
 WITH f AS (SELECT * FROM ({_replay_sql(_JOBS, 'event_type', 'arrival', 'service', 'arrival, event_id')})), a AS (SELECT *, greatest(0, coalesce(max(finish) OVER (PARTITION BY event_type ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), arrival) - arrival) AS ahead FROM f)
 SELECT event_id, round(ahead, 3) AS seconds_ahead, strftime(timezone('Europe/Berlin', timezone('UTC', date_trunc('second', ts) + to_seconds(ceil(ahead + service)::BIGINT))), '%H:%M') || CASE WHEN timezone('Europe/Berlin', timezone('UTC', date_trunc('second', ts) + to_seconds(ceil(ahead + service)::BIGINT)))::DATE <> timezone('Europe/Berlin', timezone('UTC', ts))::DATE THEN ' tomorrow' ELSE '' END AS summary_by FROM a""")
 def ack_quote(spark, sf_dir):
-    rows = q.replayed(_jobs(spark, sf_dir), ["event_type"], "arrival", "service", ["arrival", "event_id"])
+    # whole seconds are rounded up, so ends that are whole hang on the last bits of the sums before them
+    rows = q.replayed(_jobs(spark, sf_dir), ["event_type"], "arrival", "service", ["arrival", "event_id"], doubles=True)
     rows = q.ahead(rows, ["event_type"], "arrival", "finish", "service", ["arrival", "event_id"])
     by = q.clock(F.timestamp_seconds(F.col("arrival")), F.ceil(F.col("seconds_ahead") + F.col("service")).cast("decimal(18,6)"), F.lit("Europe/Berlin"))
     return rows.select("event_id", F.round("seconds_ahead", 3).alias("seconds_ahead"), by.alias("summary_by"))

@@ -4,11 +4,15 @@ import datetime
 import json
 import math
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import documents as d
-from pagemill.operators import lines, queueing, shelf, summaries, transcripts
+from pagemill.operators import lines, queueing, scans, shelf, summaries, transcripts
+from pagemill.plans import jobs as plans
+from pagemill.plans import registry
 from pagemill.sinks import notes
 from pagemill.sources import records, web
 from pagemill.streaming import queue as streams
@@ -37,6 +41,49 @@ def test_ends_do_not_hang_on_the_order_of_sums(spark):
     assert got == {i: (i + 1) / 10 for i in range(1000)}
 
 
+def test_sums_of_doubles_go_by_nodes():
+    values = [0.1 * (i % 7) + i for i in range(5000)]
+    at = scans.sums(np.array(values))
+
+    def node(size, i):
+        if size == 1:
+            return values[i]
+        total = 0.0
+        for j in range(scans.NODE):
+            total += node(size // scans.NODE, i * scans.NODE + j)
+        return total
+
+    assert len(at) == 5001
+    for n in (0, 1, 15, 16, 17, 255, 256, 700, 4095, 4096, 4097, 4999, 5000):
+        total, size = 0.0, scans.NODE**3
+        while size:
+            for i in range(n // (size * scans.NODE) * scans.NODE, n // size):
+                total += node(size, i)
+            size //= scans.NODE
+        assert at[n] == total
+
+
+def test_sums_of_doubles_with_nulls_and_several_blocks(spark):
+    values = [("a", i, None if i < 2 or i == 4100 else 0.1 * i) for i in range(9000)] + [(None, 1, 2.5), (None, 2, None), ("b", 1, None)]
+    rows = spark.createDataFrame(values, "q string, n int, x double").repartition(7)
+    got = {(r.q, r.n): (r.x, r.s) for r in scans.summed(rows, ["q"], ["n"], F.col("x"), "s").collect()}
+    assert {k: v[0] for k, v in got.items()} == {(q, n): x for q, n, x in values}
+    at = scans.sums(np.array([x or 0.0 for q, _, x in values if q == "a"]))
+    assert all(got["a", n][1] == (None if n < 2 else at[n + 1]) for n in range(9000))
+    assert (got[None, 1][1], got[None, 2][1], got["b", 1][1]) == (2.5, 2.5, None)
+    assert scans.summed(rows.limit(0), ["q"], ["n"], F.col("x"), "s").collect() == []
+
+
+def test_quotes_at_whole_minutes_are_those_of_the_sql(spark, tmp_path):
+    events = spark.range(9000).select(F.col("id").alias("event_id"), F.lit("2024-01-01 00:00:59").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(30001.4).alias("value"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.execute(registry.SQL["ack_quote"]).fetchall()
+    got = [tuple(r) for r in plans.ack_quote(spark, str(tmp_path)).collect()]
+    assert len(got) == 9000 and sorted(got) == sorted(want)
+
+
 def test_calibration_against_the_stream_fold(spark):
     seen = [("audio", i, 10.0, 5.0 + i * i % 17) for i in range(30)] + [("audio", 99, 0.0, 5.0), ("other", 1, 1.0, 1.0), ("ocr", 1, 2.0, 4.0)]
     got = {r.stage: r for r in queueing.calibrated(spark.createDataFrame(seen, "stage string, n long, predicted double, actual double"), ["n"]).collect()}
